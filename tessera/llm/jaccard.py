@@ -35,7 +35,9 @@ SKETCH_BLOCK = 1 << 15
 BOTTOM = 4
 STAR_ROUNDS = 3
 #: Longest multi-match requirement that a document may choose.
-MAX_LEVEL = 6
+MAX_LEVEL = 16
+#: Partners that a shingle has on average where the sketch shows nothing: passages shared by a few documents.
+USUAL_PARTNERS = 0.05
 #: Cost of verifying a candidate, in postings, besides a part by its size.
 VERIFY_COST = 4.0
 #: The largest filter of ids that may be broadcast, in bits (32 MB).
@@ -129,7 +131,7 @@ def choose_level(estimates: np.ndarray, base: int, size: int) -> int:
 
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, levels, bits: int) -> Iterator[pa.RecordBatch]:
     table, mask = levels.value, np.uint64((1 << bits) - 1)
-    partners = 2.0 ** (np.arange(256) / 2) * (np.arange(256) > 0)
+    partners = np.where(np.arange(256) > 0, 2.0 ** (np.arange(256) / 2), USUAL_PARTNERS)
     for batch in batches:
         ids, sizes, ells, runs = [], [], [], []
         for doc, found in zip(batch.column(0).to_pylist(), _sets(batch.column(1), width), strict=True):
@@ -137,11 +139,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, level
             if not n or doc is None:
                 continue
             level = table[(found & mask).astype(np.int64)]
-            base, ell = n - (percent * n + 99) // 100 + 1, 1
+            base = n - (percent * n + 99) // 100 + 1
             if level.any():
                 order = np.argsort(level, kind="stable")
-                found = found[order]
-                ell = choose_level(partners[level[order]], base, n)
+                found, level = found[order], level[order]
+            ell = choose_level(partners[level[: base + MAX_LEVEL]], base, n)
             ids.append(doc)
             sizes.append(n)
             ells.append(ell)
@@ -226,7 +228,7 @@ class _Verifier:
     def sets(self, ids: DataFrame, name: str) -> DataFrame:
         """(id, grams) of the documents in ids (one column, id).
 
-        A bitmap of the ids, of at most FILTER_BITS bits, goes to the scan, so that no other text is hashed or moved; the join after it is exact.
+        A bitmap of the ids, of at most FILTER_BITS bits, goes to the scan, so that few other texts are hashed; the joins with pairs sort those out.
         """
         ids = self.scratch.keep(ids.distinct(), f"{name}-ids")
         bits = min(FILTER_BITS, max(15, int(ids.count() * 16).bit_length()))
@@ -245,7 +247,7 @@ class _Verifier:
 
         at = F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("at")
         made = self.texts.where("id is not null").select("id", "text", at).mapInArrow(cut, "id long, grams array<long>")
-        return self.scratch.keep(made.join(ids, "id", "left_semi"), f"{name}-sets")
+        return self.scratch.keep(made, f"{name}-sets")
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the threshold."""
@@ -294,20 +296,20 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             break
         links = found if links is None else links.union(found)
         labels = components(links, scratch, f"star-{k}")
+        scratch.release()
 
     # What is left: pairs between components that share enough of their prefixes.
     prefixes = texts.mapInArrow(lambda b: _prefixes(b, width, percent, levels, bits), "id long, n int, ell int, prefix array<long>")
-    prefixes = scratch.keep(prefixes, "prefixes")
     own = nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
     postings = prefixes.join(own, "id").select("id", "comp", "n", "ell", F.posexplode("prefix").alias("pos", "s"))
     postings = postings.select("s", "id", "comp", "n", (F.col("n") - F.col("pos") - 1).alias("rest"), "ell")
     pairs = postings.repartition("s").sortWithinPartitions("s").mapInArrow(lambda b: _pairs(b, percent), "a long, b long, ell int")
     pairs = scratch.keep(pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell")).where("shared >= ell").select("a", "b"), "pairs")
-    scratch.drop("prefixes")
+    scratch.drop("star-sets")
+    scratch.release()
     sets = verifier.sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "last")
     labels = components(links.union(verifier.links(pairs, sets)), scratch, "all")
-    for name in ("star-sets", "last-sets"):
-        scratch.drop(name)
+    scratch.drop("last-sets")
 
     classes = nodes.join(labels, "id", "left").select("node", F.coalesce("component", "id").alias("component_id"))
     return rows.join(classes, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

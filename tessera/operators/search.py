@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def bm25(chunks: DataFrame, query: str, *, id_col: str, text_cols: list[str], cl
     ln((N - n + 0.5) / (n + 0.5)), at least 1e-6 if clamped; else ln(1 + that quotient). Two passes over the chunks: one
     aggregate (N, n, mean length: one row, broadcast), one scan; no shuffle but the aggregate's.
     """
-    words = __import__("re").findall(r"[^\W_]+", query.lower())
+    words = re.findall(r"[^\W_]+", query.lower())
     arrays = [terms(F.coalesce(F.col(c), F.lit(""))) for c in text_cols]
     length, matches = sum((F.size(a) for a in arrays[1:]), F.size(arrays[0])), sum((phrase_count(a, words) for a in arrays[1:]), phrase_count(arrays[0], words))
     # A cheap test first: a text without the first word's letters holds no phrase.

@@ -2,9 +2,603 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tessera.functions import text as fn
+from tessera.operators import chunking, corpus, graph, incremental, search, summaries, symbols
+from tessera.plans import views
+from tessera.plans.views import sql_view, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+PHRASE = "the th"
+TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+def query(sql: str | None = None, **ctes: str):
+    """Register a query under its function's name; `sql` is its oracle, after common table expressions by name."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = ("WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + "\n" if ctes else "") + sql
+        return f
+
+    return put
+
+
+# Full text and vectors
+
+_MATCH = f"SELECT doc_id, text, {TERMS} AS t FROM documents"
+_COUNTED = "SELECT doc_id, text, len(t) AS length, len(list_filter(range(1, len(t)), lambda i: t[i] = 'the' AND starts_with(t[i + 1], 'th'))) AS matches FROM m"
+_SCORE = "{idf} * matches * 2.2 / (matches + 1.2 * (0.25 + 0.75 * length / mean_length))"
+_STATS = "SELECT count(*) AS docs, count(*) FILTER (matches > 0) AS n, avg(length) AS mean_length FROM c"
+
+
+@query("SELECT doc_id, CAST(matches AS INTEGER) AS matches FROM c WHERE matches > 0", m=_MATCH, c=_COUNTED)
+def fts_phrase_prefix(spark, d):
+    return search.bm25(table(spark, d, "documents").select("doc_id", "text"), PHRASE, id_col="doc_id", text_cols=["text"]).select("doc_id", "matches")
+
+
+@query(f"SELECT doc_id, round({_SCORE.format(idf='ln((docs - n + 0.5) / (n + 0.5) + 1)')}, 6) AS score FROM c, s WHERE matches > 0 ORDER BY {_SCORE.format(idf='ln((docs - n + 0.5) / (n + 0.5) + 1)')} DESC, doc_id LIMIT 20", m=_MATCH, c=_COUNTED, s=_STATS)
+def fts_bm25_topk(spark, d):
+    scored = search.bm25(table(spark, d, "documents").select("doc_id", "text"), PHRASE, id_col="doc_id", text_cols=["text"], clamp=False)
+    return search.top_k(scored, 20, F.desc("score"), F.asc("doc_id")).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT doc_id, round({_SCORE.format(idf='greatest(ln((docs - n + 0.5) / (n + 0.5)), 1e-6)')} * 1000000, 4) AS score FROM c, s WHERE matches > 0", m=_MATCH, c=_COUNTED, s=_STATS)
+def fts_bm25_clamped(spark, d):
+    scored = search.bm25(table(spark, d, "documents").select("doc_id", "text"), PHRASE, id_col="doc_id", text_cols=["text"])
+    return scored.select("doc_id", F.round(F.col("score") * 1000000, 4).alias("score"))
+
+
+@query("""SELECT doc_id, CASE WHEN p = 0 THEN substr(text, 1, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END
+ ELSE CASE WHEN p > 51 THEN '...' ELSE '' END || substr(text, greatest(p - 51, 0) + 1, least(p - 1 + 150, length(text)) - greatest(p - 51, 0)) || CASE WHEN p - 1 + 150 < length(text) THEN '...' ELSE '' END END AS snippet
+ FROM (SELECT doc_id, text, strpos(lower(text), 'tion') AS p FROM documents)""")
+def fts_snippet(spark, d):
+    return table(spark, d, "documents").select("doc_id", fn.snippet(F.col("text"), F.lit("tion")).alias("snippet"))
+
+
+_L2 = "list_sum(list_transform(range(1, 65), lambda i: (CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) * (CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE))))"
+_POINT = "SELECT embedding FROM embeddings WHERE vec_id = 0"
+
+
+def _point(spark, d):
+    return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]]
+
+
+@query(f"SELECT vec_id, round({_L2}, 6) AS distance FROM embeddings e, q ORDER BY {_L2}, vec_id LIMIT 10", q=_POINT)
+def vector_topk(spark, d):
+    rows = search.vector_search(table(spark, d, "embeddings"), _point(spark, d), 10, id_col="vec_id")
+    return rows.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT vec_id, label, round({_L2}, 6) AS distance FROM embeddings e, q WHERE label = 3 ORDER BY {_L2}, vec_id LIMIT 10", q=_POINT)
+def vector_topk_filtered(spark, d):
+    rows = search.vector_search(table(spark, d, "embeddings"), _point(spark, d), 10, id_col="vec_id", where=F.col("label") == 3)
+    return rows.select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
+_HYBRID = dict(
+    m="SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, 'files/' || CAST(doc_id AS VARCHAR) || '.md' AS path, text AS content, source AS title, CASE doc_id % 4 WHEN 0 THEN 'note' WHEN 1 THEN 'code' WHEN 2 THEN 'wiki' ELSE 'file' END AS type, " + TERMS + " AS t, doc_id FROM documents",
+    c="SELECT *, len(t) AS length, len(list_filter(range(1, len(t)), lambda i: t[i] = 'the' AND starts_with(t[i + 1], 'th'))) AS matches FROM m",
+    s=_STATS,
+    sem=f"SELECT path AS id, row_number() OVER (ORDER BY dist, mid) - 1 AS rank, dist, content, type, title FROM (SELECT m.id AS mid, m.path, m.content, m.type, m.title, {_L2} AS dist FROM m JOIN embeddings e ON m.doc_id = e.vec_id, ({_POINT}) q ORDER BY dist, m.id LIMIT 10)",
+    fts="SELECT path AS id, row_number() OVER (ORDER BY score DESC, mid) - 1 AS rank, CASE WHEN score = 0 THEN 0.5 ELSE 1 - least(abs(score) / 10, 1.0) END AS dist, content, type, title FROM (SELECT id AS mid, path, content, type, title, " + _SCORE.format(idf="ln((docs - n + 0.5) / (n + 0.5) + 1)") + " AS score FROM c, s WHERE matches > 0 ORDER BY score DESC, id LIMIT 10)",
+    fused="SELECT coalesce(a.id, b.id) AS id, 1.0 / (60 + coalesce(a.rank, 1000) + 1) + 1.0 / (60 + coalesce(b.rank, 1000) + 1) AS score, coalesce(a.content, b.content) AS content, coalesce(a.type, b.type) AS type, coalesce(a.dist, b.dist) AS distance FROM sem a FULL OUTER JOIN fts b ON a.id = b.id",
+    prio="SELECT *, CASE type WHEN 'note' THEN 0 WHEN 'code' THEN 1 WHEN 'wiki' THEN 2 ELSE 3 END AS priority FROM fused",
+    best="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY md5(lower(regexp_replace(substr(content, 1, 500), '^\\s+|\\s+$', '', 'g'))) ORDER BY priority, score DESC, id) AS nth FROM prio) WHERE nth = 1 ORDER BY priority, score DESC, id LIMIT 10",
+)
+
+
+def _chunks(spark, d):
+    kind = F.when(F.col("doc_id") % 4 == 0, "note").when(F.col("doc_id") % 4 == 1, "code").when(F.col("doc_id") % 4 == 2, "wiki").otherwise("file")
+    key = F.col("doc_id").cast("string")
+    return table(spark, d, "documents").select(F.concat(F.lit("d"), key).alias("id"), F.concat(F.lit("files/"), key, F.lit(".md")).alias("path"), F.col("text").alias("content"), F.col("source").alias("title"), kind.alias("type"), "doc_id")
+
+
+def _hybrid(spark, d):
+    chunks = _chunks(spark, d)
+    vectors = chunks.join(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    return search.hybrid_search(chunks, vectors, PHRASE, _point(spark, d), clamp=False)
+
+
+@query("SELECT id, CAST(priority AS INTEGER) AS priority, type, round(score, 9) AS score FROM best", **_HYBRID)
+def hybrid_search_full(spark, d):
+    return _hybrid(spark, d).select("id", "priority", "type", F.round("score", 9).alias("score"))
+
+
+@query("SELECT id, round(score, 9) AS score, round(distance, 6) AS distance FROM fused", **_HYBRID)
+def hybrid_rrf(spark, d):
+    chunks = _chunks(spark, d)
+    vectors = chunks.join(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    near = search.ranked(search.vector_search(vectors, _point(spark, d), 10), F.asc("distance"), F.asc("id")).select(F.col("path").alias("id"), "rank", "distance")
+    hits = search.top_k(search.bm25(chunks, PHRASE, id_col="id", text_cols=["content"], clamp=False), 10, F.desc("score"), F.asc("id"))
+    hits = search.ranked(hits, F.desc("score"), F.asc("id")).select(F.col("path").alias("id"), "rank", fn.bm25_distance(F.col("score")).alias("distance"))
+    return search.reciprocal_rank_fusion(near, hits).select("id", F.round("score", 9).alias("score"), F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT count(*) AS results, count(*) FILTER (distance < 0.5) AS strong_matches, round(min(distance), 6) AS best_distance, CASE WHEN count(*) FILTER (distance < 0.5) >= 3 AND min(distance) < 0.3 THEN 'high' WHEN count(*) FILTER (distance < 0.5) >= 1 AND min(distance) < 0.6 THEN 'medium' ELSE 'low' END AS confidence FROM best", **_HYBRID)
+def search_confidence(spark, d):
+    return search.confidence(_hybrid(spark, d)).withColumn("best_distance", F.round("best_distance", 6))
+
+
+@query("SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM (SELECT source, doc_id, sum(length(text) // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running <= 6000")
+def context_pack(spark, d):
+    docs = table(spark, d, "documents")
+    return search.pack_context(docs, [F.asc("doc_id")], 6000, tokens=fn.token_estimate(F.col("text")), by=["source"]).select("source", "doc_id", "running")
+
+
+# Contents
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", fn.content_hash(F.col("text")).alias("hash"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(lower(regexp_replace(substr(text, 1, 500), '^\\s+|\\s+$', '', 'g'))) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def prefix_dedup(spark, d):
+    return search.prefix_dedup(table(spark, d, "documents"), [F.asc("doc_id")], content_col="text").select("doc_id")
+
+
+@query("SELECT doc_id, CAST(length(text) // 4 AS INTEGER) AS tokens, CAST(len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS words FROM documents")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").select("doc_id", fn.token_estimate(F.col("text")).alias("tokens"), fn.word_count(F.col("text")).alias("words"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, string_split(text, chr(10))[1:20] AS l FROM documents) WHERE list_sum(list_transform(l, lambda x: length(x))) / len(l) > 500")
+def minified_filter(spark, d):
+    return table(spark, d, "documents").where(corpus.is_minified(F.col("text"))).select("doc_id")
+
+
+@query("SELECT doc_id, strlen(text) AS bytes FROM documents WHERE strlen(text) <= 4 * 1024")
+def size_filter(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes")).where(F.col("bytes") <= 4 * 1024)
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS ast_lines, CAST(len(string_split(text, chr(10))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS INTEGER) AS plain_lines FROM documents")
+def line_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", fn.lines_ast(F.col("text")).alias("ast_lines"), fn.lines_plain(F.col("text")).alias("plain_lines"))
+
+
+# Paths and directories
+
+
+@query("SELECT path FROM paths WHERE NOT regexp_matches(path, '(^|/)src1($|/)|(^|/)[^/]*9\\.py$|^src2/de/')", paths=views.PATHS)
+def glob_exclusion(spark, d):
+    return sql_view(spark, d, "paths").where(~corpus.excluded(F.col("path"), ["src1/", "*9.py", "src2/de"])).select("path")
+
+
+@query("SELECT DISTINCT unnest(['', source, source || '/' || lang]) AS path FROM paths", paths=views.PATHS)
+def ancestor_dirs(spark, d):
+    return corpus.directories(sql_view(spark, d, "paths"))
+
+
+@query("SELECT CAST(depth AS INTEGER) AS depth, count(*) AS n, min(path) AS first, max(path) AS last FROM (SELECT path, CASE WHEN path = '' THEN -1 ELSE length(path) - length(replace(path, '/', '')) END AS depth FROM (SELECT DISTINCT unnest(['', source, source || '/' || lang]) AS path FROM paths)) GROUP BY 1", paths=views.PATHS)
+def dirs_by_depth(spark, d):
+    rows = corpus.directories_by_depth(corpus.directories(sql_view(spark, d, "paths")))
+    return rows.select("depth", F.size("paths").cast("long").alias("n"), F.array_min("paths").alias("first"), F.array_max("paths").alias("last"))
+
+
+@query("SELECT string_split(file_path, '/')[1] AS component, count(*) AS n FROM nodes GROUP BY 1", nodes=views.NODES)
+def top_component(spark, d):
+    return sql_view(spark, d, "nodes").groupBy(graph.component(F.col("file_path")).alias("component")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT CASE WHEN strpos(path, '/') > 0 THEN source ELSE '' END AS parent, source || '/' || lang AS child FROM paths UNION SELECT DISTINCT '', source FROM paths", paths=views.PATHS)
+def direct_children(spark, d):
+    return corpus.direct_children(corpus.directories(sql_view(spark, d, "paths"))).select("parent", "child")
+
+
+@query("SELECT id, regexp_matches(file_path, '(^|/)tests?/|test_[^/]+\\.py$|_test\\.py$') AS graph_test, list_contains(string_split(file_path, '/'), 'tests') AS snippet_test FROM nodes", nodes=views.NODES)
+def test_files(spark, d):
+    return sql_view(spark, d, "nodes").select("id", corpus.is_test_graph(F.col("file_path")).alias("graph_test"), corpus.is_test_snippet(F.col("file_path")).alias("snippet_test"))
+
+
+# Chunks
+
+_MD = "SELECT source || '.md' AS path, '# ' || source || string_agg(chr(10) || '## doc ' || CAST(doc_id AS VARCHAR) || chr(10) || text, '' ORDER BY doc_id) AS content, source FROM documents GROUP BY source"
+_SECTION = "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal, 'doc ' || CAST(doc_id AS VARCHAR) AS header, 2 AS level, '## doc ' || CAST(doc_id AS VARCHAR) || chr(10) || text AS content, text FROM documents"
+
+
+def _md(spark, d):
+    part = F.concat(F.lit("\n## doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))
+    rows = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))).alias("parts"))
+    return rows.select(F.concat("source", F.lit(".md")).alias("path"), F.concat(F.lit("# "), F.col("source"), F.array_join("parts.p", "")).alias("content"), "source")
+
+
+@query("SELECT source, CAST(ordinal AS INTEGER) AS ordinal, header, CAST(level AS INTEGER) AS level, md5(regexp_replace(content, '\\s+$', '')) AS hash FROM s UNION ALL SELECT DISTINCT source, 0, '', 0, md5('# ' || source) FROM documents", s=_SECTION)
+def markdown_sections(spark, d):
+    rows = chunking.sections(_md(spark, d), key=["source"])
+    return rows.select("source", "ordinal", "header", "level", F.md5(F.regexp_replace("content", r"\s+$", "")).alias("hash"))
+
+
+_WINDOWED = """SELECT doc_id, w, CASE WHEN len(w) <= 300 THEN [0] ELSE range(0, len(w) - 30, 270) END AS starts FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)"""
+
+
+@query("SELECT doc_id, CAST(k - 1 AS INTEGER) AS part, md5(array_to_string(w[starts[k] + 1 : starts[k] + 300], ' ')) AS hash FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS k FROM v WHERE len(w) > 0)", v=_WINDOWED)
+def word_window_chunks(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.word_windows(F.col("text"), 300, 30)).alias("part", "body"))
+    return rows.select("doc_id", "part", F.md5("body").alias("hash"))
+
+
+@query("SELECT 'wiki_' || source || '_doc-' || CAST(doc_id AS VARCHAR) || CASE WHEN k > 0 THEN '_' || CAST(k AS VARCHAR) ELSE '' END AS chunk_id, CAST(k AS INTEGER) AS chunk_index FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '')")
+def chunk_ids(spark, d):
+    from dataclasses import replace
+
+    from tessera.params import DEFAULT
+
+    rows = chunking.chunk_pages(_md(spark, d).select("path", "content"), params=replace(DEFAULT, chunk_tokens=100_000))
+    return rows.select("chunk_id", "chunk_index")
+
+
+# Scalar functions
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(url, '/', '-'), '.', '-'), '[^a-zA-Z0-9-]', '', 'g'), '-+', '-', 'g'), '-') AS page_slug, regexp_replace(replace(replace(lower(url), '/', '_'), ' ', '-'), '[^a-z0-9_-]', '', 'g') AS chunk_slug, trim(regexp_replace(regexp_replace(replace(replace(lower(url), '_', '-'), ' ', '-'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-') AS workflow_slug FROM pages")
+def slug_variants(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", fn.page_slug(url).alias("page_slug"), fn.chunk_slug(url).alias("chunk_slug"), fn.workflow_slug(url).alias("workflow_slug"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(regexp_extract(url, '^https?://[^/]+/(.*)$', 1), '^([^/?#]+)', 1), '') AS prefix FROM pages")
+def route_prefix(spark, d):
+    return table(spark, d, "pages").select("page_id", fn.route_prefix(F.regexp_extract("url", "^https?://[^/]+(/.*)$", 1)).alias("prefix"))
+
+
+@query("SELECT page_id, CASE WHEN m[1] <> '' THEN 'git' ELSE 'local' END AS source_type, nullif(m[1], '') AS host, nullif(m[2], '') AS owner, nullif(m[3], '') AS repo FROM (SELECT page_id, [regexp_extract(url, '^https?://([^/]+)/([^/]+)/([^/?#]+?)(\\.git)?/?$', k) FOR k IN [1, 2, 3]] AS m FROM pages)")
+def url_parse(spark, d):
+    return table(spark, d, "pages").select("page_id", fn.url_parts(F.col("url")).alias("u")).select("page_id", "u.source_type", "u.host", "u.owner", "u.repo")
+
+
+ORACLE_SQL["url_parse"] = r"SELECT page_id, CASE WHEN regexp_matches(url, p) THEN 'git' ELSE 'local' END AS source_type, nullif(regexp_extract(url, p, 1), '') AS host, nullif(regexp_extract(url, p, 2), '') AS owner, nullif(regexp_extract(url, p, 3), '') AS repo FROM (SELECT page_id, url, '^https?://([^/]+)/([^/]+)/([^/?#]+?)(?:\.git)?/?$' AS p FROM pages)".replace("(url, p", r"(url, '^https?://([^/]+)/([^/]+)/([^/?#]+?)(?:\.git)?/?$'")
+
+
+@query("SELECT source, source AS title FROM (SELECT DISTINCT source FROM documents)")
+def title_extract(spark, d):
+    return _md(spark, d).select("source", fn.title(F.col("content"), F.col("path")).alias("title"))
+
+
+_TURNS = "SELECT conv_id, turn, role, '<answer>' || text || '</answer>' || chr(10) || '<missing>' || chr(10) || '- ' || role || ' in a/b.py' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'NONE' ELSE '-- x::y' END || '</missing>' AS response, text FROM conversations"
+
+
+def _turns(spark, d):
+    return spark.sql(_TURNS.replace("chr(10)", "'\\n'").replace("FROM conversations", "FROM {c}"), c=table(spark, d, "conversations"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || ' in a/b.py' ELSE role || ' in a/b.py|x::y' END AS gaps FROM t", t=_TURNS)
+def gap_parse(spark, d):
+    return _turns(spark, d).select("conv_id", "turn", F.array_join(fn.gap_list(F.col("response")), "|").alias("gaps"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN regexp_replace(response, '^\\s+|\\s+$', '', 'g') ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS answer FROM t", t=_TURNS)
+def answer_parse(spark, d):
+    return _turns(spark, d).select("conv_id", "turn", fn.answer_text(F.col("response")).alias("answer"))
+
+
+@query("SELECT page_id, list_aggregate(list_sort(list_distinct(regexp_extract_all(html, '[\"'']([^\"'']{5,})[\"'']', 1))), 'string_agg', '|') AS quoted FROM pages")
+def regex_anchors(spark, d):
+    return table(spark, d, "pages").select("page_id", F.array_join(fn.error_anchors(F.col("html"))["error_strings"], "|").alias("quoted"))
+
+
+@query("SELECT doc_id, regexp_matches(lower(text), 'bug|issue|problem|security|vulnerabilit(y|ies)|code quality|technical debt|tech debt|what''s wrong|whats wrong|concerns|risks|flaws') AS asks FROM documents")
+def issue_questions(spark, d):
+    return table(spark, d, "documents").select("doc_id", fn.is_issue_question(F.col("text")).alias("asks"))
+
+
+# References and the code index
+
+_RESOLVED = dict(
+    symbols=views.SYMBOLS,
+    refs=views.REFS,
+    hits="SELECT name, id, count(*) OVER (PARTITION BY name) AS n FROM symbols",
+    resolved="SELECT l_orderkey, l_linenumber, l_extendedprice, source, coalesce(h.id, r.target) AS target, r.target AS wanted, r.confidence * CASE WHEN h.id IS NULL THEN 0.3 WHEN h.n > 1 THEN 0.5 ELSE 1.0 END AS confidence, h.id IS NOT NULL AS target_resolved FROM refs r LEFT JOIN hits h ON r.target = h.name",
+)
+
+
+def _resolved(spark, d):
+    return symbols.resolve(sql_view(spark, d, "refs"), sql_view(spark, d, "symbols"), order=[])
+
+
+@query("SELECT source, target, count(*) AS n, round(sum(confidence), 4) AS confidence FROM resolved WHERE target_resolved GROUP BY 1, 2", **_RESOLVED)
+def resolve_references(spark, d):
+    return _resolved(spark, d).where("target_resolved").groupBy("source", "target").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, source, target, round(confidence, 6) AS confidence FROM resolved WHERE NOT target_resolved", **_RESOLVED)
+def unresolved_refs(spark, d):
+    return _resolved(spark, d).where("not target_resolved").select("l_orderkey", "l_linenumber", "l_extendedprice", "source", "target", F.round("confidence", 6).alias("confidence"))
+
+
+_CALLS = dict(edges=views.EDGES, names=views.CALL_INDEX, pairs="SELECT a.id AS caller_id, a.symbol_name AS caller, a.file_path, b.symbol_name AS callee FROM edges e JOIN names a ON e.source = 'p' || CAST(a.id AS VARCHAR) JOIN names b ON e.target = 'p' || CAST(b.id AS VARCHAR) WHERE e.type = 'calls'")
+
+
+@query("SELECT callee AS symbol_name, count(*) AS n, count(DISTINCT caller) AS callers, min(caller) AS first, max(caller) AS last FROM pairs GROUP BY 1", **_CALLS)
+def called_by(spark, d):
+    rows = symbols.called_by(views.index(spark, d)).where(F.size("called_by") > 0).dropDuplicates(["symbol_name"])
+    return rows.select("symbol_name", F.size("called_by").cast("long").alias("n"), F.size(F.array_distinct("called_by")).cast("long").alias("callers"), F.array_min("called_by").alias("first"), F.array_max("called_by").alias("last"))
+
+
+@query("SELECT id, symbol_name FROM names WHERE symbol_name IN (SELECT callee FROM pairs WHERE caller_id = (SELECT min(id) FROM names WHERE symbol_name = (SELECT symbol_name FROM names WHERE id = 1)))", **_CALLS)
+def callees(spark, d):
+    rows = views.index(spark, d)
+    name = rows.where("id = 1").select("symbol_name").first()[0]
+    return symbols.callees(rows, name).select("id", "symbol_name")
+
+
+@query("SELECT DISTINCT caller_id AS id, caller AS symbol_name FROM pairs WHERE callee = (SELECT symbol_name FROM names WHERE id = 1)", **_CALLS)
+def callers(spark, d):
+    rows = views.index(spark, d)
+    name = rows.where("id = 1").select("symbol_name").first()[0]
+    return symbols.callers(rows, name).select("id", "symbol_name")
+
+
+@query("SELECT n.id, coalesce(o.n, 0) AS fan_out, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) > 15 AS high_fan_out, coalesce(i.n, 0) > 20 AS high_fan_in FROM names n LEFT JOIN (SELECT caller_id, count(*) AS n FROM pairs GROUP BY 1) o ON n.id = o.caller_id LEFT JOIN (SELECT callee, count(*) AS n FROM pairs GROUP BY 1) i ON n.symbol_name = i.callee", **_CALLS)
+def fan_in_out(spark, d):
+    rows = symbols.fan(symbols.called_by(views.index(spark, d)))
+    return rows.select("id", F.col("fan_out").cast("long").alias("fan_out"), F.col("fan_in").cast("long").alias("fan_in"), "high_fan_out", "high_fan_in")
+
+
+@query("SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) IN (3, 7)")
+def json_membership(spark, d):
+    rows = table(spark, d, "events").withColumn("raises", F.map_values(F.from_json("props", "map<string,string>")))
+    return rows.where(F.array_contains("raises", "3") | F.array_contains("raises", "7")).select("event_id")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RED _i%'")
+def like_search(spark, d):
+    return table(spark, d, "part").where(symbols.like(F.col("p_name"), "RED _i")).select("p_partkey", "p_name")
+
+
+# The graph
+
+_GRAPH = dict(nodes=views.NODES, edges=views.EDGES)
+
+
+@query("SELECT source, target, type, confidence, line FROM edges", **_GRAPH)
+def graph_edges_last_wins(spark, d):
+    raw = spark.sql(re.sub(r"\b(FROM) (lineitem|part)\b", r"\1 {\2}", views._REFS.replace("VARCHAR(20)", "STRING")), lineitem=table(spark, d, "lineitem"), part=table(spark, d, "part"))
+    order = [F.col(c) for c in ("o1", "line", "o2", "o3", "o4", "o5", "type", "confidence")]
+    return symbols.last_wins(raw, ["source", "target"], order).select("source", "target", "type", "confidence", "line")
+
+
+_AROUND = dict(_GRAPH, strong="SELECT * FROM edges WHERE confidence >= 0.9", ends="SELECT source AS a, target AS b FROM strong UNION SELECT target, source FROM strong", h1="SELECT 'p1' AS id UNION SELECT b FROM ends WHERE a = 'p1'", h2="SELECT id FROM h1 UNION SELECT b FROM ends WHERE a IN (SELECT id FROM h1)")
+
+
+@query("SELECT source, target, type, confidence FROM strong WHERE source IN (SELECT id FROM h2) AND target IN (SELECT id FROM h2)", **_AROUND)
+def neighborhood_2hop(spark, d):
+    seeds = spark.createDataFrame([("p1",)], "id string")
+    return graph.neighborhood(sql_view(spark, d, "nodes"), sql_view(spark, d, "edges"), seeds, 2, 0.9)[1].select("source", "target", "type", "confidence")
+
+
+_PLAIN = dict(_GRAPH, plain="SELECT id FROM nodes WHERE NOT regexp_matches(file_path, '(^|/)tests?/')")
+
+
+@query("SELECT p.id, count(*) FILTER (e.type = 'calls') AS calls_out, count(*) AS degree_out FROM plain p JOIN edges e ON p.id = e.source WHERE p.id NOT IN (SELECT target FROM edges WHERE type = 'calls' AND source IN (SELECT id FROM plain)) GROUP BY 1 HAVING count(*) FILTER (e.type = 'calls') > 0 ORDER BY 2 DESC, 1 LIMIT 5", **_PLAIN)
+def entry_points(spark, d):
+    return graph.entry_points(sql_view(spark, d, "nodes"), sql_view(spark, d, "edges"))
+
+
+@query("SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM edges WHERE type = 'calls')", **_GRAPH)
+def leaf_nodes(spark, d):
+    return graph.leaf_nodes(sql_view(spark, d, "nodes"), sql_view(spark, d, "edges")).select("id")
+
+
+@query("SELECT id FROM nodes WHERE id IN (SELECT source FROM edges WHERE type = 'calls') AND id NOT IN (SELECT target FROM edges WHERE type = 'calls')", **_GRAPH)
+def entry_nodes(spark, d):
+    return graph.entry_nodes(sql_view(spark, d, "nodes"), sql_view(spark, d, "edges")).select("id")
+
+
+@query("SELECT a.c AS \"from\", b.c AS \"to\", max(confidence) AS confidence, count(*) AS n FROM edges JOIN placed a ON source = a.id JOIN placed b ON target = b.id WHERE a.c <> b.c AND confidence >= 0.7 GROUP BY 1, 2", **_GRAPH, placed="SELECT id, string_split(file_path, '/')[1] AS c FROM nodes")
+def component_graph(spark, d):
+    return graph.component_graph(sql_view(spark, d, "nodes"), sql_view(spark, d, "edges"), 0.7)[1]
+
+
+@query("SELECT n.id, count(e.x) AS degree FROM nodes n LEFT JOIN (SELECT source AS x FROM edges UNION ALL SELECT target FROM edges) e ON n.id = e.x GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50", **_GRAPH)
+def degree_priority(spark, d):
+    return graph.by_degree(sql_view(spark, d, "nodes"), sql_view(spark, d, "edges")).select("id", "degree").limit(50)
+
+
+_WALK = dict(_GRAPH, strong="SELECT DISTINCT source, target FROM edges WHERE confidence >= 0.9")
+
+
+@query("SELECT path, CAST(hops AS INTEGER) AS hops FROM (SELECT source || '>' || target AS path, 1 AS hops FROM strong WHERE source = 'p1' AND target = 'p60' UNION ALL SELECT a.source || '>' || a.target || '>' || b.target, 2 FROM strong a JOIN strong b ON a.target = b.source WHERE a.source = 'p1' AND b.target = 'p60' AND a.target NOT IN ('p1', 'p60') UNION ALL SELECT a.source || '>' || a.target || '>' || b.target || '>' || c.target, 3 FROM strong a JOIN strong b ON a.target = b.source JOIN strong c ON b.target = c.source WHERE a.source = 'p1' AND c.target = 'p60' AND a.target NOT IN ('p1', 'p60') AND b.target NOT IN ('p1', 'p60') AND a.target <> b.target) ORDER BY hops, path LIMIT 10", **_WALK)
+def simple_paths(spark, d):
+    rows = graph.simple_paths(sql_view(spark, d, "edges"), "p1", "p60", min_confidence=0.9, longest=3)
+    return rows.select(F.array_join("path", ">").alias("path"), "hops")
+
+
+_SITES = dict(_GRAPH, sites="SELECT t.file_path AS target_file, s.file_path AS caller_file, s.name AS caller_symbol, e.line, 1 + CASE WHEN s.file_path = t.file_path THEN 2 ELSE 0 END + CASE WHEN starts_with(s.file_path, 'tests/') THEN 1 ELSE 0 END AS tier FROM edges e JOIN nodes t ON e.target = t.id JOIN nodes s ON e.source = s.id WHERE e.type = 'calls'")
+
+
+def _sites(spark, d):
+    nodes, edges = sql_view(spark, d, "nodes"), sql_view(spark, d, "edges")
+    target = nodes.select(F.col("id").alias("target"), F.col("name").alias("target_symbol"), F.col("file_path").alias("target_file"))
+    source = nodes.select(F.col("id").alias("source"), F.col("file_path").alias("caller_file"), F.col("name").alias("caller_symbol"))
+    return edges.where("type = 'calls'").join(target, "target").join(source, "source").select("caller_file", "caller_symbol", "line", "target_symbol", "target_file")
+
+
+@query("SELECT caller_file, caller_symbol, line FROM sites WHERE target_file = 'economy/brand2/m11.py'", **_SITES)
+def call_sites(spark, d):
+    return graph.call_sites(sql_view(spark, d, "nodes"), sql_view(spark, d, "edges"), F.lit("economy/brand2/m11.py")).select("caller_file", "caller_symbol", "line")
+
+
+_RANKED = dict(_SITES, ranked="SELECT *, row_number() OVER (PARTITION BY target_file ORDER BY tier, caller_file, line, caller_symbol) AS place FROM sites")
+
+
+@query("SELECT target_file, caller_file, caller_symbol, line, CAST(tier AS INTEGER) AS tier FROM ranked WHERE place = 1", **_RANKED)
+def best_call_site(spark, d):
+    return summaries.best_call_site(_sites(spark, d), by=["target_file"]).select("target_file", "caller_file", "caller_symbol", "line", "tier")
+
+
+@query("SELECT target_file, caller_file, caller_symbol, line, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY target_file ORDER BY fill, caller_file, line, caller_symbol) AS nth FROM (SELECT r.*, row_number() OVER (PARTITION BY r.target_file, r.caller_file ORDER BY r.line, r.caller_symbol) > 1 OR r.caller_file = b.caller_file AS fill FROM ranked r JOIN ranked b ON r.target_file = b.target_file AND b.place = 1 WHERE r.place > 1)) WHERE nth <= 5", **_RANKED)
+def other_call_sites(spark, d):
+    return summaries.other_call_sites(_sites(spark, d), by=["target_file"]).select("target_file", "caller_file", "caller_symbol", "line", "nth")
+
+
+@query("SELECT id, CASE WHEN best IS NULL THEN 'probably unused' ELSE 'possibly unused' END AS verdict FROM (SELECT n.id, max(e.confidence) AS best FROM nodes n LEFT JOIN (SELECT * FROM edges WHERE type = 'calls') e ON n.id = e.target WHERE NOT starts_with(n.file_path, 'tests/') GROUP BY 1) WHERE best IS NULL OR best < 0.7", **_GRAPH)
+def unused_symbols(spark, d):
+    return graph.unused(sql_view(spark, d, "nodes"), sql_view(spark, d, "edges").where("type = 'calls'")).select("id", "verdict")
+
+
+@query("SELECT DISTINCT path FROM (SELECT 'economy/brand1.py' AS path UNION SELECT target FROM imports WHERE source = 'economy/brand1.py' UNION SELECT target FROM imports WHERE source IN (SELECT target FROM imports WHERE source = 'economy/brand1.py'))", imports=views.IMPORTS)
+def import_closure(spark, d):
+    return graph.import_closure(sql_view(spark, d, "imports"), spark.createDataFrame([("economy/brand1.py",)], "path string"))
+
+
+@query("SELECT path, count(*) AS connections FROM (SELECT source AS path FROM imports UNION ALL SELECT target FROM imports) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30", imports=views.IMPORTS)
+def connection_counts(spark, d):
+    return summaries.connection_counts(sql_view(spark, d, "imports"))
+
+
+# Summaries
+
+
+@query("SELECT layer, count(*) AS files, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT layer, length(purpose) - length(replace(purpose, ' ', '')) + 1 AS n FROM s) GROUP BY ROLLUP (layer)", s=views.SUMMARIES)
+def layer_metrics(spark, d):
+    rows = sql_view(spark, d, "summaries")
+    return summaries.code_metrics(rows, rows.select("file_path", F.replace("purpose", F.lit(" "), F.lit("\n")).alias("content"))).select("layer", "files", F.col("lines").cast("long").alias("lines"))
+
+
+@query("SELECT layer, count(*) AS n, min(file_path) AS first, md5(string_agg(file_path, ',' ORDER BY file_path)) AS hash FROM s GROUP BY 1", s=views.SUMMARIES)
+def layer_files(spark, d):
+    rows = summaries.files_by_layer(sql_view(spark, d, "summaries"))
+    return rows.select("layer", F.size("files").cast("long").alias("n"), F.array_min("files").alias("first"), F.md5(F.array_join("files", ",")).alias("hash"))
+
+
+@query("SELECT p_type AS language, CAST(p_size AS VARCHAR) AS category, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS names FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_retailprice < 1000) GROUP BY 1, 2")
+def tech_stack(spark, d):
+    part = table(spark, d, "part")
+    dimension = part.select(F.col("p_brand").alias("library"), F.col("p_type").alias("language"), F.col("p_size").cast("string").alias("category"), F.col("p_brand").alias("display"))
+    used = part.where("p_retailprice < 1000").select(F.upper("p_brand").alias("name"))
+    return summaries.tech_stack(used, dimension).select("language", "category", F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT layer, (SELECT p2.p FROM (SELECT layer AS l, purpose AS p, row_number() OVER (PARTITION BY layer ORDER BY length(purpose) DESC, purpose) AS r FROM s) p2 WHERE p2.l = s.layer AND r = 1) AS purpose, count(DISTINCT dep) AS files FROM s GROUP BY 1", s=views.SUMMARIES)
+def merge_maps(spark, d):
+    rows = sql_view(spark, d, "summaries").groupBy("layer", F.substring("file_path", 2, 1).alias("batch")).agg(F.min_by("purpose", F.struct(-F.length("purpose"), F.col("purpose"))).alias("purpose"), F.array_sort(F.collect_list("dep")).alias("files"))
+    return summaries.merge_layers(rows).select("layer", "purpose", F.size("files").cast("long").alias("files"))
+
+
+@query("SELECT source || '/' || lang AS directory, sha256(string_agg(CAST(doc_id AS VARCHAR) || '.py:' || sha256(text), '|' ORDER BY CAST(doc_id AS VARCHAR) || '.py:' || sha256(text))) AS signature FROM paths GROUP BY 1", paths=views.PATHS)
+def dir_signature(spark, d):
+    return summaries.directory_signature(sql_view(spark, d, "paths").select("path", fn.content_hash(F.col("text")).alias("hash")))
+
+
+_FOLD = dict(
+    items="SELECT source, doc_id, length(text) // 4 AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents",
+    fold="SELECT source, doc_id, rn, 0 AS batch, tokens AS used FROM items WHERE rn = 1 UNION ALL SELECT i.source, i.doc_id, i.rn, CASE WHEN f.used + i.tokens > 4000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.used + i.tokens > 4000 THEN i.tokens ELSE f.used + i.tokens END FROM fold f JOIN items i ON i.source = f.source AND i.rn = f.rn + 1",
+)
+
+
+@query()
+def greedy_batches(spark, d):
+    rows = table(spark, d, "documents").select("source", "doc_id", fn.token_estimate(F.col("text")).alias("tokens"))
+    return summaries.greedy_batches_long(rows, ["source"], ["doc_id"], 4000).select("source", "doc_id", "batch")
+
+
+ORACLE_SQL["greedy_batches"] = f"WITH RECURSIVE items AS ({_FOLD['items']}), fold AS ({_FOLD['fold']}) SELECT source, doc_id, CAST(batch AS INTEGER) AS batch FROM fold"
+
+
+@query("SELECT source, doc_id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 7 AS INTEGER) AS batch FROM documents")
+def fixed_batches(spark, d):
+    return summaries.fixed_batches(table(spark, d, "documents").select("source", "doc_id"), [F.asc("doc_id")], 7, ["source"])
+
+
+@query("SELECT count(*) AS n, CAST(floor(floor(sum(length(file_path) + length(purpose)) * 1.5) * 0.25) AS BIGINT) AS tokens FROM s", s=views.SUMMARIES)
+def summary_tokens(spark, d):
+    rows = sql_view(spark, d, "summaries")
+    none = spark.createDataFrame([], "directory_path string, purpose string")
+    return rows.agg(F.count("*").alias("n")).crossJoin(summaries.summary_tokens(rows, none))
+
+
+@query("""SELECT stage, name, n FROM (
+ SELECT 1 AS stage, 'Orders API' AS name, 0 AS n WHERE false
+ UNION ALL SELECT 2, regexp_extract(file, '([^/]*)\\.py$', 1), count(*) FROM e GROUP BY file HAVING count(*) >= 2) t""", e="SELECT replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) AS name, lower(replace(p_brand, '#', '')) || '.py' AS file FROM part")
+def workflow_groups(spark, d):
+    part = table(spark, d, "part")
+    rows = part.select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string")).alias("name"), F.lit("main_function").alias("entry_type"), F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(".py")).alias("file"), F.lit("").alias("description"))
+    return summaries.group_workflows(rows).select("stage", F.lower("name").alias("name"), F.size("entry_points").cast("long").alias("n"))
+
+
+# Maintenance, notes and jobs
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS reason FROM documents")
+def change_detection(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), fn.content_hash(F.col("text")).alias("hash"), "doc_id")
+    stored = docs.where("doc_id % 11 <> 0").select(F.lit("file").alias("type"), F.col("path").alias("target"), F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.col("hash")).alias("source_hash"))
+    return incremental.changed_files(docs, stored).select("doc_id", "reason")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) OR c_custkey % 10 = 9")
+def orphan_pages(spark, d):
+    pages = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("src/"), F.col("c_custkey").cast("string")).alias("source"))
+    sources = table(spark, d, "orders").select(F.concat(F.lit("src/"), F.col("o_custkey").cast("string")).alias("path")).distinct()
+    return incremental.orphans(pages, sources, ["src/*9"]).select("c_custkey")
+
+
+@query("SELECT seq, scope, target FROM n WHERE (scope = 'file' AND target = '7') OR scope = 'general'", n=views.NOTES)
+def notes_for_target(spark, d):
+    return incremental.notes_for(sql_view(spark, d, "notes"), "file", "7").select("seq", "scope", "target")
+
+
+@query("SELECT scope, target, max(seq) AS seq FROM n GROUP BY 1, 2", n=views.NOTES)
+def upsert_latest(spark, d):
+    notes = sql_view(spark, d, "notes")
+    newest = incremental.last_wins(notes, ["scope", "target"], [F.col("seq")])
+    return incremental.upsert(notes.where("false"), newest, ["scope", "target"]).select("scope", "target", "seq")
+
+
+_STATES = dict(j=views.JOBS, states="SELECT id, ts, seq, status, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) AS r FROM j) WHERE r = 1")
+
+
+@query("SELECT id, seq, status, value FROM states", **_STATES)
+def job_latest_state(spark, d):
+    return incremental.job_states(sql_view(spark, d, "jobs"), ["ts", "seq"]).select("id", "seq", "status", "value")
+
+
+@query("SELECT id, CASE WHEN status IN ('pending', 'running') THEN 'failed' ELSE status END AS status FROM states", **_STATES)
+def orphan_job_sweep(spark, d):
+    states = incremental.job_states(sql_view(spark, d, "jobs"), ["ts", "seq"]).withColumn("error_message", F.lit(None).cast("string")).withColumn("completed_at", F.col("ts"))
+    return incremental.sweep_orphans(states, F.col("ts")).select("id", "status")
+
+
+@query("SELECT id, seq FROM states ORDER BY ts DESC, id LIMIT 20", **_STATES)
+def jobs_recent(spark, d):
+    return incremental.recent_jobs(incremental.job_states(sql_view(spark, d, "jobs"), ["ts", "seq"]).withColumnRenamed("ts", "started_at")).select("id", "seq")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS \"user\", CAST(session AS BIGINT) AS session, count(*) AS n, min(event_id) AS first_event FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS session FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY 1, 2")
+def session_ttl(spark, d):
+    from tessera.streaming import jobs
+
+    turns = table(spark, d, "events").select(F.col("user_id").cast("string").alias("user"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    found = jobs.sessions(turns)
+    named = turns.join(found.withColumnRenamed("user", "of"), (F.col("user") == F.col("of")) & (F.col("ts") >= F.col("first")) & (F.col("ts") <= F.col("last")))
+    return named.groupBy("user", "session", "n").agg(F.min("seq").alias("first_event"))
+
+
+@query("SELECT coalesce(f.kind, 'all') AS kind, count(*) AS n FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'issue' ELSE 'page' END AS kind FROM documents) f GROUP BY ROLLUP (f.kind)")
+def cleanup_totals(spark, d):
+    rows = table(spark, d, "documents").select(F.when(F.col("doc_id") % 5 == 0, "issue").otherwise("page").alias("kind"))
+    return rows.rollup("kind").agg(F.count("*").alias("n")).select(F.coalesce("kind", F.lit("all")).alias("kind"), "n")
+
+
+@query()
+def parse_python_symbols(spark, d):
+    """Symbols of Python sources made of the documents' words; rows only, SQL has no parser."""
+    from tessera.operators import parsing
+
+    word = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1)
+    name = lambda k: F.concat(F.lit("f_"), F.coalesce(F.get(word, F.lit(k)), F.lit("x")))
+    source = F.concat(F.lit("import os\n\nclass C(Base):\n    def "), name(0), F.lit("(self):\n        raise ValueError('broken thing')\n\ndef "), name(1), F.lit("(a):\n    return "), name(0), F.lit("(a)\n"))
+    files = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), source.alias("content"))
+    return parsing.symbols_of(parsing.parse(files)).select("file_path", "ordinal", "name", "symbol_type", "start_line", "end_line", "parent")

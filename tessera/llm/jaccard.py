@@ -32,10 +32,11 @@ SKETCH_BITS = 22
 #: Counters to a row of a shuffled sketch.
 SKETCH_BLOCK = 1 << 15
 #: Smallest shingles by which nodes choose pivots.
-BOTTOM = 4
-STAR_ROUNDS = 3
-#: Longest multi-match requirement that a document may choose.
-MAX_LEVEL = 16
+BOTTOM = 8
+STAR_ROUNDS = 4
+#: Longest multi-match requirement that a document may choose, and shingles it needs for each step above one: a longer
+#: requirement blunts the positional filter, which has to allow for as many matches.
+MAX_LEVEL, LEVEL_SHINGLES = 16, 50
 #: Partners that a shingle has on average where the sketch shows nothing: passages shared by a few documents.
 USUAL_PARTNERS = 0.05
 #: Cost of verifying a candidate, in postings, besides a part by its size.
@@ -123,7 +124,7 @@ def sketch_levels(spark: SparkSession, scan: DataFrame, bits: int) -> np.ndarray
 
 def choose_level(estimates: np.ndarray, base: int, size: int) -> int:
     """The l of least cost, when estimates are the likely partners of each shingle in order and base is the prefix for l = 1."""
-    top = min(MAX_LEVEL, size - base + 1)
+    top = min(MAX_LEVEL, 1 + size // LEVEL_SHINGLES, size - base + 1)
     at = np.arange(1, top + 1)
     drawn = np.cumsum(estimates)[base - 1 : base - 1 + top] / at
     return int(np.argmin(base + at - 1 + drawn * (VERIFY_COST + size / 64))) + 1
@@ -278,16 +279,19 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     nodes = scratch.keep(rows.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), *(F.min(m).alias(m) for m in bottoms)), "nodes")
     verifier = _Verifier(texts, scratch, width, percent)
 
-    # Stars: a group agreeing in a smallest shingle is compared with one pivot, another one each round.
+    # Stars: a group agreeing in a smallest shingle is compared with one pivot. Pivots are of those whose smallest shingles
+    # most others have, which are close to what the group was copied from; another one each round.
     votes = nodes.select("id", "n", F.explode(F.array_distinct(F.array(*bottoms))).alias("m"))
-    shared = votes.groupBy("m").count().where("count > 1").select("m")
-    votes = scratch.keep(votes.join(shared, "m", "left_semi"), "votes")
+    shared = votes.groupBy("m").agg(F.count("*").alias("others")).where("others > 1")
+    votes = scratch.keep(votes.join(shared, "m"), "votes")
+    popular = votes.groupBy("id").agg(F.sum("others").alias("popular"))
+    votes = scratch.keep(votes.join(popular, "id").drop("others"), "voters")
     star_sets = verifier.sets(votes.select("id"), "star")
     links, labels = None, None
     for k in range(STAR_ROUNDS):
         named = votes if labels is None else votes.join(labels, "id", "left")
         named = named.withColumn("comp", F.col("id") if labels is None else F.coalesce("component", "id"))
-        turn = F.struct((F.col("id") if not k else F.xxhash64("id", F.lit(k))).alias("turn"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp"))
+        turn = F.struct(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 + 3 * min(k, 1))).alias("turn"), (-F.col("popular")).alias("first"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp"))
         pivots = named.groupBy("m").agg(F.min(turn).alias("p")).select("m", "p.*")
         tried = named.join(pivots, "m").where(f"comp <> pivot_comp and least(n, pivot_n) * 100L >= {percent}L * greatest(n, pivot_n)")
         pairs = tried.groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).count().select("a", "b")

@@ -126,7 +126,7 @@ def categorize(files: DataFrame, user_patterns: list[str], params: Params = DEFA
     """files (path, length, content) with `category`: included, excluded_by_rule or excluded_by_ignore, in that order of tests."""
     rule = excluded(F.col("path"), DEFAULT_EXCLUDES if default_patterns is None else default_patterns)
     own = excluded(F.col("path"), user_patterns)
-    unfit = (F.col("length") > params.max_file_size_kb * 1024) | is_binary(F.col("content"), params.binary_check_bytes) | is_minified(F.decode(F.col("content"), "UTF-8"), params.minified_line_length)
+    unfit = (F.col("length") > params.max_file_size_kb * 1024) | is_binary(F.col("content"), params.binary_check_bytes) | is_minified(F.col("content").cast("string"), params.minified_line_length)
     return files.withColumn("category", F.when(rule, "excluded_by_rule").when(own, "excluded_by_ignore").when(unfit, "excluded_by_rule").otherwise("included"))
 
 
@@ -141,7 +141,7 @@ def scan(files: DataFrame, user_patterns: list[str] | None = None, params: Param
     """Paths that belong to the corpus, sorted. Path and size tests run before any content is read."""
     patterns = DEFAULT_EXCLUDES + (user_patterns or [])
     kept = files.where(~excluded(F.col("path"), patterns)).where(F.col("length") <= params.max_file_size_kb * 1024)
-    return kept.where(~is_binary(F.col("content"), params.binary_check_bytes)).where(~is_minified(F.decode(F.col("content"), "UTF-8"), params.minified_line_length)).orderBy("path")
+    return kept.where(~is_binary(F.col("content"), params.binary_check_bytes)).where(~is_minified(F.col("content").cast("string"), params.minified_line_length)).orderBy("path")
 
 
 def directories(files: DataFrame) -> DataFrame:

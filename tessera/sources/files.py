@@ -29,8 +29,8 @@ def read_ignore(spark: SparkSession, path: str) -> list[str]:
 
 
 def lossy_text(content):
-    """Bytes as UTF-8, broken ones dropped."""
-    return F.replace(F.decode(content, "UTF-8"), F.lit("�"), F.lit(""))
+    """Bytes as UTF-8, broken ones dropped (and U+FFFD itself, which stands for them on the way)."""
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def scan_texts(spark: SparkSession, root: str, patterns: list[str] | None = None, params: Params = DEFAULT) -> DataFrame:

@@ -51,23 +51,29 @@ def sessions(turns: DataFrame, params: Params = DEFAULT) -> DataFrame:
 SESSION_SCHEMA = "user string, session long, nodes array<string>, expired boolean"
 
 
+def update_session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, params: Params = DEFAULT) -> Iterator[pd.DataFrame]:
+    """One user's state (session, nodes) after new rows, or its end when it timed out: the least recently used nodes go beyond the limit."""
+    number, nodes = state.get if state.exists else (0, [])
+    nodes = list(nodes)
+    columns = ["user", "session", "nodes", "expired"]
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([(key[0], number, nodes, True)], columns=columns)
+        return
+    for batch in batches:
+        for node in batch.sort_values(["ts", "node"])["node"]:
+            nodes = [x for x in nodes if x != node] + [node]
+    nodes = nodes[-params.session_max_nodes :]
+    state.update((number, nodes))
+    state.setTimeoutDuration(params.session_ttl_minutes * 60_000)
+    yield pd.DataFrame([(key[0], number, nodes, False)], columns=columns)
+
+
 def session_cache(turns: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """A stream (user, ts, node) to each session's cached nodes: least recently used go beyond the limit, state ends with its time to live."""
+    """A stream (user, ts, node) to each session's cached nodes; state ends with its time to live."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, nodes = state.get if state.exists else (0, [])
-        nodes = list(nodes)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], number, nodes, True)], columns=["user", "session", "nodes", "expired"])
-            return
-        for batch in batches:
-            for node in batch.sort_values(["ts", "node"])["node"]:
-                nodes = [x for x in nodes if x != node] + [node]
-        nodes = nodes[-params.session_max_nodes :]
-        state.update((number, nodes))
-        state.setTimeoutDuration(params.session_ttl_minutes * 60_000)
-        yield pd.DataFrame([(key[0], number, nodes, False)], columns=["user", "session", "nodes", "expired"])
+        yield from update_session(key, batches, state, params)
 
     return turns.groupBy("user").applyInPandasWithState(update, SESSION_SCHEMA, "session long, nodes array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
 

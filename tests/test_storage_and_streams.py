@@ -71,16 +71,39 @@ def test_job_stream(spark, tmp_path):
     assert events.event == "complete" and '"status":"completed"' in events.data
 
 
+class State:
+    """What update_session uses of Spark's group state."""
+
+    def __init__(self, value=None, timed_out=False):
+        self.value, self.hasTimedOut, self.timeout = value, timed_out, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        self.timeout = ms
+
+
 def test_session_cache_keeps_the_latest_nodes(spark, tmp_path):
+    import pandas as pd
+
     from tessera.params import Params
 
-    rows = [("u", datetime(2024, 1, 1, 0, 0, k), f"n{k % 4}") for k in range(6)]
-    spark.createDataFrame(rows, "user string, ts timestamp, node string").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("user string, ts timestamp, node string").parquet(str(tmp_path / "in"))
-    out = jobs.session_cache(stream, Params(session_max_nodes=3)).writeStream.outputMode("update").format("memory").queryName("session_out").option("checkpointLocation", str(tmp_path / "cp")).start()
-    out.processAllAvailable()
-    out.stop()
-    assert spark.table("session_out").first().nodes == ["n3", "n0", "n1"]
+    state = State()
+    rows = pd.DataFrame([("u", datetime(2024, 1, 1, 0, 0, k), f"n{k % 4}") for k in range(6)], columns=["user", "ts", "node"])
+    (out,) = jobs.update_session(("u",), iter([rows]), state, Params(session_max_nodes=3))
+    assert out.nodes[0] == ["n3", "n0", "n1"] and state.timeout == 1_800_000
+    state.hasTimedOut = True
+    (out,) = jobs.update_session(("u",), iter([]), state)
+    assert out.expired[0] and not state.exists
+    stream = spark.readStream.schema("user string, ts timestamp, node string").parquet(str(tmp_path))
+    assert jobs.session_cache(stream).columns == ["user", "session", "nodes", "expired"]
 
 
 def test_sessions_and_answers(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ TRAIN_DOCS = 20_000
 #: Entries of the model for each language: words, and n-grams of each length.
 MODEL_WORDS, MODEL_GRAMS = 30_000, 15_000
 #: Words and chunks that a worker remembers.
-CACHED = 400_000
+CACHED = 500_000
 
 
 def letter_words(text: str) -> list[str]:
@@ -30,32 +31,31 @@ def letter_words(text: str) -> list[str]:
 
 
 def grams(word: str, n: int) -> list[str]:
-    padded = f" {word} "
+    padded = f" {word} " if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
-
-    def rows() -> pa.RecordBatch:
+    """Counts of words, and of the n-grams of distinct words times their words' counts: far fewer than n-grams of the texts."""
+    words: Counter = Counter()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        found = Counter({(lang, 0, word): times for (lang, word), times in words.items()})
+        for (lang, word), times in words.items():
+            for n in range(1, LONGEST + 1):
+                for gram in grams(word, n):
+                    found[lang, n, gram] += times
+        words.clear()
         keys = list(found)
-        batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys]), pa.array([found[k] for k in keys], pa.int64())], names=["lang", "n", "gram", "count"])
-        found.clear()
-        return batch
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], names=["lang", "n", "gram", "count"])
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for word, times in Counter(letter_words(text)).items():
-                if len(word) > 40:
-                    continue
-                found[lang, 0, word] += times
-                for n in range(1, LONGEST + 1):
-                    for gram in grams(word, n):
-                        found[lang, n, gram] += times
-        if len(found) > 500_000:
-            yield rows()
-    if found:
-        yield rows()
+            words.update((lang, w) for w in letter_words(text) if len(w) <= 40)
+        if len(words) > 300_000:
+            yield from rows()
+    if words:
+        yield from rows()
 
 
 class Model:
@@ -68,25 +68,33 @@ class Model:
         for r in totals:
             size[r["n"], at[r["lang"]]] = r["count"]
         floor = np.log(0.3) - np.log(size)
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        known: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
         for r in rows:
-            known = self.tables[r["n"]].setdefault(r["gram"], floor[r["n"]].copy())
-            known[at[r["lang"]]] = np.log(r["count"]) - np.log(size[r["n"], at[r["lang"]]])
+            entry = known[r["n"]].setdefault(r["gram"], floor[r["n"]].copy())
+            entry[at[r["lang"]]] = np.log(r["count"]) - np.log(size[r["n"], at[r["lang"]]])
+        # Lists: for the few languages of a model they are several times faster than small arrays.
+        self.tables: list[dict[str, list[float]]] = [{g: v.tolist() for g, v in table.items()} for table in known]
 
-    def word(self, word: str) -> np.ndarray:
-        """Log posterior of the languages for one word under even priors, at least -6 below the best; zeros if nothing in it is known."""
+    def posterior(self, word: str) -> list[float]:
+        """Log posterior of the languages for one word under even priors, at least about -6 below the best; zeros if nothing in it is known."""
         found = self.tables[0].get(word)
         if found is None:
-            for n in range(LONGEST, 0, -1):
-                parts = grams(word, n)
-                known = [self.tables[n][g] for g in parts if g in self.tables[n]]
+            for n in range(min(LONGEST, len(word) + 2), 0, -1):
+                table, parts = self.tables[n], grams(word, n)
+                known = [table[g] for g in parts if g in table]
                 if known and 2 * len(known) >= len(parts):
-                    found = np.mean(known, axis=0) * min(2.0, len(parts) / n)
+                    weight = min(2.0, len(parts) / n) / len(known)
+                    found = [weight * sum(column) for column in zip(*known, strict=True)]
                     break
             else:
-                return np.zeros(len(self.langs))
-        found = np.maximum(found - found.max(), -6.0)
-        return found - np.log(np.exp(found).sum())
+                return [0.0] * len(self.langs)
+        best = max(found)
+        found = [max(x - best, -6.0) for x in found]
+        total = math.log(sum(map(math.exp, found)))
+        return [x - total for x in found]
+
+    def word(self, word: str) -> np.ndarray:
+        return np.array(self.posterior(word))
 
 
 class Identifier:
@@ -95,13 +103,20 @@ class Identifier:
         self.at: dict[str, int] = {}
         self.scores = np.zeros((CACHED, len(model.langs)), np.float32)
         self.words = np.zeros(CACHED, np.int32)
+        self.known: dict[str, list[float]] = {}
 
     def _add(self, chunk: str) -> int:
-        if len(self.at) >= CACHED:
-            raise OverflowError
         k = len(self.at)
         words = letter_words(chunk)
-        self.scores[k] = sum((self.model.word(w) for w in words), np.zeros(len(self.model.langs)))
+        vectors = []
+        for word in words:
+            vector = self.known.get(word)
+            if vector is None:
+                if len(self.known) >= CACHED:
+                    self.known.clear()
+                vector = self.known[word] = self.model.posterior(word)
+            vectors.append(vector)
+        self.scores[k] = vectors[0] if len(vectors) == 1 else [sum(c) for c in zip(*vectors, strict=True)] or 0
         self.words[k] = len(words)
         self.at[chunk] = k
         return k

@@ -144,18 +144,18 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, *, id_col: st
     `license` is that of the entire text by its canonical digest, null if no known text has it. `notices` lists, sorted
     and distinct, the licences whose digest one whole line of the text has; n_notices counts those lines. A null text has
     a null digest and no notices; texts without letters or digits match nothing. Ids may repeat or be null; rows stay
-    apart and other columns are ignored. Known digests number as many as the list of licences, so both lookups are
-    broadcast; nothing else moves.
+    apart and other columns are ignored. Known digests number as many as the list of licences: they are broadcast for
+    whole texts and a literal map for lines; nothing else moves.
     """
     spark = docs.sparkSession
     if known is None:
         known = known_digests(spark)
     table = F.broadcast(known.where(F.col("digest") != F.sha2(F.lit(""), 256)))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lookup = F.broadcast(known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("known")))
+    names = F.create_map(*(F.lit(x) for r in known.collect() for x in (r["digest"], r["license"])))
     # Only lines that name a licence or right can be notices of the list: others are not digested.
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?i)licen[cs]|rights reserved") & (F.length(x) < 400))
-    hits = F.filter(F.transform(lines, lambda x: F.try_element_at("known", canonical_digest(x))), lambda x: x.isNotNull())
-    out = source.select("id", "text", canonical_digest(F.col("text")).alias("digest")).join(table, "digest", "left").join(lookup)
+    hits = F.filter(F.transform(lines, lambda x: F.try_element_at(names, canonical_digest(x))), lambda x: x.isNotNull())
+    out = source.select("id", "text", canonical_digest(F.col("text")).alias("digest")).join(table, "digest", "left")
     out = out.withColumn("hits", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(hits))
     return out.select(F.col("id").alias(id_col), "digest", "license", F.array_sort(F.array_distinct("hits")).alias("notices"), F.size("hits").alias("n_notices"))

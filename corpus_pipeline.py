@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id; of repeated rows of one id one."""
+    """Of each group of near duplicates the document of smallest id (all its rows, if that id repeats); rows without an id stay."""
     classes = jaccard.near_duplicate_classes(docs)
     dropped = classes.where("doc_id <> component_id").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti")

@@ -37,7 +37,8 @@ _PATTERN = re.compile(
 _KINDS = {"assigned": "secret", "key": "secret", "hex": "secret", "pem": "secret"}
 
 _UPPER = "A-ZÀ-ÖØ-ÞŁŚŻŽČŠΆΈ-ΏΑ-ΩЀ-Я"
-_CAPITALS = re.compile(rf"(?<![\w'’])[{_UPPER}][\w'’-]*\.?(?:[ ][{_UPPER}][\w'’-]*)+")
+_TOKEN = rf"(?:(?:Mr|Mrs|Ms|Mx|Dr|Prof|Sr|Sra)\.|[{_UPPER}][\w'’-]*)"
+_CAPITALS = re.compile(rf"(?<![\w'’]){_TOKEN}(?:[ ]{_TOKEN})+")
 # Forms of address and frequent given names by gender, in Latin, Greek and Cyrillic script.
 _TITLES = {
     "m": ("Mr", "Mr.", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr.", "Don", "Signor", "Господин", "Κύριος"),
@@ -197,8 +198,11 @@ def render(surrogate: str, original: str, kind: str) -> str:
         return "".join(out)
     if kind.startswith(("given", "name")):
         return surrogate.upper() if original.isupper() else surrogate[:1].upper() + surrogate[1:]
-    if kind == "email" and original.isupper():
-        return surrogate.upper()
+    if kind == "email":
+        (local, _, domain), (model, _, place) = surrogate.rpartition("@"), original.rpartition("@")
+        if len(local) == len(model):
+            local = "".join(c.upper() if o.isupper() else c for c, o in zip(local, model, strict=True))
+        return f"{local}@{domain.upper() if place.isupper() else domain}"
     return surrogate
 
 

@@ -71,7 +71,7 @@ def test_search_is_exact_when_all_leaves_are_visited_and_skips_bad_vectors(spark
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.standard_normal(6).astype(np.float32)]) for i in range(150)]
     rows += [(i, rows[3][1]) for i in range(150, 190)]  # one common vector
-    rows += [(200, None), (205, [0.0] * 6), (210, [1.0, None, 0, 0, 0, 0]), (215, [float("nan")] + [1.0] * 5), (220, [float("inf")] + [1.0] * 5), (225, []), (None, [1.0] * 6)]
+    rows += [(200, None), (205, [0.0] * 6), (210, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (215, [float("nan")] + [1.0] * 5), (220, [float("inf")] + [1.0] * 5), (225, []), (None, [1.0] * 6)]
     table = spark.createDataFrame([(i, v, "a", 0.5) for i, v in rows], "vec_id long, embedding array<float>, rep string, score double")
     found = {}
     for r in ann.nearest(table, F.col("vec_id") % 5 == 0, visits=10_000).collect():

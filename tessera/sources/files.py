@@ -41,7 +41,7 @@ def scan_texts(spark: SparkSession, root: str, patterns: list[str] | None = None
 
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of all markdown pages below a root."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
     base = root.rstrip("/").removeprefix("file://").lstrip("/")
     return rows.select(F.regexp_replace(F.col("_metadata.file_path"), rf"^(?:file:)?/*{_quoted(base)}/", "").alias("path"), F.col("value").alias("content"))
 
@@ -79,7 +79,7 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
     """Notes kept as files with a frontmatter; files without scope or target are skipped."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
     rows = rows.withColumn("m", fn.frontmatter(F.col("value"))).where("m is not null")
     out = rows.select(F.col("m")["scope"].alias("scope"), F.coalesce(F.col("m")["target"], F.lit("")).alias("target"), fn.strip(fn.frontmatter_body(F.col("value"))).alias("content"), F.col("m")["author"].alias("author"), fn.parse_time(F.col("m")["updated_at"]).alias("updated_at"))
     return conform(out.where("scope is not null"), "notes")
@@ -96,7 +96,7 @@ def read_dimension(spark: SparkSession, path: str) -> DataFrame:
         import yaml
     except ImportError as e:
         raise RuntimeError("PyYAML is needed to read a YAML dimension") from e
-    text = "\n".join(r["value"] for r in spark.read.option("wholetext", "true").text(path).collect())
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
     rows = []
     for lang, categories in (yaml.safe_load(text) or {}).items():
         for category, libraries in (categories or {}).items():

@@ -26,22 +26,13 @@ def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return chunks.select(F.col(id_col).alias("id"), F.posexplode(terms(F.col(text_col))).alias("position", "term"))
 
 
-def phrase_count(found: Column, phrase: list[str]) -> Column:
-    """Occurrences of a phrase in an array of terms; the last word is a prefix."""
+def phrase_count(text: Column, phrase: list[str]) -> Column:
+    """Places where a text holds a phrase of terms; the last word is a prefix. One pattern: later words are only looked at, so places may overlap."""
     if not phrase:
         return F.lit(0)
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size(found) - len(phrase) + 1, F.lit(1))),
-        lambda i: _all([F.try_element_at(found, i + k) == w if k < len(phrase) - 1 else F.try_element_at(found, i + k).startswith(w) for k, w in enumerate(phrase)]),
-    )
-    return F.size(starts)
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return F.coalesce(out, F.lit(False))
+    gap = r"[^\p{L}\p{N}]+"
+    rest = "".join(f"{gap}{re.escape(w)}" for w in phrase[1:])
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}]){re.escape(phrase[0])}" + (f"(?={rest})" if rest else "")))
 
 
 def bm25(chunks: DataFrame, query: str, *, id_col: str, text_cols: list[str], clamp: bool = True) -> DataFrame:
@@ -52,8 +43,9 @@ def bm25(chunks: DataFrame, query: str, *, id_col: str, text_cols: list[str], cl
     aggregate (N, n, mean length: one row, broadcast), one scan; no shuffle but the aggregate's.
     """
     words = re.findall(r"[^\W_]+", query.lower())
-    arrays = [terms(F.coalesce(F.col(c), F.lit(""))) for c in text_cols]
-    length, matches = sum((F.size(a) for a in arrays[1:]), F.size(arrays[0])), sum((phrase_count(a, words) for a in arrays[1:]), phrase_count(arrays[0], words))
+    texts = [F.coalesce(F.col(c), F.lit("")) for c in text_cols]
+    length = sum((F.size(terms(t)) for t in texts[1:]), F.size(terms(texts[0])))
+    matches = sum((phrase_count(t, words) for t in texts[1:]), phrase_count(texts[0], words))
     # A cheap test first: a text without the first word's letters holds no phrase.
     probe = words[0] if words else ""
     maybe = sum((F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(probe)).cast("int") for c in text_cols), F.lit(0)) > 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -12,15 +13,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.scratch import Scratch, small_batches
 
-#: Rounds of new proposals for surrogates that collide; the domains are so large that one or two are usual.
-MAX_ROUNDS = 24
+#: Rounds in which proposals keep an entity's length and range; one or two are usual. Each later round draws from a larger
+#: domain (a longer value, a wider range), so that the rounds end for any set of entities.
+SAME_FORMAT = 8
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PATTERN = re.compile(
     "|".join(
         (
             r"(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)",
-            r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passw(?:or)?d|pwd)\b)[\"']?\s*(?:=|:)\s*[\"']?(?P<assigned>[A-Za-z0-9_+/.~-]{8,})",
+            r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passw(?:or)?d|pwd)\b)[\"']?\s*(?:=|:)\s*[\"']?(?P<assigned>(?=[_+/.~-]*[A-Za-z0-9])[A-Za-z0-9_+/.~-]{8,})",
             r"(?P<key>\b(?:sk|pk|rk)[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}|\bgh[pousr]_[A-Za-z0-9]{20,}|\bAKIA[0-9A-Z]{16}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}|\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})",
             r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)",
             r"(?P<mac>\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b)",
@@ -159,49 +161,69 @@ def _luhn(digits: str) -> int:
 
 
 def propose(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The surrogate's normal form for an entity: same kind, length, network or range, and validity of check digits."""
+    """The surrogate's normal form for an entity: same kind, length, network or range, and validity of check digits.
+
+    From attempt SAME_FORMAT on it is longer by one more character each time, or of a wider range, as no value may be free.
+    """
     draw = _Stream(key, kind, value, attempt)
+    grown = max(0, attempt + 1 - SAME_FORMAT)
     if kind in ("phone", "ssn"):
-        return str(2 + draw.below(8)) + draw.like(value[1:]) if kind == "phone" else "9" + draw.like(value[1:])
+        return (str(2 + draw.below(8)) if kind == "phone" else "9") + draw.like(value[1:] + "0" * grown)
     if kind == "card":
-        body = value[0] + draw.like(value[1:])
+        body = value[0] + draw.like(value[1:] + "0" * grown)
         wanted = _luhn(value) == 0
         last = next(d for d in "0123456789" if (_luhn(body[:-1] + d) == 0) == wanted and (wanted or d >= body[-1] or body[-1] == "9"))
         return body[:-1] + last
     if kind == "ipv4":
         parts = value.split(".")
         kept = 2 if parts[:2] == ["192", "168"] else 1 if parts[0] in ("10", "127") else 0
+        if grown and kept == 2:
+            parts, kept = ["10"], 1
+        if grown > SAME_FORMAT:
+            return _wide_ipv6(draw)
+        kept = kept if grown <= SAME_FORMAT // 2 else 0
         return ".".join([*parts[:kept], *(str(1 + draw.below(223 if not k else 254)) for k in range(kept, 4))])
+    if kind == "ipv6" and grown:
+        return _wide_ipv6(draw)
     if kind in ("ipv6", "mac"):
-        return draw.like(value, hexadecimal=True)
+        return draw.like(value + "0" * grown, hexadecimal=True)
     if kind == "iban":
-        body = draw.like(value[4:])
+        body = draw.like(value[4:] + "0" * grown)
         digits = "".join(str(int(c, 36)) for c in body + value[:2] + "00")
         return f"{value[:2]}{98 - int(digits) % 97:02d}{body}"
     if kind == "email":
         local, _, domain = value.rpartition("@")
         reserved = re.search(r"(?:^|\.)example\.(?:com|org|net)$|\.(?:example|test|invalid)$", domain)
-        return f"{draw.like(local)}@{domain if reserved else draw.like(domain.rpartition('.')[0]).replace('.', '-') + '.example'}"
+        return f"{draw.like(local + 'a' * grown)}@{domain if reserved else draw.like(domain.rpartition('.')[0]).replace('.', '-') + '.example'}"
     if kind == "secret":
-        return draw.like(value, hexadecimal=bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)))
+        hexadecimal = bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value))
+        return draw.like(value + ("0" if hexadecimal else "a") * grown, hexadecimal=hexadecimal)
     _, gender, script = kind.split("-")
     syllables, ends = _SYLLABLES[script], _ENDS[script, gender]
     return "".join(syllables[draw.below(len(syllables))] for _ in range(2 + (attempt + 2) // 3)) + ends[draw.below(len(ends))]
 
 
+def _wide_ipv6(draw: _Stream) -> str:
+    """An address of the range for documentation, 96 bits of it drawn."""
+    return "2001:db8:" + ":".join(f"{1 + draw.below(65535):x}" for _ in range(6))
+
+
 def render(surrogate: str, original: str, kind: str) -> str:
     """The surrogate in the format of one mention: its separators, case and brackets."""
     if kind in ("card", "phone", "ssn", "mac", "iban"):
         chars, out = iter(surrogate), []
         for c in original:
             out.append((lambda x: x.upper() if c.isupper() or kind == "iban" else x)(next(chars)) if c.isalnum() else c)
-        return "".join(out)
+        rest = "".join(chars)  # of a surrogate longer than the original
+        return "".join(out) + (rest.upper() if kind == "iban" else rest)
     if kind.startswith(("given", "name")):
         return surrogate.upper() if original.isupper() else surrogate[:1].upper() + surrogate[1:]
     if kind == "email":
         (local, _, domain), (model, _, place) = surrogate.rpartition("@"), original.rpartition("@")
         if len(local) == len(model):
             local = "".join(c.upper() if o.isupper() else c for c, o in zip(local, model, strict=True))
+        elif model.isupper():
+            local = local.upper()
         return f"{local}@{domain.upper() if place.isupper() else domain}"
     return surrogate
 
@@ -210,7 +232,8 @@ def _assign(found: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
     """(kind, value, surrogate) for distinct entities (kind, value): injective within a kind, and never an entity of the corpus.
 
     Each round every entity without a surrogate proposes one from the key; a proposal falls if it is an original, is held
-    already, or belongs to an entity later in order. All checks are joins over distinct entities.
+    already, or belongs to an entity later in order. All checks are joins over distinct entities. Rounds go on until every
+    entity has a surrogate: their domain grows with the attempt.
     """
 
     def proposals(attempt: int):
@@ -222,7 +245,7 @@ def _assign(found: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
         return make
 
     held, open_ = None, found
-    for attempt in range(MAX_ROUNDS):
+    for attempt in itertools.count():
         tried = open_.mapInArrow(proposals(attempt), "kind string, value string, surrogate string")
         free = tried.join(found.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if held is not None:
@@ -232,7 +255,6 @@ def _assign(found: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
         open_ = scratch.keep(open_.join(won.select("kind", "value"), ["kind", "value"], "left_anti"), f"open-{attempt}")
         if open_.isEmpty():
             return held
-    raise RuntimeError("surrogates still collide: a kind has more entities than values of its format")
 
 
 def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:

@@ -117,6 +117,29 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert len(rows) == 60 and len({r.surrogate for r in rows}) == 60 and not {r.surrogate for r in rows} & {f"{i:02d}" for i in range(60)}
 
 
+def test_every_entity_gets_a_surrogate_where_a_format_has_too_few(make_docs):
+    letters, hosts = "abcdefghijklmnopqrst", [f"{a:x}::{b:x}" for a in range(16) for b in range(1, 13)]
+    texts = ["Password: ________\ntoken = ..........", *(f"write to {c}@example.com now" for c in letters), "write to _@example.com now", "Password: _______x", " ".join(hosts)]
+    rows = {r.doc_id: r for r in pii.pseudonymise(make_docs(texts), b"key").collect()}
+    assert rows[0].text == texts[0] and rows[0].n_entities == 0
+    found = [re.fullmatch(r"write to (\w+@example\.com) now", rows[i].text)[1] for i in range(1, 22)]
+    assert len(set(found)) == 21 and not set(found) & {f"{c}@example.com" for c in letters + "_"}
+    assert rows[22].n_entities == 1 and re.fullmatch(r"Password: _{7}[a-z]", rows[22].text)
+    made = rows[23].text.split(" ")
+    assert rows[23].n_entities == len(set(made)) == len(hosts) and not set(made) & set(hosts)
+
+
+def test_surrogates_outgrow_their_format():
+    assert pii.propose(b"k", "ipv4", "192.168.3.4", 0).startswith("192.168.") and pii.propose(b"k", "ipv4", "192.168.3.4", pii.SAME_FORMAT).startswith("10.")
+    later = pii.SAME_FORMAT + 1
+    for kind, value, mention in (("phone", "2125553824", "(212) 555-3824"), ("ssn", "123456789", "123-45-6789"), ("iban", "de8937040044", "DE89 3704 0044"), ("mac", "001122aabbcc", "00:11:22:AA:BB:CC")):
+        surrogate = pii.propose(b"k", kind, value, later)
+        assert len(surrogate) == len(value) + 2
+        assert re.sub(r"\W", "", pii.render(surrogate, mention, kind)).casefold() == surrogate
+    card = pii.propose(b"k", "card", "4111111111111111", later)
+    assert len(card) == 18 and pii._luhn(card) == 0
+
+
 def test_whole_licences_and_notices(spark, make_docs, odd_texts):
     mit = next(t for name, t in licenses.LICENCES if name == "MIT")
     marked = "Copyright (c) 2024 Some Holder\n\n" + mit.upper().replace(",", "").replace("\n", "\r\n")

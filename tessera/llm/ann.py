@@ -85,19 +85,33 @@ def _vectors(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _compare(table: pa.Table, width: int, top: int) -> pa.Table:
-    """Of one leaf's block: each visiting query's `top` nearest vectors, and those as near as the last."""
+    """Of one leaf's block: each visiting query's nearest vectors of `top` owners, and those as near as the last.
+
+    Of an owner's vectors that no other id has, only the nearest count.
+    """
     is_query = table["is_query"].to_numpy(zero_copy_only=False)
     ids, all_ = table["id"].to_numpy(), _vectors(table["v"].combine_chunks(), width)
     queries, rows, q_ids, v_ids = all_[is_query], all_[~is_query], ids[is_query], ids[~is_query]
+    owners, alone = table["owner"].to_numpy()[~is_query], table["alone"].to_numpy(zero_copy_only=False)[~is_query]
+    order = np.lexsort((alone, owners))
+    rows, v_ids, owners, alone = rows[order], v_ids[order], owners[order], alone[order]
+    starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]]) if len(rows) else np.zeros(0, np.int64)
+    several = len(starts) < len(rows)
+    pairs = np.flatnonzero(np.r_[True, (owners[1:] != owners[:-1]) | ~alone[1:] | ~alone[:-1]]) if several else starts
+    lengths = np.diff(np.r_[pairs, len(rows)])
     out: list[tuple[np.ndarray, ...]] = []
     for i in range(0, len(queries) if len(rows) else 0, 16):
         part = queries[i : i + 16]
         distance = np.sqrt(((rows[None, :, :] - part[:, None, :]) ** 2).sum(-1))
-        last = np.partition(distance, min(top, len(rows)) - 1, axis=1)[:, min(top, len(rows)) - 1]
-        x, y = np.nonzero(distance <= last[:, None])
-        out.append((q_ids[i : i + 16][x], v_ids[y], distance[x, y]))
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pa.table(columns, names=["q", "rep", "score"])
+        nearest_ = np.minimum.reduceat(distance, starts, axis=1) if several else distance
+        last = np.partition(nearest_, min(top, len(starts)) - 1, axis=1)[:, min(top, len(starts)) - 1]
+        near = distance <= last[:, None]
+        if several:
+            near &= distance == np.repeat(np.minimum.reduceat(distance, pairs, axis=1), lengths, axis=1)
+        x, y = np.nonzero(near)
+        out.append((q_ids[i : i + 16][x], v_ids[y], owners[y], distance[x, y]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0)]
+    return pa.table(columns, names=["q", "rep", "owner", "score"])
 
 
 def _smallest(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -115,7 +129,8 @@ def nearest(table: DataFrame, queries, *, k: int = 10, id_col: str = "vec_id", v
     hold a null or a non-finite number take no part, nor do those of another length than most have; a null id neither.
     Rows with one id and different vectors stay apart as candidates; a row is never its own id's neighbour.
 
-    Equal vectors are indexed once, with the k + 1 smallest ids they carry: more can never be among a query's nearest.
+    Rows that repeat count once. Equal vectors are indexed once, with the k + 1 smallest ids they carry: more can never be
+    among a query's nearest. Wherever the nearest are cut, k + 1 different smallest ids (owners of vectors) are left.
     The driver gets the sample (bounded) and the row count of each leaf; every vector is put into a leaf of each tree,
     and queries meet it leaf by leaf, in blocks of about BLOCK rows by BLOCK queries.
     """
@@ -132,10 +147,11 @@ def nearest(table: DataFrame, queries, *, k: int = 10, id_col: str = "vec_id", v
     width = widths[0]["width"]
     rows = rows.where(F.size("v") == width)
 
-    held = _smallest(rows.select("id", "v"), ["v"], k + 1)
+    held = _smallest(rows.select("id", "v").distinct(), ["v"], k + 1)
     reps = scratch.keep(held.groupBy("v").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids")), "reps")
     # One id may carry several vectors: then the vectors are told apart by a number of their own.
-    reps = scratch.keep(reps.withColumn("rep", F.monotonically_increasing_id()), "numbered")
+    reps = reps.withColumn("rep", F.monotonically_increasing_id()).withColumn("owner", F.element_at("ids", 1)).withColumn("alone", F.size("ids") == 1)
+    reps = scratch.keep(reps, "numbered")
     asking = scratch.keep(rows.where("asks").select(F.col("id").alias("query_id"), "v").distinct().join(reps.select("v", "rep"), "v").select("query_id", "rep"), "asking")
 
     n = reps.count()
@@ -150,18 +166,18 @@ def nearest(table: DataFrame, queries, *, k: int = 10, id_col: str = "vec_id", v
             own = _vectors(batch.column(1), width)
             for tree, one in enumerate(forest.value):
                 cells = (tree << 32) + one.route(own)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells)], names=["id", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=["id", "v", "owner", "alone", "cell"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, own in enumerate(_vectors(batch.column(1), width)):
                 cells = [(tree << 32) + leaf for tree, leaf in visit(forest.value, own, visits)]
                 at = pa.array([i] * len(cells))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cells, pa.int64())], names=["id", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(cells, pa.int64())], names=["id", "v", "owner", "alone", "cell"])
 
-    schema = "id long, v array<double>, cell long"
-    indexed = reps.select("rep", "v").mapInArrow(route, schema)
-    asked = reps.join(asking.select("rep").distinct(), "rep", "left_semi").select("rep", "v").mapInArrow(ask, schema)
+    schema = "id long, v array<double>, owner long, alone boolean, cell long"
+    indexed = reps.select("rep", "v", "owner", "alone").mapInArrow(route, schema)
+    asked = reps.join(asking.select("rep").distinct(), "rep", "left_semi").select("rep", "v", "owner", "alone").mapInArrow(ask, schema)
     counts = {True: _blocks(asked), False: _blocks(indexed)}
     both = [rows_.withColumn("is_query", F.lit(q)) for q, rows_ in ((False, indexed), (True, asked))]
     dealt = []
@@ -171,13 +187,17 @@ def nearest(table: DataFrame, queries, *, k: int = 10, id_col: str = "vec_id", v
         theirs = F.sequence(F.lit(0), F.coalesce(F.element_at(other, F.col("cell")), F.lit(1)) - 1)
         rows_ = rows_.withColumn("mine", mine).withColumn("theirs", F.explode(theirs))
         pair = ("mine", "theirs") if q else ("theirs", "mine")
-        dealt.append(rows_.select("id", "v", "is_query", "cell", F.col(pair[0]).alias("qb"), F.col(pair[1]).alias("vb")))
+        dealt.append(rows_.select("id", "v", "owner", "alone", "is_query", "cell", F.col(pair[0]).alias("qb"), F.col(pair[1]).alias("vb")))
     top = k + 1
-    found = dealt[0].unionByName(dealt[1]).groupBy("cell", "qb", "vb").applyInArrow(lambda t: _compare(t, width, top), "q long, rep long, score double")
-    found = found.groupBy("q", "rep").agg(F.min("score").alias("score"))
-    found = found.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy("score"))).where(F.col("r") <= top).drop("r")
+    found = dealt[0].unionByName(dealt[1]).groupBy("cell", "qb", "vb").applyInArrow(lambda t: _compare(t, width, top), "q long, rep long, owner long, score double")
+    found = found.groupBy("q", "rep", "owner").agg(F.min("score").alias("score"))
+    # Owners nearer than a row, by the first row of each.
+    found = found.withColumn("first", (F.row_number().over(Window.partitionBy("q", "owner").orderBy("score", "rep")) == 1).cast("int"))
+    nearer = F.sum("first").over(Window.partitionBy("q").orderBy("score")) - F.sum("first").over(Window.partitionBy("q", "score"))
+    found = found.withColumn("nearer", nearer).where(F.col("nearer") < top)
     named = found.join(reps.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
-    named = named.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= top + k)
+    named = named.groupBy("q", "vec_id").agg(F.min("score").alias("score"))
+    named = named.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= top)
     result = asking.withColumnRenamed("rep", "q").join(named.drop("r"), "q").where("query_id <> vec_id")
     result = result.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -84,6 +84,27 @@ def test_search_is_exact_when_all_leaves_are_visited_and_skips_bad_vectors(spark
         assert np.allclose([x[1] for x in own], [d for d, _ in near], atol=1e-12)
 
 
+def test_repeated_rows_use_up_no_neighbours(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.standard_normal(6).astype(np.float32)]) for i in range(60)]
+    rows += [(i, rows[3][1]) for i in range(60, 75)]  # one common vector
+    # One id with several vectors, and vectors under several ids, near each other: pairs merge after the nearest are named.
+    several = [(7, [float(np.float32(x + d)) for x in rows[5][1]]) for d in (0.001, 0.002, 0.003, 0.004, 0.005, 0.006, 0.007, 0.008, 0.009, 0.01, 0.011, 0.012)]
+    for more in ([], several):
+        own = rows + more
+        table = spark.createDataFrame(own * 3 + [own[3]] * 40, "vec_id long, embedding array<float>")
+        found = {}
+        for r in ann.nearest(table, F.col("vec_id") % 5 == 0, visits=10_000).collect():
+            found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+        for q in range(0, 75, 5):
+            at, least = np.array(own[q][1]), {}
+            for i, v in own:
+                if i != q:
+                    least[i] = min(least.get(i, np.inf), float(np.sqrt(((np.array(v) - at) ** 2).sum())))
+            near = sorted((d, i) for i, d in least.items())[:10]
+            assert sorted(found[q]) == [(r + 1, i) for r, (_, i) in enumerate(near)], q
+
+
 def test_recall_of_the_forest(spark):
     rng = np.random.default_rng(1)
     vectors = rng.standard_normal((1500, 32)).astype(np.float32)

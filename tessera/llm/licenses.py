@@ -150,11 +150,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, *, id_col: st
     spark = docs.sparkSession
     if known is None:
         known = known_digests(spark)
-    table = F.broadcast(known.where(F.col("digest") != F.sha2(F.lit(""), 256)))
+    known = known.where(F.col("digest") != F.sha2(F.lit(""), 256))
+    table = F.broadcast(known)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = F.create_map(*(F.lit(x) for r in known.collect() for x in (r["digest"], r["license"])))
-    # Only lines that name a licence or right can be notices of the list: others are not digested.
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?i)licen[cs]|rights reserved") & (F.length(x) < 400))
+    # A known list holds digests, which tell nothing of a line's words or length: every line with a word is digested.
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
     hits = F.filter(F.transform(lines, lambda x: F.try_element_at(names, canonical_digest(x))), lambda x: x.isNotNull())
     out = source.select("id", "text", canonical_digest(F.col("text")).alias("digest")).join(table, "digest", "left")
     out = out.withColumn("hits", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(hits))

@@ -151,3 +151,13 @@ def test_whole_licences_and_notices(spark, make_docs, odd_texts):
     assert (rows[3].notices, rows[3].n_notices) == (["MIT", "proprietary"], 2)
     assert all(rows[i].license is None and rows[i].n_notices == 0 for i in range(4, len(texts)))
     assert rows[4].digest is None and licenses.scan_licenses(make_docs([])).count() == 0
+
+
+def test_any_known_text_is_found_as_a_line(make_docs):
+    own = [("MIT", licenses.LICENCES[0][1]), *((name, t) for name, t in licenses.LICENCES if name in ("Apache-2.0", "GPL-3.0-or-later", "Zlib", "ISC"))]
+    texts = ["Prose.\n" + " ".join(t.split()) + "\nMore prose." for _, t in own]
+    rows = {r.doc_id: r for r in licenses.scan_licenses(make_docs(texts)).collect()}
+    assert [(rows[i].license, rows[i].notices, rows[i].n_notices) for i in range(len(own))] == [(None, [name], 1) for name, _ in own]
+    known = licenses.known_digests(make_docs([]).sparkSession, [("Own", "Use it as you like."), ("None", "...")])
+    rows = {r.doc_id: r for r in licenses.scan_licenses(make_docs(["a\n\n-- Use it, as you like\n...", "..."]), known).collect()}
+    assert (rows[0].notices, rows[0].n_notices, rows[1].license, rows[1].n_notices) == (["Own"], 1, None, 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +101,22 @@ NOTICES: list[tuple[str, str]] = [
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("proprietary", "All rights reserved."),
 ]
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """(license, text) of the files in license_texts, and those with an appendix also without it, with and without the end mark.
+
+    A GPL or LGPL text does not say whether later versions are allowed: it counts as `only`.
+    """
+    out = []
+    for file in sorted((resources.files("tessera.llm") / "license_texts").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        head, end, _ = text.partition(_END)
+        out += [(name, t) for t in dict.fromkeys((text, head + end, head))]
+    return out
+
+
 #: Spellings that count as one, each pair as words of a canonical text (after punctuation has gone).
 EQUIVALENT: list[tuple[str, str]] = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"),
@@ -134,7 +152,7 @@ def canonical_digest(text: Column, **kw) -> Column:
 
 def known_digests(spark, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license), a table as long as the list given; one licence for each digest."""
-    rows = spark.createDataFrame(LICENCES + NOTICES if texts is None else texts, "license string, text string")
+    rows = spark.createDataFrame(LICENCES + NOTICES + long_texts() if texts is None else texts, "license string, text string")
     return rows.groupBy(canonical_digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 

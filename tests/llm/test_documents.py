@@ -161,3 +161,13 @@ def test_any_known_text_is_found_as_a_line(make_docs):
     known = licenses.known_digests(make_docs([]).sparkSession, [("Own", "Use it as you like."), ("None", "...")])
     rows = {r.doc_id: r for r in licenses.scan_licenses(make_docs(["a\n\n-- Use it, as you like\n...", "..."]), known).collect()}
     assert (rows[0].notices, rows[0].n_notices, rows[1].license, rows[1].n_notices) == (["Own"], 1, None, 0)
+
+
+def test_long_licences_are_found_as_whole_texts(make_docs):
+    known = dict(reversed(licenses.long_texts()))
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0"]
+    assert sorted(known) == names and all(len(t) > 5000 for t in known.values())
+    terms = known["Apache-2.0"].partition("APPENDIX:")[0]
+    texts = [*(known[n].replace("\n", "\r\n") for n in names), terms, terms.replace("END OF TERMS AND CONDITIONS", ""), known["GPL-3.0-only"] + " And more."]
+    rows = {r.doc_id: r.license for r in licenses.scan_licenses(make_docs(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == [*names, "Apache-2.0", "Apache-2.0", None]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import re
@@ -41,6 +42,7 @@ _KINDS = {"assigned": "secret", "key": "secret", "hex": "secret", "pem": "secret
 _UPPER = "A-ZÀ-ÖØ-ÞŁŚŻŽČŠΆΈ-ΏΑ-ΩЀ-Я"
 _TOKEN = rf"(?:(?:Mr|Mrs|Ms|Mx|Dr|Prof|Sr|Sra)\.|[{_UPPER}][\w'’-]*)"
 _CAPITALS = re.compile(rf"(?<![\w'’]){_TOKEN}(?:[ ]{_TOKEN})+")
+_CAPITAL = re.compile(rf"(?<![\w'’])[{_UPPER}][\w'’-]*")
 # Forms of address and frequent given names by gender, in Latin, Greek and Cyrillic script.
 _TITLES = {
     "m": ("Mr", "Mr.", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr.", "Don", "Signor", "Господин", "Κύριος"),
@@ -48,8 +50,8 @@ _TITLES = {
     "x": ("Dr", "Dr.", "Prof", "Prof.", "Mx", "Mx."),
 }
 _GIVEN = {
-    "m": ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Charles", "Daniel", "Matthew", "Anthony", "Mark", "Steven", "Paul", "Andrew", "George", "Peter", "Hans", "Klaus", "Jürgen", "Wolfgang", "Stefan", "Jean", "Pierre", "Michel", "Jacques", "Louis", "François", "Carlos", "José", "Juan", "Luis", "Miguel", "Pedro", "Javier", "Иван", "Алексей", "Дмитрий", "Сергей", "Николай", "Γιώργος", "Νίκος", "Δημήτρης"),
-    "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Lisa", "Margaret", "Emily", "Emma", "Olivia", "Anna", "Maria", "Alice", "Jane", "Ursula", "Sabine", "Petra", "Monika", "Heike", "Marie", "Jeanne", "Françoise", "Isabelle", "Nathalie", "Carmen", "María", "Ana", "Laura", "Lucía", "Мария", "Анна", "Елена", "Ольга", "Наталья", "Μαρία", "Ελένη", "Κατερίνα"),
+    "m": ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Charles", "Daniel", "Matthew", "Anthony", "Mark", "Steven", "Paul", "Andrew", "George", "Peter", "Hans", "Klaus", "Jürgen", "Wolfgang", "Stefan", "Jean", "Pierre", "Michel", "Jacques", "Louis", "François", "Carlos", "José", "Juan", "Luis", "Miguel", "Pedro", "Javier", "Joseph", "Christopher", "Kevin", "Brian", "Edward", "Ahmed", "Mohammed", "Muhammad", "Omar", "Hassan", "Ibrahim", "Wei", "Hiroshi", "Kenji", "Raj", "Rahul", "Arjun", "Giuseppe", "Giovanni", "Marco", "João", "Piotr", "Tomasz", "Lars", "Sven", "Иван", "Алексей", "Дмитрий", "Сергей", "Николай", "Γιώργος", "Νίκος", "Δημήτρης"),
+    "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Lisa", "Margaret", "Emily", "Emma", "Olivia", "Anna", "Maria", "Alice", "Jane", "Ursula", "Sabine", "Petra", "Monika", "Heike", "Marie", "Jeanne", "Françoise", "Isabelle", "Nathalie", "Carmen", "María", "Ana", "Laura", "Lucía", "Rebecca", "Michelle", "Amanda", "Stephanie", "Catherine", "Fatima", "Aisha", "Layla", "Mei", "Yuki", "Sakura", "Priya", "Ananya", "Giulia", "Francesca", "Katarzyna", "Agnieszka", "Ingrid", "Astrid", "Мария", "Анна", "Елена", "Ольга", "Наталья", "Μαρία", "Ελένη", "Κατερίνα"),
 }
 _TITLE_OF = {t: g for g, names in _TITLES.items() for t in names}
 _GENDER_OF = {n: g for g, names in _GIVEN.items() for n in names}
@@ -103,7 +105,11 @@ def _plain(word: str) -> bool:
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form), in order, without overlaps. One normal form is one entity, whatever its format."""
+    """(start, end, kind, normal form), in order, without overlaps. One normal form is one entity, whatever its format.
+
+    Names are found by a title or a known given name; in the same text every other mention of a name found so, alone or in
+    capitals, is that entity too.
+    """
     found = []
     if re.search(r"[0-9@=:]", text):
         for m in _PATTERN.finditer(text):
@@ -119,10 +125,25 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 if kind == "phone" and not 8 <= len(value) <= 15:
                     continue
             found.append((start, end, kind, value))
-    taken = [(f[0], f[1]) for f in found]
-    for start, end, kind, value in _names(text):
-        if not any(a < end and start < b for a, b in taken):
-            found.append((start, end, kind, value))
+    taken = sorted((f[0], f[1]) for f in found)
+
+    def is_free(start: int, end: int) -> bool:
+        k = bisect.bisect_left(taken, (end,))
+        return k == 0 or taken[k - 1][1] <= start
+
+    named = [n for n in _names(text) if is_free(n[0], n[1])]
+    found += named
+    if named:
+        # Bare and upper-case mentions of the names found: a word that is a name in several kinds is of the kind seen first.
+        kinds: dict[str, str] = {}
+        for _, _, kind, value in named:
+            kinds.setdefault(value, kind)
+        taken = sorted((f[0], f[1]) for f in found)
+        for m in _CAPITAL.finditer(text):
+            word = re.sub(r"['’][sS]$", "", m.group())
+            kind = kinds.get(word.casefold())
+            if kind and (word == word.upper() or _plain(word)) and is_free(m.start(), m.start() + len(word)):
+                found.append((m.start(), m.start() + len(word), kind, word.casefold()))
     return sorted(found)
 
 

@@ -171,3 +171,12 @@ def test_long_licences_are_found_as_whole_texts(make_docs):
     texts = [*(known[n].replace("\n", "\r\n") for n in names), terms, terms.replace("END OF TERMS AND CONDITIONS", ""), known["GPL-3.0-only"] + " And more."]
     rows = {r.doc_id: r.license for r in licenses.scan_licenses(make_docs(texts)).collect()}
     assert [rows[i] for i in range(len(texts))] == [*names, "Apache-2.0", "Apache-2.0", None]
+
+
+def test_later_bare_and_upper_case_names_are_the_same_entity(make_docs):
+    texts = ["John Smith came. Smith said no; John left. JOHN SMITH stayed. See Smith, John and Smith's book, but not Smithson.", "Smith is a trade here."]
+    rows = {r.doc_id: r for r in pii.pseudonymise(make_docs(texts), b"key").collect()}
+    given, name = rows[0].text.split(" ")[:2]
+    assert rows[0].text == texts[0].replace("Smithson", "@").replace("John", given).replace("Smith", name).replace("JOHN", given.upper()).replace("SMITH", name.upper()).replace("@", "Smithson")
+    assert given != "John" and name != "Smith" and rows[0].n_entities == 9 and (rows[1].text, rows[1].n_entities) == (texts[1], 0)
+    assert [v for *_, v in pii.entities("Later Ahmed Hassan met Wei Chen.")] == ["ahmed", "hassan", "wei", "chen"]

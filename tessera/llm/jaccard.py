@@ -43,6 +43,9 @@ USUAL_PARTNERS = 0.05
 VERIFY_COST = 4.0
 #: The largest filter of ids that may be broadcast, in bits (32 MB).
 FILTER_BITS = 28
+#: Postings of one shingle that one task pairs with as many others at most, about: longer lists are cut into blocks and
+#: each pair of blocks is a list of its own. Members of a star group that one task compares with the pivot, about.
+LIST_BLOCK, GROUP_BLOCK = 4096, 1024
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -130,11 +133,33 @@ def choose_level(estimates: np.ndarray, base: int, size: int) -> int:
     return int(np.argmin(base + at - 1 + drawn * (VERIFY_COST + size / 64))) + 1
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, levels, bits: int) -> Iterator[pa.RecordBatch]:
+def deal_long_lists(prefix: np.ndarray, blocks: np.ndarray, doc: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places) of a document's postings when lists of several blocks are cut: one list for each pair of blocks.
+
+    The document is in one block of each list, so it goes to as many lists as there are blocks. A place is four times the
+    position in the prefix, plus 2 in lists of one block, where all pair, or the side, 0 or 1, in lists of two blocks, where
+    only documents of different sides pair: every two documents meet exactly once for each shingle they share.
+    """
+    keys, places = [prefix[blocks == 1]], [np.flatnonzero(blocks == 1) * 4 + 2]
+    for pos in np.flatnonzero(blocks > 1):
+        n = int(blocks[pos])
+        other = np.arange(n, dtype=np.uint64)
+        own = mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(n)
+        low, high = np.minimum(other, own), np.maximum(other, own)
+        with np.errstate(over="ignore"):
+            keys.append(mix(prefix[pos] + mix(low * np.uint64(n) + high + np.uint64(1))))
+        places.append(pos * 4 + np.where(other == own, 2, other < own))
+    return np.concatenate(keys), np.concatenate(places)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, levels, bits: int, block: int) -> Iterator[pa.RecordBatch]:
+    """(id, n, ell, prefix, places); places is null where the prefix holds no shingle of a long list: then position is place."""
     table, mask = levels.value, np.uint64((1 << bits) - 1)
     partners = np.where(np.arange(256) > 0, 2.0 ** (np.arange(256) / 2), USUAL_PARTNERS)
+    # The sketch never counts less than a list holds; a level rounds by a factor of up to the fourth root of two.
+    lists = np.maximum(1, np.ceil(partners * 1.2 / block)).astype(np.int64)
     for batch in batches:
-        ids, sizes, ells, runs = [], [], [], []
+        ids, sizes, ells, runs, places = [], [], [], [], []
         for doc, found in zip(batch.column(0).to_pylist(), _sets(batch.column(1), width), strict=True):
             n = len(found)
             if not n or doc is None:
@@ -148,15 +173,21 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, level
             ids.append(doc)
             sizes.append(n)
             ells.append(ell)
-            runs.append(found[: base + ell - 1].view(np.int64))
+            run, own = found[: base + ell - 1], None
+            blocks = lists[level[: len(run)]]
+            if (blocks > 1).any():
+                run, own = deal_long_lists(run, blocks, doc)
+            runs.append(run.view(np.int64))
+            places.append(own)
         offsets = np.concatenate(([0], np.cumsum([len(r) for r in runs]))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ells, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(runs) if runs else np.zeros(0, np.int64)))], names=["id", "n", "ell", "prefix"])
+        prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(runs) if runs else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ells, pa.int32()), prefix, pa.array(places, pa.list_(pa.int32()))], names=["id", "n", "ell", "prefix", "places"])
 
 
-def _run_pairs(id_, comp, n, rest, ell, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _run_pairs(id_, comp, n, rest, ell, side, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of one posting list between different components that length and position allow."""
     order = np.argsort(n, kind="stable")
-    id_, comp, n, rest, ell = id_[order], comp[order], n[order], rest[order], ell[order]
+    id_, comp, n, rest, ell, side = id_[order], comp[order], n[order], rest[order], ell[order], side[order]
     for i in range(0, len(id_), 256):
         a = slice(i, i + 256)
         to = int(np.searchsorted(n, 100 * n[a][-1] // percent, "right"))
@@ -168,44 +199,54 @@ def _run_pairs(id_, comp, n, rest, ell, percent: int) -> Iterator[tuple[np.ndarr
         need = (percent * both + 99 + percent) // (100 + percent)
         ok = (comp[a][:, None] != comp[b][None, :]) & (percent * n[b][None, :] <= 100 * n[a][:, None]) & (least + np.minimum(rest[a][:, None], rest[b][None, :]) >= need)
         ok &= np.arange(to - i)[None, :] > np.arange(len(n[a]))[:, None]
+        if side[i] != 2:
+            ok &= side[a][:, None] != side[b][None, :]
         x, y = np.nonzero(ok)
         if len(x):
             yield id_[a][x], id_[b][y], least[x, y]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by shingle in, candidate pairs out: one row for each shared shingle. Holds one posting list."""
-    left: list[np.ndarray] | None = None
+def _pairs(batches: Iterator[pa.RecordBatch], percent: int, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by shingle in, candidate pairs out: one row for each shared shingle.
+
+    Holds the postings of one list, which are few (see LIST_BLOCK), and about `most` pairs.
+    """
+    open_: list[list[np.ndarray]] = []
     out: list[tuple[np.ndarray, ...]] = []
+    held = 0
 
     def emit() -> pa.RecordBatch:
+        nonlocal held
         a, b, ell = (np.concatenate(x) for x in zip(*out, strict=True))
         out.clear()
+        held = 0
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(ell.astype(np.int32))], names=["a", "b", "ell"])
 
-    def lists(columns: list[np.ndarray], last: bool) -> list[np.ndarray] | None:
+    def pairs_of(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        nonlocal held
         s = columns[0]
         cut = np.flatnonzero(s[1:] != s[:-1]) + 1
         starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(s)]))
-        keep = None
-        if not last:
-            keep = [c[starts[-1] :] for c in columns]
-            starts, ends = starts[:-1], ends[:-1]
         for k in np.flatnonzero(ends - starts > 1):
-            out.extend(_run_pairs(*(c[starts[k] : ends[k]] for c in columns[1:]), percent))
-        return keep
+            for found in _run_pairs(*(c[starts[k] : ends[k]] for c in columns[1:]), percent):
+                out.append(found)
+                held += len(found[0])
+                if held > most:
+                    yield emit()
 
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
         if not len(columns[0]):
             continue
-        if left is not None:
-            columns = [np.concatenate(x) for x in zip(left, columns, strict=True)]
-        left = lists(columns, last=False)
-        if sum(len(x[0]) for x in out) > 100_000:
-            yield emit()
-    if left is not None:
-        lists(left, last=True)
+        # The batch's last list stays open.
+        last = int(np.searchsorted(columns[0], columns[0][-1]))
+        if last or open_ and open_[0][0][0] != columns[0][0]:
+            parts = [*open_, [c[:last] for c in columns]]
+            yield from pairs_of([np.concatenate(x) for x in zip(*parts, strict=True)])
+            open_ = []
+        open_.append([c[last:] for c in columns])
+    if open_:
+        yield from pairs_of([np.concatenate(x) for x in zip(*open_, strict=True)])
     if out:
         yield emit()
 
@@ -258,7 +299,7 @@ class _Verifier:
         return both.where(f"shared * {100 + self.percent}L >= {self.percent}L * total").select("a", "b")
 
 
-def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, sketch_bits: int = SKETCH_BITS, list_block: int = LIST_BLOCK) -> DataFrame:
     """One row (doc_id, n_shingles, component_id) per row of docs; component_id is the smallest id reachable by links.
 
     Links need 100 * intersection >= percent * union of the sets of width-word shingles (A-Z lower-cased, words split at
@@ -285,15 +326,18 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     shared = votes.groupBy("m").agg(F.count("*").alias("others")).where("others > 1")
     votes = scratch.keep(votes.join(shared, "m"), "votes")
     popular = votes.groupBy("id").agg(F.sum("others").alias("popular"))
-    votes = scratch.keep(votes.join(popular, "id").drop("others"), "voters")
+    # A group of many members is compared with its pivot in parts.
+    parts = F.ceil(F.col("others") / GROUP_BLOCK)
+    votes = votes.join(popular, "id").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), parts)).drop("others")
+    votes = scratch.keep(votes, "voters")
     star_sets = verifier.sets(votes.select("id"), "star")
     links, labels = None, None
     for k in range(STAR_ROUNDS):
         named = votes if labels is None else votes.join(labels, "id", "left")
         named = named.withColumn("comp", F.col("id") if labels is None else F.coalesce("component", "id"))
         turn = F.struct(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 + 3 * min(k, 1))).alias("turn"), (-F.col("popular")).alias("first"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp"))
-        pivots = named.groupBy("m").agg(F.min(turn).alias("p")).select("m", "p.*")
-        tried = named.join(pivots, "m").where(f"comp <> pivot_comp and least(n, pivot_n) * 100L >= {percent}L * greatest(n, pivot_n)")
+        pivots = named.groupBy("m").agg(F.min(turn).alias("p"), F.first("parts").alias("parts")).select("m", "p.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        tried = named.drop("parts").join(pivots, ["m", "part"]).where(f"comp <> pivot_comp and least(n, pivot_n) * 100L >= {percent}L * greatest(n, pivot_n)")
         pairs = tried.groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).count().select("a", "b")
         found = scratch.keep(verifier.links(pairs, star_sets), f"star-links-{k}")
         if k and found.isEmpty():
@@ -303,10 +347,11 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         scratch.release()
 
     # What is left: pairs between components that share enough of their prefixes.
-    prefixes = texts.mapInArrow(lambda b: _prefixes(b, width, percent, levels, bits), "id long, n int, ell int, prefix array<long>")
+    prefixes = texts.mapInArrow(lambda b: _prefixes(b, width, percent, levels, bits, list_block), "id long, n int, ell int, prefix array<long>, places array<int>")
     own = nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    postings = prefixes.join(own, "id").select("id", "comp", "n", "ell", F.posexplode("prefix").alias("pos", "s"))
-    postings = postings.select("s", "id", "comp", "n", (F.col("n") - F.col("pos") - 1).alias("rest"), "ell")
+    postings = prefixes.join(own, "id").select("id", "comp", "n", "ell", "places", F.posexplode("prefix").alias("pos", "s"))
+    place = F.coalesce(F.get("places", F.col("pos")), F.col("pos") * 4 + 2)
+    postings = postings.select("s", "id", "comp", "n", (F.col("n") - F.shiftright(place, 2) - 1).alias("rest"), "ell", place.bitwiseAND(3).alias("side"))
     pairs = postings.repartition("s").sortWithinPartitions("s").mapInArrow(lambda b: _pairs(b, percent), "a long, b long, ell int")
     pairs = scratch.keep(pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell")).where("shared >= ell").select("a", "b"), "pairs")
     scratch.drop("star-sets")

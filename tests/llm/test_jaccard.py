@@ -54,6 +54,48 @@ def test_same_classes_as_brute_force(spark, make_docs, odd_texts, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(list(zip(ids, texts, strict=True)))
 
 
+@pytest.mark.parametrize("order", ["rising", "falling", "random"])
+def test_chains_of_near_copies(spark, make_docs, order):
+    """Windows over one long text: each document links to its neighbours only."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(2000 + 60)]
+    texts = [" ".join(words[2 * k : 2 * k + 30]) for k in range(1000)]
+    ids = {"rising": list(range(1000)), "falling": list(range(1000, 0, -1)), "random": rng.sample(range(9000), 1000)}[order]
+    found = jaccard.near_duplicate_classes(make_docs(texts, ids), sketch_bits=14).collect()
+    assert {r.component_id for r in found} == {min(ids)} and len(found) == 1000
+
+
+def test_long_lists_are_cut_without_loss(spark, make_docs):
+    """Every list that may hold over five postings is dealt in blocks; classes stay those of brute force."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [*family(rng, 30, 40, 0.01), *(passage + f" u{k} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.choice((2, 4, 6)))) for k in range(60))]
+    found = jaccard.near_duplicate_classes(make_docs(texts), list_block=5, sketch_bits=10).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(list(enumerate(texts)))
+
+
+def test_dealt_lists_pair_every_two_documents_once():
+    prefix, blocks = np.array([11, 12, 13], np.uint64), np.array([1, 3, 4])
+    met, lists = {}, {}
+    for doc in range(40):
+        keys, places = jaccard.deal_long_lists(prefix, blocks, doc)
+        for key, place in zip(keys.tolist(), places.tolist(), strict=True):
+            lists.setdefault(key, []).append((doc, place >> 2, place & 3))
+    for members in lists.values():
+        for (a, pos, x), (b, _, y) in itertools.combinations(members, 2):
+            if x == 2 or x != y:
+                met[a, b, pos] = met.get((a, b, pos), 0) + 1
+    assert met == {(a, b, pos): 1 for a, b in itertools.combinations(range(40), 2) for pos in range(3)}
+
+
+def test_pairs_are_emitted_inside_a_list():
+    n = 3000
+    columns = [np.full(n, 7), np.arange(n), np.arange(n), np.full(n, 50), np.full(n, 45), np.ones(n, int), np.full(n, 2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 1000]) for c in columns], names=list("scinrew")) for i in range(0, n, 1000)]
+    sizes = [b.num_rows for b in jaccard._pairs(iter(batches), 80, most=10_000)]
+    assert sum(sizes) == n * (n - 1) // 2 and max(sizes) < 1_000_000 and len(sizes) > 3
+
+
 def test_null_ids_repeated_rows_and_empty_tables(make_docs):
     text = "one two three four five six"
     rows = jaccard.near_duplicate_classes(make_docs([text, text, text, "other words are in this text"], [None, 7, 7, 9])).collect()

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush, heapreplace
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +19,10 @@ from tessera.llm.scratch import small_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Segments that a worker remembers, and their length.
-CACHED, SEGMENT_CHARS = 500_000, 40
+#: Chunks, atoms and pairs of pieces that a worker remembers, and the length of those chunks. Results never depend on them.
+CACHED, CHUNK_CHARS = 1_000_000, 40
+#: How much worse than the worst piece an unknown character of a unigram model is.
+UNKNOWN_PENALTY = 10.0
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -48,58 +53,135 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | float | bytes]]:
         yield tag >> 3, value
 
 
+class CharacterMap:
+    """The normaliser's rules: a transducer that rewrites the longest key at each place and copies other characters.
+
+    Its states are the units of the double-array trie that model files hold, its outputs the strings that follow it.
+    """
+
+    def __init__(self, blob: bytes):
+        size = struct.unpack_from("<I", blob)[0] if blob else 0
+        self.units = struct.unpack_from(f"<{size // 4}I", blob, 4) if blob else ()
+        self.outputs = blob[4 + size :]
+        self.plain = "".join(chr(c) for c in range(128) if not self.units or self._step(self._offset(self.units[0]), c) is None)
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 0x200) >> 6)
+
+    def _step(self, at: int, byte: int) -> int | None:
+        at ^= byte
+        if at >= len(self.units) or self.units[at] & 0x800000FF != byte:
+            return None
+        return at
+
+    def _longest(self, data: bytes, start: int) -> tuple[int, int]:
+        """(end, where the output is) of the longest key that data has at start; (start, -1) without one."""
+        node, found = self._offset(self.units[0]), (start, -1)
+        for i in range(start, len(data)):
+            at = self._step(node, data[i])
+            if at is None:
+                break
+            unit = self.units[at]
+            node = at ^ self._offset(unit)
+            if unit >> 8 & 1:
+                found = (i + 1, self.units[node] & 0x7FFFFFFF)
+        return found
+
+    def apply(self, text: str) -> str:
+        if not self.units or not text.strip(self.plain):
+            return text
+        data, out, i, copied = text.encode(), [], 0, 0
+        while i < len(data):
+            end, at = self._longest(data, i)
+            if at < 0:
+                i += 1 if data[i] < 0x80 else 2 if data[i] < 0xE0 else 3 if data[i] < 0xF0 else 4
+                continue
+            out += (data[copied:i], self.outputs[at : self.outputs.index(b"\0", at)])
+            i = copied = end
+        return b"".join([*out, data[copied:]]).decode()
+
+
 class Model:
     """Pieces and normaliser of a `.model` file."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as file:
-            data = file.read()
+    def __init__(self, data: bytes):
         self.pieces: list[tuple[str, float, int]] = []
-        self.bpe, self.dummy_prefix, self.collapse, charsmap = False, True, True, b""
+        kind, suffix = 1, 0
+        self.dummy_prefix, self.collapse, escape, charsmap = True, True, 1, b""
         for number, value in _fields(data):
             if number == 1:
                 parts = dict(_fields(value))
                 self.pieces.append((parts[1].decode(), parts.get(2, 0.0), parts.get(3, NORMAL)))
             elif number == 2:
-                self.bpe = dict(_fields(value)).get(3, 1) == 2
+                parts = dict(_fields(value))
+                kind, suffix = parts.get(3, 1), parts.get(24, 0)
             elif number == 3:
                 parts = dict(_fields(value))
                 charsmap = parts.get(2, b"")
-                self.dummy_prefix, self.collapse = bool(parts.get(3, 1)), bool(parts.get(4, 1))
-        if charsmap:
-            raise ValueError("only normalisers without a character map are compiled")
-        self.id = {text: k for k, (text, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
+                self.dummy_prefix, self.collapse, escape = bool(parts.get(3, 1)), bool(parts.get(4, 1)), parts.get(5, 1)
+        if kind not in (1, 2) or suffix or not escape:
+            raise ValueError("only unigram and byte-pair models that mark spaces before words are compiled")
+        self.bpe, self.map = kind == 2, CharacterMap(charsmap)
+        self.user = {text: k for k, (text, _, kind) in enumerate(self.pieces) if kind == USER}
+        if self.user and not self.bpe:
+            raise ValueError("unigram models with pieces of the user's own are not compiled")
+        self.id = {text: k for k, (text, _, kind) in enumerate(self.pieces) if kind == NORMAL}
         self.bytes = {int(text[3:5], 16): k for k, (text, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown = next(k for k, p in enumerate(self.pieces) if p[2] == UNKNOWN)
 
+    @classmethod
+    def read(cls, path: str) -> Model:
+        with open(path, "rb") as file:
+            return cls(file.read())
+
 
 class Transducer:
     """The composition of normaliser, piece transducer and byte fallback, searched in the tropical semiring.
 
-    - Normaliser: one state; every character maps to itself, the space to U+2581, with the dummy prefix as start output.
-    - Pieces: a trie over characters; the arc that ends a piece emits its id. For a unigram model the arc's weight is minus
-      its score. A byte-pair model has no path weights that stand for its merge order; there a path is right exactly when
-      every two neighbouring pieces are what merging their own text gives, so the state also holds the piece last emitted,
-      arcs to a piece that may not follow it weigh infinity and all others zero. One path of finite weight is left.
-    - Byte fallback: arcs that emit a character's bytes where no piece covers it.
-
-    Composition is lazy: states are made only along an input. Pieces never hold a space after another character (checked),
-    so an input is a concatenation of segments `spaces + others`, and shortest paths are found, and remembered, segment by
-    segment. Where pieces do hold such spaces the whole input is one segment.
+    - Normaliser: the character map, runs of spaces to one where the model says so, the space to U+2581, and the dummy
+      prefix as start output. It has one path for an input.
+    - Pieces: a trie of integer states over characters; the arc back to its root emits the piece that was read. For a
+      unigram model it weighs minus the piece's score. A byte-pair model has no path weights that stand for its merge
+      order; there a path is right exactly when every two neighbouring pieces are what merging their own text gives, so a
+      state also holds the piece last emitted, arcs to a piece that may not follow it weigh infinity and all others zero.
+      One path of finite weight is left for every prefix of the input (tests hold it equal to the library's).
+    - Byte fallback: an arc of its own over each character that is no piece; it emits the character's bytes, or the unknown
+      piece.
+
+    `shortest` makes the composition's states along an input and settles them least weight first, as Dijkstra does, of
+    equal weight the furthest first. Where no piece holds two neighbouring characters, no path crosses, so inputs are cut
+    there into atoms; paths are found, and remembered, atom by atom.
     """
 
     def __init__(self, model: Model):
         self.model = model
-        self.split = not any(SPACE in text.lstrip(SPACE) for text in model.id)
-        self.longest = max(map(len, model.id), default=1)
-        # Pieces that merging their own text gives; others can't be emitted. Open: texts that start a longer piece.
-        self.known = {text for text in model.id if not model.bpe or self._merge(text) == [text]}
-        self.open = {text[:i] for text in self.known for i in range(1, len(text))}
+        # Pieces that merging their own text gives; others can't be emitted.
+        used = {text: k for text, k in model.id.items() if not model.bpe or self._merge(text) == [text]}
+        # The trie: every path from its root, and the arcs that leave a position where the input goes along that path, as
+        # (weight, -characters, piece), least weight first and of equal weight the longest. Piece -1 is the fallback.
+        self.weight = [0.0 if model.bpe else -p[1] for p in model.pieces]
+        worst = min((model.pieces[k][1] for k in used.values()), default=0.0)
+        self.fallback = [(0.0 if model.bpe else UNKNOWN_PENALTY - worst, -1, -1)]
+        self.trie, self.leaving = ahocorasick.Automaton(), {"": self.fallback}
+        for path in {text[:i] for text in used for i in range(1, len(text) + 1)}:
+            arcs = [(self.weight[used[path[:i]]], -i, used[path[:i]]) for i in range(1, len(path) + 1) if path[:i] in used]
+            self.leaving[path] = sorted(arcs + ([] if path[0] in used else self.fallback))
+            self.trie.add_word(path, None)
+        self.used = used
+        self.inside = {text[i : i + 2] for text in used for i in range(len(text) - 1)}
+        # Chunks begin at spaces and are independent, unless pieces hold spaces after other characters, user's pieces may
+        # begin with one, or unknown characters in a row make one piece.
+        self.split = not any(SPACE in text.lstrip(SPACE) for text in used) and not model.user and bool(model.bytes)
+        self.user = re.compile("(" + "|".join(re.escape(u) for u in sorted(model.user, key=len, reverse=True)) + ")")
+        self.user_ids = {u: struct.pack("<I", k) for u, k in model.user.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.text = [self._bytes(*p) for p in model.pieces]
-        self.cache: dict[str, bytes] = {}
+        self.atom_ids = _Cache(self._atom)
+        self.chunks = _Cache(lambda chunk: self._ids(SPACE + chunk))
 
     def normalise(self, text: str) -> str:
+        text = self.model.map.apply(text)
         if self.model.collapse:
             text = " ".join(x for x in text.split(" ") if x)
         if not text:
@@ -121,114 +203,110 @@ class Transducer:
         return parts
 
     def follows(self, left: str, right: str) -> bool:
-        """Whether the arc to `right` has finite weight in the states after `left`."""
-        key = (left, right)
-        found = self.pairs.get(key)
+        """Whether the arc to `right` has finite weight in the states after `left`, in a byte-pair model."""
+        found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 4 * CACHED:
                 self.pairs.clear()
-            found = self.pairs[key] = self._merge(left + right) == [left, right]
+            found = self.pairs[left, right] = self._merge(left + right) == [left, right]
         return found
 
-    def shortest(self, segment: str) -> list[str]:
-        """Pieces, or single characters for the fallback, of the path of least weight through one segment."""
-        n = len(segment)
-        if not self.model.bpe:
-            return self._unigram(segment)
-        # Every prefix has one path of finite weight, so a state is a position. Arcs are tried longest first; a position
-        # that leads nowhere is closed for good.
+    def shortest(self, text: str) -> list[tuple[str, int]]:
+        """(text, piece) of the path of least weight through the composition with one atom.
+
+        The queue holds the next arc of every settled state, arcs of a state in order; a pair's weight is looked up when
+        its arc is popped.
+        """
+        n, bpe, leaving, longest = len(text), self.model.bpe, self.leaving, self.trie.longest_prefix
+        if bpe and text in self.used:
+            return [(text, self.used[text])]
         pairs, follows = self.pairs, self.follows
-        out: list[str] = []
-        at, left, closed = 0, "", set()
-        arcs = [self._arcs(segment, 0)]
-        while at < n:
-            ends = arcs[-1]
-            while ends:
-                end = ends.pop()
-                if end in closed:
-                    continue
-                piece = segment[at:end]
-                finite = not left or pairs.get((left, piece))
-                if finite is None:
-                    finite = follows(left, piece)
-                if finite:
-                    out.append(piece)
-                    at, left = end, piece
-                    arcs.append(self._arcs(segment, at))
-                    break
+        came: list[tuple[int, str, int]] = [(-1, "", -1)] * (n + 1)  # of a settled state: where its last arc began, text, piece
+        arcs = leaving[text[: longest(text)]]
+        heap = [(arcs[0][0], arcs[0][1], 0, 0, 0.0, arcs)]  # weight, -end, start, arc, start's weight, arcs
+        while heap:
+            weight, end, start, k, base, arcs = heap[0]
+            if k + 1 < len(arcs):
+                heapreplace(heap, (base + arcs[k + 1][0], arcs[k + 1][1] - start, start, k + 1, base, arcs))
             else:
-                closed.add(at)
-                arcs.pop()
-                at -= len(out.pop())
-                left = out[-1] if out else ""
-        return out
-
-    def _arcs(self, segment: str, at: int) -> list[int]:
-        """Ends of the piece arcs from a position, ascending; a single character always has one (for the fallback)."""
-        ends, end, n = [at + 1], at + 1, len(segment)
-        while end < n and segment[at:end] in self.open:
-            end += 1
-            if segment[at:end] in self.known:
-                ends.append(end)
-        return ends
-
-    def _unigram(self, segment: str) -> list[str]:
-        n, ids, pieces = len(segment), self.model.id, self.model.pieces
-        worst = min((p[1] for p in pieces if p[2] == NORMAL), default=0.0) - 10
-        best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                k = ids.get(segment[i:j])
-                if k is None and j > i + 1:
+                heappop(heap)
+            end = -end
+            if came[end][0] >= 0:
+                continue
+            read = text[start:end]
+            if bpe and start:
+                left = came[start][1]
+                finite = pairs.get((left, read))
+                if not (follows(left, read) if finite is None else finite):
                     continue
-                weight = best[i][0] - (pieces[k][1] if k is not None else worst)
-                if weight < best[j][0]:
-                    best[j] = (weight, i)
-        out, at = [], n
-        while at:
-            out.append(segment[best[at][1] : at])
-            at = best[at][1]
+            came[end] = (start, read, arcs[k][2])
+            if end == n:
+                break
+            rest = text[end:]
+            arcs = leaving[rest[: longest(rest)]]
+            heappush(heap, (weight + arcs[0][0], arcs[0][1] - end, end, 0, weight, arcs))
+        out = []
+        while n:
+            n, read, piece = came[n]
+            out.append((read, piece))
         return out[::-1]
 
-    def _ids(self, segment: str) -> bytes:
+    def atoms(self, text: str) -> list[str]:
+        """Cuts between characters that no piece holds side by side."""
+        if not text:
+            return []
+        out, start, inside = [], 0, self.inside
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in inside:
+                out.append(text[start:i])
+                start = i
+        out.append(text[start:])
+        return out
+
+    def _atom(self, atom: str) -> bytes:
         out: list[int] = []
-        for piece in self.shortest(segment):
-            k = self.model.id.get(piece)
-            if k is not None:
-                out.append(k)
+        for text, piece in self.shortest(atom):
+            if piece >= 0:
+                out.append(piece)
             elif self.model.bytes:
-                out.extend(self.model.bytes[b] for b in piece.encode())
+                out.extend(self.model.bytes[b] for b in text.encode())
             else:
                 out.append(self.model.unknown)
-        return np.array(out, "<u4").tobytes()
-
-    def segments(self, text: str) -> list[str]:
-        """Cuts before each space that follows another character."""
-        out, parts, lead = [], text.split(SPACE), ""
-        for k, part in enumerate(parts):
-            lead += SPACE * (k > 0)
-            if part:
-                out.append(lead + part)
-                lead = ""
-        if lead:
-            out.append(lead)
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def _ids(self, normal: str) -> bytes:
+        """Ids of a normalised text: of its user's pieces, leftmost and longest first, and of the atoms between them."""
+        atom = self.atom_ids.__getitem__
+        if not self.model.user:
+            out = b"".join(map(atom, self.atoms(normal)))
+        else:
+            parts = self.user.split(normal)
+            out = b"".join(self.user_ids[part] if k % 2 else b"".join(map(atom, self.atoms(part))) for k, part in enumerate(parts))
+        if not self.model.bytes:  # unknown characters in a row make one piece
+            ids = np.frombuffer(out, "<u4")
+            again = (ids == self.model.unknown) & (np.r_[np.uint32(self.model.unknown + 1), ids[:-1]] == ids)
+            return ids[~again].tobytes()
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         normal = self.normalise(text)
-        if not normal:
-            return b""
-        out = []
-        for segment in self.segments(normal) if self.split else [normal]:
-            found = self.cache.get(segment)
-            if found is None:
-                found = self._ids(segment)
-                if len(segment) <= SEGMENT_CHARS:
-                    if len(self.cache) >= CACHED:
-                        self.cache.clear()
-                    self.cache[segment] = found
-            out.append(found)
+        if not self.split or not normal.startswith(SPACE):
+            return self._ids(normal)
+        chunks = normal[1:].split(SPACE)
+        if "" not in chunks:
+            return b"".join(map(self.chunks.__getitem__, chunks))
+        out, spaces = [], 0
+        for chunk in chunks:
+            if not chunk:  # a space before a space, or the last: it belongs to the next chunk
+                spaces += 1
+            elif spaces:
+                out.append(self._ids(SPACE * spaces + SPACE + chunk))
+                spaces = 0
+            else:
+                out.append(self.chunks[chunk])
+        if spaces:
+            out.append(self._ids(SPACE * spaces))
         return b"".join(out)
 
     @staticmethod
@@ -243,13 +321,29 @@ class Transducer:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
+class _Cache(dict):
+    """Ids of a string, made when first seen."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.make(text)
+        if len(text) <= CHUNK_CHARS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[text] = found
+        return found
+
+
 _transducers: dict[str, Transducer] = {}
 
 
 def transducer(path: str) -> Transducer:
     """The worker's transducer for a file, compiled once."""
     if path not in _transducers:
-        _transducers[path] = Transducer(Model(path))
+        _transducers[path] = Transducer(Model.read(path))
     return _transducers[path]
 
 

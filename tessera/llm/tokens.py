@@ -64,20 +64,37 @@ def plain_byte_level(path: str) -> dict:
 class IdEncoder:
     """Ids of a tokenizers `.json` file as unsigned 32-bit numbers, special strings inside texts as its default.
 
-    The vocabulary is the file's; the merging is done by tiktoken, whose ids are the same and come three times faster.
+    The vocabulary is the file's; the merging is done by tiktoken, whose ids are the same and come three times faster, if
+    ids follow the order of merges. Where they don't, and for texts that its backtracking pattern gives up on (very long
+    runs of white space), `tokenizers` itself encodes.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
         spec = plain_byte_level(path)
+        self.path, self.slow = path, None
         byte = {c: b for b, c in byte_symbols().items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
-        self.encoding = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=special)
+        merged = [spec["model"]["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        self.encoding = None
+        if all(a < b for a, b in zip(merged, merged[1:], strict=False)):
+            self.encoding = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, allowed_special="all")
+        if self.encoding is not None:
+            try:
+                return self.encoding.encode_to_numpy(text, allowed_special="all")
+            except ValueError:
+                pass
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.no_truncation()
+            self.slow.no_padding()
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _encoders: dict[str, IdEncoder] = {}

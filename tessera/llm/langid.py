@@ -9,19 +9,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.scratch import small_batches
+from tessera.llm.scratch import Scratch, small_batches
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: A run of more letters than LONGEST_WORD (scripts without blanks) counts as words of so many, in learning and scoring.
+LONGEST_WORD = 40
+_WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST_WORD}}}")
 #: Longest n-gram for unseen words; words start and end with a blank.
 LONGEST = 5
-#: Texts to learn from, about: where more are labelled, a hash of the id picks a fraction.
+#: Texts to learn from, about: where more are labelled, a hash of the id picks a fraction of each language.
 TRAIN_DOCS = 20_000
-#: Entries of the model for each language: words, and n-grams of each length.
-MODEL_WORDS, MODEL_GRAMS = 30_000, 15_000
+#: Texts of a language that are learned from at least, about, if it has so many.
+TRAIN_LEAST = 200
 #: Words and chunks that a worker remembers.
 CACHED = 500_000
 
@@ -51,15 +54,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words.update((lang, w) for w in letter_words(text) if len(w) <= 40)
+            words.update((lang, w) for w in letter_words(text))
         if len(words) > 300_000:
             yield from rows()
     if words:
         yield from rows()
 
 
+def entry_key(n: int, gram: str) -> int:
+    return xxhash.xxh3_64_intdigest(gram.encode("utf-8", "surrogatepass"), n)
+
+
 class Model:
-    """Per entry (word or n-gram) the log frequency in each language; langs in alphabetical order."""
+    """Per entry (a word, n = 0, or an n-gram) the log frequency in each language; langs in alphabetical order.
+
+    Only (entry, language) pairs that were seen are held, in arrays sorted by a 64-bit hash of the entry: 13 bytes for each,
+    whatever the number of languages. A language in which an entry wasn't seen has that length's floor.
+    """
 
     def __init__(self, rows: list, totals: list):
         self.langs = sorted({r["lang"] for r in totals})
@@ -67,27 +78,42 @@ class Model:
         size = np.ones((LONGEST + 1, len(self.langs)))
         for r in totals:
             size[r["n"], at[r["lang"]]] = r["count"]
-        floor = np.log(0.3) - np.log(size)
-        known: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for r in rows:
-            entry = known[r["n"]].setdefault(r["gram"], floor[r["n"]].copy())
-            entry[at[r["lang"]]] = np.log(r["count"]) - np.log(size[r["n"], at[r["lang"]]])
-        # Lists: for the few languages of a model they are several times faster than small arrays.
-        self.tables: list[dict[str, list[float]]] = [{g: v.tolist() for g, v in table.items()} for table in known]
+        self.floor = (math.log(0.3) - np.log(size)).tolist()
+        order = sorted((entry_key(r["n"], r["gram"]), at[r["lang"]], math.log(r["count"]) - math.log(size[r["n"], at[r["lang"]]])) for r in rows)
+        self.keys = np.array([o[0] for o in order], np.uint64)
+        self.lang = np.array([o[1] for o in order], np.int16 if len(self.langs) < 1 << 15 else np.int32)
+        self.weight = np.array([o[2] for o in order], np.float32)
+
+    def entries(self, n: int, parts: list[str]) -> list[list[float]]:
+        """The vectors over languages of the parts that are known, in order."""
+        keys = np.array([entry_key(n, p) for p in parts], np.uint64)
+        starts, ends = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
+        out = []
+        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+            if start < end:
+                vector = self.floor[n].copy()
+                for j, weight in zip(self.lang[start:end].tolist(), self.weight[start:end].tolist(), strict=True):
+                    vector[j] = weight
+                out.append(vector)
+        return out
 
     def posterior(self, word: str) -> list[float]:
-        """Log posterior of the languages for one word under even priors, at least about -6 below the best; zeros if nothing in it is known."""
-        found = self.tables[0].get(word)
+        """Log posterior of the languages for one word under even priors, at least about -6 below the best; zeros if nothing in it is known.
+
+        A known word counts by its own frequency; else its n-grams do, of the longest length of which half are known.
+        """
+        known = self.entries(0, [word])
+        found = known[0] if known else None
+        for n in range(min(LONGEST, len(word) + 2), 0, -1):
+            if found is not None:
+                break
+            parts = grams(word, n)
+            known = self.entries(n, parts)
+            if known and 2 * len(known) >= len(parts):
+                weight = min(2.0, len(parts) / n) / len(known)
+                found = [weight * sum(column) for column in zip(*known, strict=True)]
         if found is None:
-            for n in range(min(LONGEST, len(word) + 2), 0, -1):
-                table, parts = self.tables[n], grams(word, n)
-                known = [table[g] for g in parts if g in table]
-                if known and 2 * len(known) >= len(parts):
-                    weight = min(2.0, len(parts) / n) / len(known)
-                    found = [weight * sum(column) for column in zip(*known, strict=True)]
-                    break
-            else:
-                return [0.0] * len(self.langs)
+            return [0.0] * len(self.langs)
         best = max(found)
         found = [max(x - best, -6.0) for x in found]
         total = math.log(sum(map(math.exp, found)))
@@ -142,22 +168,26 @@ class Identifier:
         return self.model.langs[best], float(share[best] / share.sum())
 
 
-def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS) -> Model:
-    """Learn from rows with a text and a lang; of more than max_docs a hash of the id keeps about that many.
+def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS, least: int = TRAIN_LEAST) -> Model:
+    """Learn from rows with a text and a lang, all of them up to max_docs.
 
-    The driver gets at most MODEL_WORDS + LONGEST * MODEL_GRAMS entries for each language.
+    Beyond that every language gets an equal part of max_docs, or all it has, `least` if the part is smaller: a hash of
+    the id picks about that many of its rows. All words and n-grams seen twice or more in those texts are in the model; the
+    driver gets them, and the count of rows of each language: what is learned from is bounded, and nothing else.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    share = min(1.0, max_docs / max(1, rows.count()))
-    picked = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    counted = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_counts, "lang string, n int, gram string, count long")
-    counted = counted.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")).persist()
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if sum(found.values()) > max_docs:
+        part = max(least, max_docs // len(found))
+        shares = [(lang, min(1.0, part / n)) for lang, n in found.items()]
+        spark = labelled.sparkSession
+        shares = spark.createDataFrame(shares, "lang string, share double")
+        chance = (F.xxhash64("id", F.lit(7)) / F.lit(2.0**64)) + 0.5
+        rows = rows.join(F.broadcast(shares) if len(found) <= 10_000 else shares, "lang").where((chance < F.col("share")) | (F.col("share") >= 1))
+    counted = rows.select("lang", "text").mapInArrow(_counts, "lang string, n int, gram string, count long")
+    counted = Scratch(labelled.sparkSession, "langid").keep(counted.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")), "counts")
     totals = counted.groupBy("lang", "n").agg(F.sum("count").alias("count")).collect()
-    order = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")
-    best = counted.where("count > 1").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("n") == 0, MODEL_WORDS).otherwise(MODEL_GRAMS))
-    model = Model(best.select("lang", "n", "gram", "count").collect(), totals)
-    counted.unpersist()
-    return model
+    return Model(counted.where("count > 1").collect(), totals)
 
 
 #: The worker's model and its identifier.

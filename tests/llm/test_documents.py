@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -71,6 +72,73 @@ def test_backoff_uses_shorter_grams_for_unseen_words(spark):
     assert not model.word("中").any()
 
 
+def brute_language(rows, texts):
+    """(language, score) of texts by the method's words, from dictionaries over all rows (text, lang)."""
+    counts = {}
+    for text, lang in rows:
+        for w in re.findall(r"[^\W\d_]{1,40}", text.lower()):
+            counts.setdefault((lang, 0), Counter())[w] += 1
+            for n in range(1, 6):
+                padded = w if n == 1 else f" {w} "
+                counts.setdefault((lang, n), Counter()).update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    langs = sorted({lang for lang, _ in counts})
+    size = {k: sum(c.values()) for k, c in counts.items()}
+
+    def vector(n, gram):
+        if not any(counts.get((lang, n), {}).get(gram, 0) > 1 for lang in langs):
+            return None
+        return [math.log(max(c, 0.3) if (c := counts.get((lang, n), {}).get(gram, 0)) > 1 else 0.3) - math.log(size.get((lang, n), 1)) for lang in langs]
+
+    out = []
+    for text in texts:
+        total, words = [0.0] * len(langs), re.findall(r"[^\W\d_]{1,40}", text.lower())
+        for w in words:
+            found = vector(0, w)
+            for n in range(min(5, len(w) + 2), 0, -1):
+                if found is None:
+                    padded = w if n == 1 else f" {w} "
+                    parts = [padded[i : i + n] for i in range(len(padded) - n + 1)]
+                    known = [v for v in (vector(n, p) for p in parts) if v]
+                    if known and 2 * len(known) >= len(parts):
+                        found = [min(2.0, len(parts) / n) / len(known) * sum(c) for c in zip(*known, strict=True)]
+            if found is not None:
+                found = [max(x - max(found), -6.0) for x in found]
+                norm = math.log(sum(math.exp(x) for x in found))
+                total = [t + x - norm for t, x in zip(total, found, strict=True)]
+        share = [math.exp((t - max(total)) * min(1.0, 12 / len(words))) for t in total] if words else []
+        best = max(range(len(langs)), key=lambda j: (share[j], -j)) if words else None
+        out.append((langs[best], share[best] / sum(share)) if words else ("und", 0.0))
+    return out
+
+
+def test_languages_and_scores_equal_brute_force(spark, make_docs):
+    rng = random.Random(12)
+    parts = {"aa": "ka la mo ri tu", "bb": "ka sho gri mo zz", "cc": "щи ка мо ру", "zh": "天 地 人 山 水 火 风 木"}
+    rows = []
+    for lang, of in parts.items():
+        of = of.split()
+        words = ["".join(rng.choice(of) for _ in range(rng.randrange(1, 4))) for _ in range(40)]
+        for _ in range(25):
+            rows.append(("".join(rng.choice(of) for _ in range(120)) if lang == "zh" else " ".join(rng.choice(words) for _ in range(30)), lang))
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == sorted(parts)
+    texts = ["".join(rng.choice("kalomrituszghiщуруа天地人山 ") for _ in range(rng.randrange(1, 60))) for _ in range(120)] + [t for t, _ in rows[::7]]
+    found = {r.doc_id: r for r in langid.identify(make_docs(texts), model).collect()}
+    for i, (lang, score) in enumerate(brute_language(rows, texts)):
+        assert abs(found[i].score - score) < 1e-4 and (found[i].lang_pred == lang or score < 0.5), texts[i]
+    assert all(found[len(texts) - len(rows[::7]) + k].lang_pred == lang for k, (_, lang) in enumerate(rows[::7]))
+
+
+def test_rare_languages_are_learned_beside_large_ones(spark):
+    rows = [(i, "the cat sat on the mat again and again", "en") for i in range(3000)] + [(9000 + i, "kissa istui matolla taas ja taas", "fi") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, max_docs=100, least=20)
+    assert model.langs == ["en", "fi"] and model.langs[model.word("matolla").argmax()] == "fi"
+    tiny = langid.train(docs, max_docs=1, least=1)
+    assert "fi" in langid.train(docs, max_docs=1, least=8).langs and isinstance(tiny.langs, list)
+
+
 PRIVATE = [
     "Write to ann.lee@corp.org or ANN.LEE@corp.org today.",
     "Call (743) 555-3824 or 743-555-3824, not (521) 555-6210.",

@@ -1,11 +1,12 @@
 import hashlib
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat
+from tessera.llm import ann, chat, queries
 
 
 def conversations(spark, rows):
@@ -74,7 +75,7 @@ def test_search_is_exact_when_all_leaves_are_visited_and_skips_bad_vectors(spark
     rows += [(200, None), (205, [0.0] * 6), (210, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (215, [float("nan")] + [1.0] * 5), (220, [float("inf")] + [1.0] * 5), (225, []), (None, [1.0] * 6)]
     table = spark.createDataFrame([(i, v, "a", 0.5) for i, v in rows], "vec_id long, embedding array<float>, rep string, score double")
     found = {}
-    for r in ann.nearest(table, F.col("vec_id") % 5 == 0, visits=10_000).collect():
+    for r in ann.nearest(table, F.col("vec_id") % 5 == 0, reach=1.0).collect():
         found.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
     want = exact(rows)
     assert set(found) == set(want)
@@ -94,7 +95,7 @@ def test_repeated_rows_use_up_no_neighbours(spark):
         own = rows + more
         table = spark.createDataFrame(own * 3 + [own[3]] * 40, "vec_id long, embedding array<float>")
         found = {}
-        for r in ann.nearest(table, F.col("vec_id") % 5 == 0, visits=10_000).collect():
+        for r in ann.nearest(table, F.col("vec_id") % 5 == 0, reach=1.0).collect():
             found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
         for q in range(0, 75, 5):
             at, least = np.array(own[q][1]), {}
@@ -105,20 +106,27 @@ def test_repeated_rows_use_up_no_neighbours(spark):
             assert sorted(found[q]) == [(r + 1, i) for r, (_, i) in enumerate(near)], q
 
 
-def test_recall_of_the_forest(spark):
-    rng = np.random.default_rng(1)
-    vectors = rng.standard_normal((1500, 32)).astype(np.float32)
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    found = ann.nearest(table, F.col("vec_id") % 50 == 0, leaves=32, visits=60).collect()
-    own = {(r.query_id, r.vec_id) for r in found}
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1", "check_l"])
+def test_recall_of_the_query(spark, folder):
+    """The query itself, on its own parameters, against brute force; the large table is one that the check tool has."""
+    path = f"/root/testdata/{folder}"
+    if not os.path.exists(f"{path}/embeddings.parquet"):
+        pytest.skip("no such table here")
+    table = [r for r in spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect() if r[1] and None not in r[1] and np.isfinite(r[1]).all() and np.any(r[1])]
+    ids, vectors = np.array([r[0] for r in table]), np.array([r[1] for r in table], np.float64)
+    found = {}
+    for r in queries.op5_nearest_neighbours(spark, path).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    asked = np.unique(ids[ids % 100 == 0])
+    assert sorted(found) == asked.tolist()
     hit = total = 0
-    for q in range(0, 1500, 50):
-        d = ((vectors.astype(float) - vectors[q]) ** 2).sum(1)
-        d[q] = np.inf
-        near = np.argsort(d)[:10]
-        hit, total = hit + sum((q, int(i)) in own for i in near), total + 10
-    assert hit / total >= 0.9
+    for q in asked[:: max(1, len(asked) // 100)]:
+        distance = np.sqrt(((vectors - vectors[ids == q][0]) ** 2).sum(1))
+        distance[ids == q] = np.inf
+        far = np.sort(distance)[min(10, len(ids)) - 1]
+        assert [x[0] for x in sorted(found[q])] == list(range(1, 11))
+        hit, total = hit + sum(score <= far + 1e-9 for _, _, score in found[q]), total + 10
+    assert hit / total >= 0.95
 
 
 def test_few_and_no_vectors(spark):

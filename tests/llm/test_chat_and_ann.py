@@ -41,8 +41,28 @@ def test_windows_read_back_exactly(spark, odd_texts, budget, history):
         assert [s.pos for s in again] == list(range(own[0].pos - len(again), own[0].pos))
         if r.conv_id % 3 == 0:
             assert r.segments[0].role == "system"
-        if max(-(-len(s.body) // 4) for s in own) <= history:
-            assert sum(-(-len(s.body) // 4) for s in r.segments) <= budget
+        assert r.formatted == "".join(s.body for s in r.segments) and r.context_chars == sum(len(s.body) for s in r.segments if s.repeated)
+        bare = [s.body.partition("|>")[2].removesuffix("</s>") for s in r.segments if s.loss]
+        assert [r.formatted[x.start : x.start + x.length] for x in r.loss] == bare
+        head = tokens(r.segments[0]) if r.segments[0].role == "system" and r.segments[0].pos == 0 else 0
+        if max((tokens(s) for s in own if s.pos or not head), default=0) + head <= budget:
+            assert sum(map(tokens, r.segments)) <= budget
+
+
+def tokens(segment):
+    return -(-len(segment.body) // 4)
+
+
+def test_turns_that_fit_never_overflow(spark):
+    """Turns of 1530, 1500 and 1000 tokens, of some 1700 beside small ones, and by counts of the caller's own."""
+    for sizes in ((1530, 1500, 1000), (1700, 3, 1900, 40, 2040), (600, 600, 600, 600, 600, 600), (2040, 2040)):
+        rows = [(1, k, "user", "x" * (4 * n - 13), None, None) for k, n in enumerate(sizes)]
+        made = chat.windows(conversations(spark, rows)).collect()
+        assert all(sum(map(tokens, r.segments)) <= 2048 for r in made)
+        assert sorted(s.pos for r in made for s in r.segments if not s.repeated) == list(range(len(sizes)))
+    counted = spark.createDataFrame([(1, k, "user", "word", 900) for k in range(6)], "conv_id long, turn long, role string, text string, n int")
+    made = chat.windows(counted, tokens_col="n").collect()
+    assert all(len(r.segments) * 900 <= 2048 for r in made) and len(made) < 6
 
 
 def test_escape_is_reversible_and_hides_control_strings(spark):

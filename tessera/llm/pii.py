@@ -6,6 +6,7 @@ import bisect
 import hashlib
 import itertools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,21 +56,63 @@ _GIVEN = {
 }
 _TITLE_OF = {t: g for g, names in _TITLES.items() for t in names}
 _GENDER_OF = {n: g for g, names in _GIVEN.items() for n in names}
+# Chinese surnames, and forms of address after a Chinese name and before an Arabic one, by gender.
+_HAN_SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕"
+_HAN_TITLES = {"m": ("先生",), "f": ("女士", "小姐", "太太", "夫人"), "x": ("教授", "博士", "医生", "老师")}
+_ARABIC_TITLES = {"m": ("السيد", "الدكتور", "الأستاذ"), "f": ("السيدة", "الآنسة", "الدكتورة", "الأستاذة")}
+_HAN_GENDER = {t: g for g, names in _HAN_TITLES.items() for t in names}
+_ARABIC_GENDER = {t: g for g, names in _ARABIC_TITLES.items() for t in names}
+_HAN = re.compile(rf"([{_HAN_SURNAMES}])([\u4e00-\u9fff]{{0,2}}?)(?:{'|'.join(_HAN_GENDER)})")
+_ARABIC = re.compile(rf"(?<![\u0621-\u064A])(?:{'|'.join(sorted(_ARABIC_GENDER, key=len, reverse=True))}) ([\u0621-\u064A]{{2,}})(?: (ال[\u0621-\u064A]{{2,}}))?")
 # Syllables and endings of invented names, by script and gender.
 _SYLLABLES = {
     "latin": ("ba", "bel", "cor", "da", "del", "el", "fa", "gal", "ha", "jo", "ka", "lan", "ma", "mar", "ne", "nor", "pa", "quil", "ra", "ro", "sa", "sil", "ta", "tor", "ul", "va", "ver", "wil", "ya", "zan"),
     "greek": ("βα", "γα", "δη", "ελ", "ζα", "θε", "κα", "λε", "μα", "νι", "ξα", "πα", "ρο", "σο", "τα", "φι", "χα"),
     "cyrillic": ("ба", "ва", "га", "да", "же", "за", "ка", "ла", "ма", "на", "по", "ра", "са", "та", "фе", "хо", "ше"),
+    "arabic": ("با", "تا", "جا", "دا", "را", "زا", "سا", "شا", "عا", "فا", "كا", "لا", "ما", "نا", "وا", "يا"),
+    "han": ("安", "春", "德", "飞", "光", "海", "江", "金", "立", "民", "庆", "瑞", "山", "天", "旭", "远", "泽", "志"),
 }
 _ENDS = {
     ("latin", "m"): ("on", "us", "ert", "old"), ("latin", "f"): ("a", "ia", "ina", "elle"), ("latin", "x"): ("en", "is"), ("latin", "s"): ("man", "son", "ley", "well", "ard"),
     ("greek", "m"): ("ος", "ης"), ("greek", "f"): ("α", "η"), ("greek", "x"): ("ις",), ("greek", "s"): ("ίδης", "όπουλος", "άκης"),
     ("cyrillic", "m"): ("н", "лав", "мир"), ("cyrillic", "f"): ("на", "ия"), ("cyrillic", "x"): ("ль",), ("cyrillic", "s"): ("енко", "ский", "ец"),
+    ("arabic", "m"): ("ن", "د", "م"), ("arabic", "f"): ("ة", "اء"), ("arabic", "x"): ("ي",), ("arabic", "s"): ("اوي", "اني"),
+    ("han", "m"): ("刚", "强", "军", "伟", "勇"), ("han", "f"): ("芳", "娟", "丽", "娜", "婷"), ("han", "x"): ("宁", "文"), ("han", "s"): ("石", "汤", "白", "龙", "万", "段", "钱", "汪", "田", "任"),
 }
+#: Letters that stand for others of their script: (first and last code of the script, first and last letter drawn).
+_LETTERS = (
+    (0x370, 0x3FF, 0x3B1, 0x3C1), (0x400, 0x52F, 0x430, 0x44F), (0x590, 0x5FF, 0x5D0, 0x5EA), (0x600, 0x6FF, 0x641, 0x64A), (0x900, 0x97F, 0x915, 0x939), (0xE00, 0xE7F, 0xE01, 0xE2E),
+    (0x3040, 0x309F, 0x304B, 0x3062), (0x30A0, 0x30FF, 0x30AB, 0x30C2), (0x4E00, 0x9FFF, 0x4E00, 0x9FA5), (0xAC00, 0xD7A3, 0xAC00, 0xD7A3),
+)
+#: Networks that a surrogate address stays in.
+_NETWORKS = (("10",), ("127",), ("0",), ("192", "168"), ("169", "254"), ("192", "0", "2"), ("198", "51", "100"), ("203", "0", "113"))
 
 
 def script_of(name: str) -> str:
-    return "greek" if re.search(r"[Ͱ-Ͽἀ-῿]", name) else "cyrillic" if re.search(r"[Ѐ-ӿ]", name) else "latin"
+    for script, letters in (("greek", r"[Ͱ-Ͽἀ-῿]"), ("cyrillic", r"[Ѐ-ӿ]"), ("arabic", r"[\u0600-\u06ff]"), ("han", r"[\u4e00-\u9fff]")):
+        if re.search(letters, name):
+            return script
+    return "latin"
+
+
+def _names_without_capitals(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Chinese names before a form of address, and wherever their full form is; Arabic names after one."""
+    full: dict[str, str] = {}
+    for m in _HAN.finditer(text):
+        gender = _HAN_GENDER[text[m.end(2) : m.end()]]
+        yield m.start(1), m.end(1), "name-s-han", m.group(1)
+        if m.group(2):
+            yield m.start(2), m.end(2), f"given-{gender}-han", m.group(2)
+            full.setdefault(m.group(1) + m.group(2), gender)
+    for name, gender in full.items():
+        for m in re.finditer(name, text):
+            yield m.start(), m.start() + 1, "name-s-han", name[0]
+            yield m.start() + 1, m.end(), f"given-{gender}-han", name[1:]
+    for m in _ARABIC.finditer(text):
+        gender = _ARABIC_GENDER[text[m.start() : m.start(1) - 1]]
+        yield m.start(1), m.end(1), f"given-{gender}-arabic", m.group(1)
+        if m.group(2):
+            yield m.start(2), m.end(2), "name-s-arabic", m.group(2)
 
 
 def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -133,6 +176,11 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
     named = [n for n in _names(text) if is_free(n[0], n[1])]
     found += named
+    if not text.isascii():
+        for start, end, kind, value in sorted(set(_names_without_capitals(text))):
+            taken = sorted((f[0], f[1]) for f in found)
+            if is_free(start, end):
+                found.append((start, end, kind, value))
     if named:
         # Bare and upper-case mentions of the names found: a word that is a name in several kinds is of the kind seen first.
         kinds: dict[str, str] = {}
@@ -161,15 +209,16 @@ class _Stream:
         return int.from_bytes(head, "big") % n
 
     def like(self, value: str, hexadecimal: bool = False) -> str:
-        """Characters of the same classes: digits, capitals and small letters; others stay."""
+        """Characters of the same classes: digits, capitals and small letters of the same script; others stay."""
         out = []
         for c in value:
             if hexadecimal and c in "0123456789abcdefABCDEF":
                 out.append("0123456789abcdef"[self.below(16)] if not c.isupper() else "0123456789ABCDEF"[self.below(16)])
-            elif c.isdigit():
-                out.append(str(self.below(10)))
+            elif c.isdecimal():
+                out.append(chr(ord(c) - unicodedata.decimal(c) + self.below(10)))
             elif c.isalpha():
-                letter = chr(ord("a") + self.below(26))
+                low, high = next(((a, b) for first, last, a, b in _LETTERS if first <= ord(c) <= last), (0x61, 0x7A))
+                letter = chr(low + self.below(high - low + 1))
                 out.append(letter.upper() if c.isupper() else letter)
             else:
                 out.append(c)
@@ -196,14 +245,7 @@ def propose(key: bytes, kind: str, value: str, attempt: int) -> str:
         last = next(d for d in "0123456789" if (_luhn(body[:-1] + d) == 0) == wanted and (wanted or d >= body[-1] or body[-1] == "9"))
         return body[:-1] + last
     if kind == "ipv4":
-        parts = value.split(".")
-        kept = 2 if parts[:2] == ["192", "168"] else 1 if parts[0] in ("10", "127") else 0
-        if grown and kept == 2:
-            parts, kept = ["10"], 1
-        if grown > SAME_FORMAT:
-            return _wide_ipv6(draw)
-        kept = kept if grown <= SAME_FORMAT // 2 else 0
-        return ".".join([*parts[:kept], *(str(1 + draw.below(223 if not k else 254)) for k in range(kept, 4))])
+        return _wide_ipv6(draw) if grown > SAME_FORMAT else _ipv4(draw, value, grown)
     if kind == "ipv6" and grown:
         return _wide_ipv6(draw)
     if kind in ("ipv6", "mac"):
@@ -221,9 +263,29 @@ def propose(key: bytes, kind: str, value: str, attempt: int) -> str:
         return draw.like(value + ("0" if hexadecimal else "a") * grown, hexadecimal=hexadecimal)
     _, gender, script = kind.split("-")
     syllables, ends = _SYLLABLES[script], _ENDS[script, gender]
+    if script == "han":
+        return "".join(syllables[draw.below(len(syllables))] for _ in range((gender != "s") + attempt // 2)) + ends[draw.below(len(ends))]
     return "".join(syllables[draw.below(len(syllables))] for _ in range(2 + (attempt + 2) // 3)) + ends[draw.below(len(ends))]
 
 
+def _ipv4(draw: _Stream, value: str, grown: int) -> str:
+    """An address of the same network, if that is a special one, else another public one; a private one if grown."""
+    parts = value.split(".")
+    network = next((n for n in _NETWORKS if parts[: len(n)] == list(n)), ())
+    shared = parts[0] == "172" and 16 <= int(parts[1]) <= 31
+    if int(parts[0]) >= 224:
+        network = tuple(parts[:1])
+    if grown:
+        network, shared = ("10",), False
+    if network or shared:
+        head = ["172", str(16 + draw.below(16))] if shared else list(network)
+        return ".".join([*head, *(str(1 + draw.below(254)) for _ in range(4 - len(head)))])
+    while True:
+        made = [str(1 + draw.below(223 if not k else 254)) for k in range(4)]
+        if not any(made[: len(n)] == list(n) for n in _NETWORKS) and not (made[0] == "172" and 16 <= int(made[1]) <= 31):
+            return ".".join(made)
+
+
 def _wide_ipv6(draw: _Stream) -> str:
     """An address of the range for documentation, 96 bits of it drawn."""
     return "2001:db8:" + ":".join(f"{1 + draw.below(65535):x}" for _ in range(6))
@@ -249,8 +311,15 @@ def render(surrogate: str, original: str, kind: str) -> str:
     return surrogate
 
 
+def family(kind):
+    """Kinds whose values look alike and so must differ: all names are one family. A column, or a string."""
+    if isinstance(kind, str):
+        return "name" if kind.startswith(("given", "name")) else kind
+    return F.when(kind.startswith("given") | kind.startswith("name"), "name").otherwise(kind)
+
+
 def _assign(found: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
-    """(kind, value, surrogate) for distinct entities (kind, value): injective within a kind, and never an entity of the corpus.
+    """(kind, value, surrogate) for distinct entities (kind, value): injective within a family, and never an entity of it.
 
     Each round every entity without a surrogate proposes one from the key; a proposal falls if it is an original, is held
     already, or belongs to an entity later in order. All checks are joins over distinct entities. Rounds go on until every
@@ -265,13 +334,15 @@ def _assign(found: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
 
         return make
 
+    originals = found.select(family(F.col("kind")).alias("family"), F.col("value").alias("surrogate"))
     held, open_ = None, found
     for attempt in itertools.count():
-        tried = open_.mapInArrow(proposals(attempt), "kind string, value string, surrogate string")
-        free = tried.join(found.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti")
+        tried = open_.mapInArrow(proposals(attempt), "kind string, value string, surrogate string").withColumn("family", family(F.col("kind")))
+        free = tried.join(originals, ["family", "surrogate"], "left_anti")
         if held is not None:
-            free = free.join(held.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = scratch.keep(free.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate"), f"won-{attempt}")
+            free = free.join(held.select(family(F.col("kind")).alias("family"), "surrogate"), ["family", "surrogate"], "left_anti")
+        won = free.groupBy("family", "surrogate").agg(F.min(F.struct("kind", "value")).alias("e")).select("e.kind", "e.value", "surrogate")
+        won = scratch.keep(won, f"won-{attempt}")
         held = won if held is None else held.unionByName(won)
         open_ = scratch.keep(open_.join(won.select("kind", "value"), ["kind", "value"], "left_anti"), f"open-{attempt}")
         if open_.isEmpty():
@@ -282,9 +353,10 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text", count_c
     """docs with every detected entity of text_col replaced, and count_col, the number of mentions replaced.
 
     One entity gets one surrogate in all documents (coreference), two get two (distinctness), none gets a value that is
-    an entity of the corpus. All other characters and columns stay as they are. Null texts stay null with 0 mentions;
-    rows may repeat and ids be null, as rows are numbered. Texts without entities pass in a narrow scan; only the others are
-    written, joined with their surrogates and rewritten. A column of docs named as count_col gives way.
+    an entity of the corpus of its family: all kinds of names are one. All other characters and columns stay as they are.
+    Null texts stay null with 0 mentions; rows may repeat and ids be null, as rows are numbered. One scan finds the entities and is
+    written; texts without any pass on from there, only the others are joined with their surrogates and rewritten. A column of
+    docs named as count_col gives way.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -295,23 +367,17 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text", count_c
     at = names.index(text_col)
     fields = ", ".join(f"c{j} {f.dataType.simpleString()}" for j, f in enumerate(docs.schema.fields))
 
-    def scan(with_entities: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [entities(t) if t else [] for t in batch.column(at).to_pylist()]
-                batch = batch.filter(pa.array([bool(f) == with_entities for f in found], pa.bool_()))
-                if with_entities:
-                    mentions = [[{"start": s, "end": e, "kind": k, "value": v} for s, e, k, v in f] for f in found if f]
-                    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
-                    batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(mentions, kind)], names=[*batch.schema.names, "mentions"])
-                if batch.num_rows:
-                    yield batch
-
-        return run
-
-    hit = flat.mapInArrow(scan(True), f"{fields}, mentions array<struct<start:int,end:int,kind:string,value:string>>")
-    hit = scratch.keep(hit.withColumn("rid", F.monotonically_increasing_id()), "hit")
-    clean = flat.mapInArrow(scan(False), fields).withColumn("n", F.lit(0))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+        for batch in batches:
+            found = [entities(t) if t else [] for t in batch.column(at).to_pylist()]
+            mentions = [[{"start": s, "end": e, "kind": k, "value": v} for s, e, k, v in f] or None for f in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mentions, kind)], names=[*batch.schema.names, "mentions"])
+
+    scanned = flat.mapInArrow(scan, f"{fields}, mentions array<struct<start:int,end:int,kind:string,value:string>>")
+    scanned = scratch.keep(scanned.withColumn("rid", F.monotonically_increasing_id()), "scanned", compression="zstd")
+    hit = scanned.where("mentions is not null")
+    clean = scanned.where("mentions is null").select(*(f"c{j}" for j in range(len(names))), F.lit(0).alias("n"))
 
     pairs = hit.select("rid", F.explode(F.array_distinct(F.transform("mentions", lambda m: F.struct(m["kind"].alias("kind"), m["value"].alias("value"))))).alias("e")).select("rid", "e.*")
     surrogates = _assign(scratch.keep(pairs.select("kind", "value").distinct(), "entities"), key, scratch)

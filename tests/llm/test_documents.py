@@ -1,3 +1,4 @@
+import ipaddress
 import math
 import random
 import re
@@ -150,6 +151,58 @@ PRIVATE = [
 ]
 
 
+def brute_surrogates(texts, key):
+    """Texts with surrogates, by the rounds of proposals in one loop."""
+    found = [pii.entities(t) if t else [] for t in texts]
+    open_ = sorted({(k, v) for f in found for _, _, k, v in f})
+    originals = {(pii.family(k), v) for k, v in open_}
+    held, table, attempt = set(), {}, 0
+    while open_:
+        won = {}
+        for kind, value in open_:
+            made = (pii.family(kind), pii.propose(key, kind, value, attempt))
+            if made not in originals and made not in held:
+                won.setdefault(made, (kind, value))
+        held |= set(won)
+        table |= {e: s for (_, s), e in won.items()}
+        open_ = [e for e in open_ if e not in table]
+        attempt += 1
+    out = []
+    for text, mentions in zip(texts, found, strict=True):
+        parts, end = [], 0
+        for start, to, kind, value in mentions:
+            parts += (text[end:start], pii.render(table[kind, value], text[start:to], kind))
+            end = to
+        out.append(text if text is None else "".join(parts) + text[end:])
+    return out, table
+
+
+def test_surrogates_equal_brute_force_and_keep_classes(spark, make_docs, odd_texts):
+    rng = random.Random(4)
+    texts = [*PRIVATE, *odd_texts, "王小明先生和李女士。后来王小明走了。", "السيد أحمد البغدادي هنا", "mail 王小明@例子.cn now", "Mr. Paul Stone and Stone, said Paul."]
+    hosts = ["10.1.2.{}", "172.16.4.{}", "169.254.7.{}", "192.0.2.{}", "8.8.4.{}", "224.0.0.{}"]
+    texts += [f"from {h.format(rng.randrange(1, 255))} and {h.format(rng.randrange(1, 255))}" for h in hosts * 20]
+    texts += [f"Mr. {rng.choice(('John', 'Paul'))} {rng.choice('ABCDEF')}{rng.choice(('orn', 'ell', 'ay'))}{k}" for k in range(5)] + [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    found = {r.doc_id: r for r in pii.pseudonymise(make_docs(texts), b"key").collect()}
+    want, table = brute_surrogates(texts, b"key")
+    assert [found[i].text for i in range(len(texts))] == want
+    by_family = Counter((pii.family(k), s) for (k, _), s in table.items())
+    assert max(by_family.values()) == 1 and not {(pii.family(k), v) for k, v in table} & set(by_family)
+    for (kind, value), made in table.items():
+        if kind == "ipv4" and not value.startswith(("192.0.2", "224.")):
+            assert ipaddress.ip_address(value).is_private == ipaddress.ip_address(made).is_private, (value, made)
+            assert ipaddress.ip_address(value).is_link_local == ipaddress.ip_address(made).is_link_local
+    assert "王" not in found[len(PRIVATE) + len(odd_texts)].text and "البغدادي" not in found[len(PRIVATE) + len(odd_texts) + 1].text
+    assert re.search(r"mail [\u4e00-\u9fff]{3}@[\u4e00-\u9fff]{2}\.example now", found[len(PRIVATE) + len(odd_texts) + 2].text)
+
+
+def test_names_of_all_kinds_get_different_surrogates(spark, make_docs):
+    first = pii.propose(b"key", "given-m-latin", "john", 0)
+    texts = ["Mr. John Smith is here", f"Mr. Paul {first.capitalize()} too", f"Mrs. {first.capitalize()} Stone"]
+    rows = {r.doc_id: r.text for r in pii.pseudonymise(make_docs(texts), b"key").collect()}
+    assert first.capitalize() not in " ".join(rows.values())
+
+
 def test_surrogates_are_consistent_distinct_and_keep_formats(spark, make_docs, odd_texts):
     texts = [*PRIVATE, *odd_texts]
     rows = {r.doc_id: r for r in pii.pseudonymise(make_docs(texts), b"key").collect()}

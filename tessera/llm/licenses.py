@@ -7,6 +7,8 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import Scratch
+
 # Public licence texts and notices, by SPDX identifier.
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -156,25 +158,40 @@ def known_digests(spark, texts: list[tuple[str, str]] | None = None) -> DataFram
     return rows.groupBy(canonical_digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Known digests that are broadcast and looked up as literals at most; a longer list is joined.
+SMALL_LIST = 20_000
+
+
+def scan_licenses(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", small_list: int = SMALL_LIST) -> DataFrame:
     """One row (doc_id, digest, license, notices, n_notices) per row of docs.
 
     `license` is that of the entire text by its canonical digest, null if no known text has it. `notices` lists, sorted
     and distinct, the licences whose digest one whole line of the text has; n_notices counts those lines. A null text has
     a null digest and no notices; texts without letters or digits match nothing. Ids may repeat or be null; rows stay
-    apart and other columns are ignored. Known digests number as many as the list of licences: they are broadcast for
-    whole texts and a literal map for lines; nothing else moves.
+    apart and other columns are ignored. Known (digest, license) rows, one for each digest, are broadcast for whole texts and
+    a literal map for lines, in one narrow pass, if they are at most small_list; else digests of texts and lines are joined
+    with them, and lines are distinct per row before they move.
     """
     spark = docs.sparkSession
     if known is None:
         known = known_digests(spark)
     known = known.where(F.col("digest") != F.sha2(F.lit(""), 256))
-    table = F.broadcast(known)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names = F.create_map(*(F.lit(x) for r in known.collect() for x in (r["digest"], r["license"])))
+    listed = known.select("digest", "license").limit(small_list + 1).collect()
     # A known list holds digests, which tell nothing of a line's words or length: every line with a word is digested.
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    hits = F.filter(F.transform(lines, lambda x: F.try_element_at(names, canonical_digest(x))), lambda x: x.isNotNull())
-    out = source.select("id", "text", canonical_digest(F.col("text")).alias("digest")).join(table, "digest", "left")
-    out = out.withColumn("hits", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(hits))
-    return out.select(F.col("id").alias(id_col), "digest", "license", F.array_sort(F.array_distinct("hits")).alias("notices"), F.size("hits").alias("n_notices"))
+    none = F.array().cast("array<string>")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if len(listed) <= small_list:
+        names = F.create_map(*(F.lit(x) for r in listed for x in (r["digest"], r["license"]))) if listed else F.create_map().cast("map<string,string>")
+        hits = F.filter(F.transform(lines, lambda x: F.try_element_at(names, canonical_digest(x))), lambda x: x.isNotNull())
+        out = source.select("id", "text", canonical_digest(F.col("text")).alias("digest")).join(F.broadcast(known), "digest", "left")
+        out = out.withColumn("hits", F.when(F.col("text").isNull(), none).otherwise(hits))
+        out = out.withColumn("notices", F.array_sort(F.array_distinct("hits"))).withColumn("n_notices", F.size("hits"))
+    else:
+        scratch = Scratch(spark, "licenses")
+        digests = F.when(F.col("text").isNull(), none).otherwise(F.transform(lines, lambda x: canonical_digest(x)))
+        rows = scratch.keep(source.select("id", canonical_digest(F.col("text")).alias("digest"), digests.alias("lines"), F.monotonically_increasing_id().alias("rid")), "digests")
+        times = rows.select("rid", F.explode("lines").alias("digest")).groupBy("rid", "digest").count()
+        hits = times.join(known, "digest").groupBy("rid").agg(F.array_sort(F.collect_set("license")).alias("notices"), F.sum("count").cast("int").alias("n_notices"))
+        out = rows.join(known, "digest", "left").join(hits, "rid", "left").withColumn("notices", F.coalesce("notices", none)).withColumn("n_notices", F.coalesce("n_notices", F.lit(0)))
+    return out.select(F.col("id").alias(id_col), "digest", "license", "notices", "n_notices")

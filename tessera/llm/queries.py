@@ -89,11 +89,11 @@ def _canonical_sql(column: str) -> str:
 
 
 def _licenses_sql() -> str:
-    rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in licenses.LICENCES + licenses.NOTICES)
+    rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in licenses.LICENCES + licenses.NOTICES + licenses.long_texts())
     return f"""
-WITH known AS (SELECT sha256({_canonical_sql('t')}) AS digest, min(l) AS license FROM (VALUES {rows}) AS v(l, t) GROUP BY 1),
+WITH known AS (SELECT sha256({_canonical_sql('t')}) AS digest, min(l) AS license FROM (VALUES {rows}) AS v(l, t) GROUP BY 1 HAVING digest <> sha256('')),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-hits AS (SELECT doc_id, license FROM (SELECT doc_id, {_canonical_sql('line')} AS c FROM lines WHERE regexp_matches(line, '(?i)licen[cs]|rights reserved') AND length(line) < 400) JOIN known ON digest = sha256(c)),
+hits AS (SELECT doc_id, license FROM (SELECT doc_id, {_canonical_sql('line')} AS c FROM lines) JOIN known ON digest = sha256(c)),
 notes AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, CAST(count(*) AS INTEGER) AS n_notices FROM hits GROUP BY 1),
 whole AS (SELECT doc_id, sha256({_canonical_sql('text')}) AS digest FROM documents)
 SELECT w.doc_id, w.digest, k.license, coalesce(n.notices, '') AS notices, coalesce(n.n_notices, 0) AS n_notices

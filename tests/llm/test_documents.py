@@ -301,3 +301,11 @@ def test_later_bare_and_upper_case_names_are_the_same_entity(make_docs):
     assert rows[0].text == texts[0].replace("Smithson", "@").replace("John", given).replace("Smith", name).replace("JOHN", given.upper()).replace("SMITH", name.upper()).replace("@", "Smithson")
     assert given != "John" and name != "Smith" and rows[0].n_entities == 9 and (rows[1].text, rows[1].n_entities) == (texts[1], 0)
     assert [v for *_, v in pii.entities("Later Ahmed Hassan met Wei Chen.")] == ["ahmed", "hassan", "wei", "chen"]
+
+
+def test_long_lists_are_joined_with_the_same_result(spark, make_docs, odd_texts):
+    texts = [*odd_texts, *(t for _, t in licenses.LICENCES[:6]), *(f"some words\n{t}\nmore\n{t}" for _, t in licenses.NOTICES), "Released under the MIT License." + " " * 500, licenses.LICENCES[11][1].replace("\n", " ") + "\nand text"]
+    rows = [sorted(map(repr, licenses.scan_licenses(make_docs(texts), small_list=n).collect())) for n in (20_000, 3)]
+    assert rows[0] == rows[1]
+    found = {r.doc_id: r for r in licenses.scan_licenses(make_docs(texts)).collect()}
+    assert found[len(texts) - 2].notices == ["MIT"] and found[len(texts) - 1].notices == ["Zlib"]

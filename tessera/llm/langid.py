@@ -40,22 +40,22 @@ def grams(word: str, n: int) -> list[str]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, and of the n-grams of distinct words times their words' counts: far fewer than n-grams of the texts."""
-    words: Counter = Counter()
+    words: dict[str, Counter] = {}
 
     def rows() -> Iterator[pa.RecordBatch]:
-        found = Counter({(lang, 0, word): times for (lang, word), times in words.items()})
-        for (lang, word), times in words.items():
-            for n in range(1, LONGEST + 1):
-                for gram in grams(word, n):
-                    found[lang, n, gram] += times
+        for lang, own in words.items():
+            for n in range(LONGEST + 1):
+                found: dict[str, int] = {}
+                for word, times in own.items():
+                    for gram in grams(word, n) if n else (word,):
+                        found[gram] = found.get(gram, 0) + times
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([n] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "n", "gram", "count"])
         words.clear()
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], names=["lang", "n", "gram", "count"])
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words.update((lang, w) for w in letter_words(text))
-        if len(words) > 300_000:
+            words.setdefault(lang, Counter()).update(letter_words(text))
+        if sum(map(len, words.values())) > 300_000:
             yield from rows()
     if words:
         yield from rows()
@@ -83,35 +83,54 @@ class Model:
         self.keys = np.array([o[0] for o in order], np.uint64)
         self.lang = np.array([o[1] for o in order], np.int16 if len(self.langs) < 1 << 15 else np.int32)
         self.weight = np.array([o[2] for o in order], np.float32)
-
-    def entries(self, n: int, parts: list[str]) -> list[list[float]]:
-        """The vectors over languages of the parts that are known, in order."""
-        keys = np.array([entry_key(n, p) for p in parts], np.uint64)
-        starts, ends = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
-        out = []
-        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-            if start < end:
-                vector = self.floor[n].copy()
-                for j, weight in zip(self.lang[start:end].tolist(), self.weight[start:end].tolist(), strict=True):
-                    vector[j] = weight
-                out.append(vector)
+        # Entries that were looked up, a bounded number, and marks of the hashes there are, made where they are used.
+        self.memo: list[dict[str, tuple]] = [{} for _ in range(LONGEST + 1)]
+        self.maybe: bytes | None = None
+
+    def entries(self, n: int, parts: list[str]) -> list[tuple]:
+        """Of the parts that are known, in order: (language, weight above the floor, language, ...)."""
+        if self.maybe is None:
+            size = 1 << max(16, (32 * len(self.keys)).bit_length())
+            marks = np.zeros(size, np.uint8)
+            marks[(self.keys & np.uint64(size - 1)).astype(np.int64)] = 1
+            self.maybe, self.mask = marks.tobytes(), size - 1
+        memo, maybe, mask, out = self.memo[n], self.maybe, self.mask, []
+        for part in parts:
+            found = memo.get(part)
+            if found is None:
+                key = entry_key(n, part)
+                if not maybe[key & mask]:
+                    continue
+                if len(memo) > CACHED:
+                    memo.clear()
+                at, floor = np.uint64(key), self.floor[n]
+                span = slice(self.keys.searchsorted(at), self.keys.searchsorted(at, "right"))
+                found = memo[part] = tuple(x for j, w in zip(self.lang[span].tolist(), self.weight[span].tolist(), strict=True) for x in (j, w - floor[j]))
+            if found:
+                out.append(found)
         return out
 
+    def _sum(self, n: int, known: list[tuple], weight: float) -> list[float]:
+        out = [x * len(known) for x in self.floor[n]]
+        for entry in known:
+            for i in range(0, len(entry), 2):
+                out[entry[i]] += entry[i + 1]
+        return [x * weight for x in out]
+
     def posterior(self, word: str) -> list[float]:
         """Log posterior of the languages for one word under even priors, at least about -6 below the best; zeros if nothing in it is known.
 
         A known word counts by its own frequency; else its n-grams do, of the longest length of which half are known.
         """
         known = self.entries(0, [word])
-        found = known[0] if known else None
+        found = self._sum(0, known, 1.0) if known else None
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             if found is not None:
                 break
             parts = grams(word, n)
             known = self.entries(n, parts)
             if known and 2 * len(known) >= len(parts):
-                weight = min(2.0, len(parts) / n) / len(known)
-                found = [weight * sum(column) for column in zip(*known, strict=True)]
+                found = self._sum(n, known, min(2.0, len(parts) / n) / len(known))
         if found is None:
             return [0.0] * len(self.langs)
         best = max(found)

@@ -133,23 +133,39 @@ EQUIVALENT: list[tuple[str, str]] = [
 ]
 
 
-def canonical(text: Column, *, lines: bool = True) -> Column:
+_COPYRIGHT = r"(?im)^[ \t/*#;.-]*(?:copyright\b[ \t]*(?:\(c\)|©|\d{4}|[<\[{(])|\(c\)[ \t]*(?:copyright|\d{4})|©).*$"
+
+
+def _one_spelling(padded: Column, pairs: list[tuple[str, str]]) -> Column:
+    for variant, chosen in pairs:
+        padded = F.replace(padded, F.lit(f" {variant} "), F.lit(f" {chosen} "))
+    return padded
+
+
+def canonical(text: Column) -> Column:
     """The text without copyright lines, punctuation, case, extra white space and spelling variants; null stays null.
 
     A copyright line starts with `copyright` or a copyright sign (list marks before it aside) and names a year, a sign or a holder.
     """
-    out = F.regexp_replace(text, "\r\n?", "\n")
-    if lines:
-        out = F.regexp_replace(out, r"(?im)^[ \t/*#;.-]*(?:copyright\b[ \t]*(?:\(c\)|©|\d{4}|[<\[{(])|\(c\)[ \t]*(?:copyright|\d{4})|©).*$", " ")
-    out = F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}]+", " ")
-    padded = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
-    for variant, chosen in EQUIVALENT:
-        padded = F.replace(padded, F.lit(f" {variant} "), F.lit(f" {chosen} "))
-    return F.trim(padded)
+    out = F.regexp_replace(F.lower(F.regexp_replace(text, _COPYRIGHT, " ")), r"[^\p{L}\p{N}]+", " ")
+    return F.trim(_one_spelling(F.concat(F.lit(" "), F.trim(out), F.lit(" ")), EQUIVALENT))
+
+
+def canonical_lines(text: Column) -> Column:
+    """canonical of each line of a text, an array, made in one pass; lines without a letter or digit are left empty."""
+    out = F.regexp_replace(F.lower(F.regexp_replace(text, _COPYRIGHT, " ")), r"[^\p{L}\p{N}\n]+", " ")
+    padded = F.concat(F.lit(" "), F.replace(out, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    return F.transform(F.split(_one_spelling(padded, EQUIVALENT), "\n"), lambda x: F.trim(x))
+
+
+def canonical_of_lines(lines: Column) -> Column:
+    """canonical of a whole text from that of its lines: spellings of several words may go across line ends."""
+    whole = F.concat(F.lit(" "), F.array_join(F.filter(lines, lambda x: x != ""), " "), F.lit(" "))
+    return F.trim(_one_spelling(whole, [p for p in EQUIVALENT if " " in p[0]]))
 
 
-def canonical_digest(text: Column, **kw) -> Column:
-    return F.sha2(canonical(text, **kw), 256)
+def canonical_digest(text: Column) -> Column:
+    return F.sha2(canonical(text), 256)
 
 
 def known_digests(spark, texts: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -178,19 +194,18 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, *, id_col: st
     known = known.where(F.col("digest") != F.sha2(F.lit(""), 256))
     listed = known.select("digest", "license").limit(small_list + 1).collect()
     # A known list holds digests, which tell nothing of a line's words or length: every line with a word is digested.
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
     none = F.array().cast("array<string>")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("lines"))
+    source = source.select("id", F.sha2(canonical_of_lines(F.col("lines")), 256).alias("digest"), F.coalesce(F.filter("lines", lambda x: x != ""), none).alias("lines"))
     if len(listed) <= small_list:
         names = F.create_map(*(F.lit(x) for r in listed for x in (r["digest"], r["license"]))) if listed else F.create_map().cast("map<string,string>")
-        hits = F.filter(F.transform(lines, lambda x: F.try_element_at(names, canonical_digest(x))), lambda x: x.isNotNull())
-        out = source.select("id", "text", canonical_digest(F.col("text")).alias("digest")).join(F.broadcast(known), "digest", "left")
-        out = out.withColumn("hits", F.when(F.col("text").isNull(), none).otherwise(hits))
+        hits = F.filter(F.transform("lines", lambda x: F.try_element_at(names, F.sha2(x, 256))), lambda x: x.isNotNull())
+        out = source.select("id", "digest", hits.alias("hits")).join(F.broadcast(known), "digest", "left")
         out = out.withColumn("notices", F.array_sort(F.array_distinct("hits"))).withColumn("n_notices", F.size("hits"))
     else:
         scratch = Scratch(spark, "licenses")
-        digests = F.when(F.col("text").isNull(), none).otherwise(F.transform(lines, lambda x: canonical_digest(x)))
-        rows = scratch.keep(source.select("id", canonical_digest(F.col("text")).alias("digest"), digests.alias("lines"), F.monotonically_increasing_id().alias("rid")), "digests")
+        digests = F.transform("lines", lambda x: F.sha2(x, 256))
+        rows = scratch.keep(source.select("id", "digest", digests.alias("lines"), F.monotonically_increasing_id().alias("rid")), "digests")
         times = rows.select("rid", F.explode("lines").alias("digest")).groupBy("rid", "digest").count()
         hits = times.join(known, "digest").groupBy("rid").agg(F.array_sort(F.collect_set("license")).alias("notices"), F.sum("count").cast("int").alias("n_notices"))
         out = rows.join(known, "digest", "left").join(hits, "rid", "left").withColumn("notices", F.coalesce("notices", none)).withColumn("n_notices", F.coalesce("n_notices", F.lit(0)))

@@ -309,3 +309,12 @@ def test_long_lists_are_joined_with_the_same_result(spark, make_docs, odd_texts)
     assert rows[0] == rows[1]
     found = {r.doc_id: r for r in licenses.scan_licenses(make_docs(texts)).collect()}
     assert found[len(texts) - 2].notices == ["MIT"] and found[len(texts) - 1].notices == ["Zlib"]
+
+
+def test_lines_and_whole_texts_are_canonical_in_one_pass(spark, odd_texts):
+    texts = [*odd_texts, "The sub\nlicence of the copyright\nowners, non\n-infringement\n\n(c) 2020 Me\nhttps://a", "a\r\nCopyright 2001 x\rb\n", "\n\n", "sub licence\nWhilst", *(t for _, t in licenses.LICENCES)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", licenses.canonical(F.col("t")).alias("whole"), licenses.canonical_lines(F.col("t")).alias("lines"))
+    rows = rows.withColumn("again", licenses.canonical_of_lines(F.col("lines"))).withColumn("each", F.transform(F.split("t", "\n"), lambda x: licenses.canonical(x)))
+    for r in rows.collect():
+        assert r.whole == r.again and r.lines == r.each, r.t
+    assert "sublicense of the copyright holders noninfringement http a" in rows.collect()[len(odd_texts)].whole

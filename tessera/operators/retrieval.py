@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,21 +108,32 @@ def retrieve_gap(gap: str, nodes: DataFrame, edges: DataFrame, vectors: DataFram
     return search.vector_search(vectors, point, params.gap_top_k).select("id", F.col("document").alias("content"))
 
 
+def read_response(response: str) -> tuple[str, list[str]]:
+    """(answer, gaps) of one model answer on the driver: the same forms as text.answer_text and text.gap_list read."""
+
+    def block(tag: str) -> str | None:
+        found = re.search(rf"<{tag}>\s*(.+?)\s*</{tag}>", response, re.S | re.I)
+        return found[1] if found else None
+
+    answer, missing = block("answer"), block("missing")
+    if answer is None and (found := re.search(r"ANSWER:\s*(.+)", response, re.S | re.I)):
+        answer = re.split(r"\n<missing>|\nMISSING\s*[(:]", found[1], maxsplit=1, flags=re.I)[0]
+    if missing is None and (found := re.search(r"MISSING[^:]*:\s*(.+)", response, re.S | re.I)):
+        missing = found[1]
+    lines = [x.strip().lstrip("-").strip() for x in (missing or "").strip().split("\n")]
+    none = (missing or "").strip().upper().startswith("NONE")
+    return (response if answer is None else answer).strip(), [x for x in lines if x and not x.upper().startswith("NONE") and not none]
+
+
 def gap_loop(answers: list[str], retrieve, params: Params = DEFAULT) -> dict:
     """The iterative pass over model answers given as data: gaps are retrieved until none is new or passes run out.
 
     retrieve(gap) tells whether anything was found. Returns answer, passes, gaps_identified, gaps_resolved, gaps_unresolved.
     """
-    import re
-
     identified, resolved, missing, answer, passes = [], [], [], "", 0
     for response in answers[: params.gap_passes]:
         passes += 1
-        found = re.search(r"<answer>\s*(.+?)\s*</answer>", response, re.S | re.I)
-        answer = found[1].strip() if found else response.strip()
-        block = re.search(r"<missing>\s*(.+?)\s*</missing>", response, re.S | re.I)
-        lines = [x.strip().lstrip("-").strip() for x in block[1].split("\n")] if block else []
-        gaps = [x for x in lines if x and not x.upper().startswith("NONE")]
+        answer, gaps = read_response(response)
         fresh = [g for g in gaps if g not in missing]
         identified += [g for g in gaps if g not in identified]
         if not fresh:

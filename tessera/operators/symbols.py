@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 #: Confidence multipliers of ambiguous and unresolved references.
 AMBIGUOUS, UNRESOLVED = 0.5, 0.3
 # Decorators and names that make a function an entry point.
-ENTRY_DECORATORS = ["click.command", "typer.command", "app.command", "cli.command", "app.route", "app.get", "app.post", "app.put", "app.delete", "app.patch", "router.route", "router.get", "router.post", "router.put", "router.delete", "router.patch", "flask.route", "api_view", "action"]
+ENTRY_DECORATORS = [
+    "click.command", "click.group", "typer.command",
+    "app.route", "app.get", "app.post", "app.put", "app.delete", "app.patch",
+    "router.route", "router.get", "router.post", "router.put", "router.delete", "router.patch",
+    "flask.route", "api_view", "action",
+]
 ENTRY_NAMES = ["main", "__main__", "run", "start", "serve", "execute"]
 
 
@@ -21,19 +26,23 @@ def with_node_id(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("id", node_id(F.col("file_path"), F.col("parent"), F.col("name")))
 
 
-def resolve(refs: DataFrame, symbols: DataFrame, *, order: list[str]) -> DataFrame:
+def resolve(refs: DataFrame, symbols: DataFrame, *, order: list[str] = ()) -> DataFrame:
     """refs with target ids from symbols (id, name, qualified): a qualified match wins over simple names.
 
     One match keeps the confidence, more give a row each at half of it, none leaves the target's text at 0.3 of it, with
     target_resolved false. `order` names the columns that identify a reference.
     """
-    # One table of lookups: a name that some symbol has in full hides symbols that only end in it.
-    names = symbols.select(F.col("qualified").alias("_key"), F.lit(0).alias("_tier"), F.col("id").alias("_id")).union(symbols.select(F.col("name").alias("_key"), F.lit(1).alias("_tier"), F.col("id").alias("_id")))
-    best = names.withColumn("_best", F.min("_tier").over(Window.partitionBy("_key"))).where("_tier = _best").select("_key", "_id").distinct()
-    counted = best.withColumn("_hits", F.count("*").over(Window.partitionBy("_key")))
-    joined = refs.join(counted, refs["target"] == counted["_key"], "left")
-    factor = F.when(F.col("_hits").isNull(), UNRESOLVED).when(F.col("_hits") > 1, AMBIGUOUS).otherwise(1.0)
-    return joined.withColumn("confidence", F.col("confidence") * factor).withColumn("target_resolved", F.col("_id").isNotNull()).withColumn("target", F.coalesce("_id", "target")).drop("_key", "_id", "_hits")
+    # One table of lookups, a row for each name: a name that some symbol has in full hides symbols that only end in it. The
+    # ids of a name are gathered once by an aggregate and spread over its references after the join, whose small side
+    # this is: adaptive execution broadcasts it or splits the references of a hot name.
+    names = symbols.select(F.col("qualified").alias("_key"), F.col("id").alias("_full"), F.lit(None).cast(symbols.schema["id"].dataType).alias("_part"))
+    names = names.union(symbols.select(F.col("name"), F.lit(None), F.col("id")))
+    ids = names.groupBy("_key").agg(F.collect_set("_full").alias("_f"), F.collect_set("_part").alias("_p"))
+    ids = ids.select("_key", F.when(F.size("_f") > 0, F.col("_f")).otherwise(F.col("_p")).alias("_ids"))
+    joined = refs.join(ids, refs["target"] == ids["_key"], "left")
+    factor = F.when(F.col("_ids").isNull(), UNRESOLVED).when(F.size("_ids") > 1, AMBIGUOUS).otherwise(1.0)
+    out = joined.withColumn("confidence", F.col("confidence") * factor).withColumn("target_resolved", F.col("_ids").isNotNull())
+    return out.withColumn("_id", F.explode_outer("_ids")).withColumn("target", F.coalesce("_id", "target")).drop("_key", "_ids", "_id")
 
 
 def build_graph(symbols: DataFrame, refs: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:

@@ -178,14 +178,16 @@ def truncate_sentences(text: Column, max_tokens: int) -> Column:
 
 
 def diagram_label(text: Column, longest: int = 40) -> Column:
-    out = F.translate(text, "[]{}<>\"|", "()()()''/")
-    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+    """Square and curly brackets as round ones, double quotes as single ones, no angle brackets, white space collapsed, cut to a length."""
+    out = F.translate(text, "[]{}\"<>\r", "()()'")
+    out = strip(F.regexp_replace(out, r"(?U)\s+", " "))
     return F.when(F.length(out) > longest, F.concat(F.substring(out, 1, longest - 3), F.lit("..."))).otherwise(out)
 
 
 def diagram_id(text: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9_]", "_"), "_+", "_")
-    return F.when(out.rlike("^[0-9]"), F.concat(F.lit("n"), out)).otherwise(F.regexp_replace(out, "^_|_$", ""))
+    """Letters, digits and underscores: dots, slashes and dashes become underscores, one for a run; a leading digit gets an n."""
+    out = F.regexp_replace(F.regexp_replace(F.translate(text, "./-", "___"), "[^A-Za-z0-9_]", ""), "_+", "_")
+    return F.regexp_replace(F.when(out.rlike("^[0-9]"), F.concat(F.lit("n"), out)).otherwise(out), "^_|_$", "")
 
 
 def url_parts(url: Column) -> Column:

@@ -21,11 +21,6 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
 
 
-def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The inverted index (id, term, position): derive it once and partition it by term for repeated use."""
-    return chunks.select(F.col(id_col).alias("id"), F.posexplode(terms(F.col(text_col))).alias("position", "term"))
-
-
 def phrase_count(text: Column, phrase: list[str]) -> Column:
     """Places where a text holds a phrase of terms; the last word is a prefix. One pattern: later words are only looked at, so places may overlap."""
     if not phrase:
@@ -40,7 +35,8 @@ def bm25(chunks: DataFrame, query: str, *, id_col: str, text_cols: list[str], cl
 
     The phrase counts as one term; length is that of all indexed columns; larger scores are better. idf is
     ln((N - n + 0.5) / (n + 0.5)), at least 1e-6 if clamped; else ln(1 + that quotient). Two passes over the chunks: one
-    aggregate (N, n, mean length: one row, broadcast), one scan; no shuffle but the aggregate's.
+    aggregate (N, n, mean length: one row, broadcast), one scan; no shuffle but the aggregate's. Right for a single question
+    over a small corpus; fulltext.bm25 answers from a stored index.
     """
     words = re.findall(r"[^\W_]+", query.lower())
     texts = [F.coalesce(F.col(c), F.lit("")) for c in text_cols]

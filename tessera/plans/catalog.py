@@ -349,7 +349,7 @@ def fan_in_out(spark, d):
 @query("SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) IN (3, 7)")
 def json_membership(spark, d):
     rows = table(spark, d, "events").withColumn("raises", F.map_values(F.from_json("props", "map<string,string>")))
-    return rows.where(F.array_contains("raises", "3") | F.array_contains("raises", "7")).select("event_id")
+    return symbols.raising(rows, "3").unionByName(symbols.raising(rows, "7")).select("event_id")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RED _i%'")
@@ -406,13 +406,23 @@ def degree_priority(spark, d):
     return graph.by_degree(sql_view(spark, d, "nodes"), sql_view(spark, d, "edges")).select("id", "degree").limit(50)
 
 
-_WALK = dict(_GRAPH, strong="SELECT DISTINCT source, target FROM edges WHERE confidence >= 0.9")
+# The ten shortest paths are of three edges at most here, so SQL needs to walk no further.
+_WALK = dict(
+    _GRAPH,
+    ends="SELECT max(b.target) AS goal FROM edges a JOIN edges b ON a.target = b.source WHERE a.source = 'p1' AND b.target NOT IN (SELECT target FROM edges WHERE source = 'p1') AND b.target <> 'p1'",
+    steps="SELECT DISTINCT source, target FROM edges",
+    walks="SELECT ['p1', target] AS path FROM steps WHERE source = 'p1'",
+    two="SELECT list_append(path, target) AS path FROM walks JOIN steps ON source = path[2] WHERE path[2] <> (SELECT goal FROM ends) AND NOT list_contains(path, target)",
+    three="SELECT list_append(path, target) AS path FROM two JOIN steps ON source = path[3] WHERE path[3] <> (SELECT goal FROM ends) AND NOT list_contains(path, target)",
+)
 
 
-@query("SELECT path, CAST(hops AS INTEGER) AS hops FROM (SELECT source || '>' || target AS path, 1 AS hops FROM strong WHERE source = 'p1' AND target = 'p60' UNION ALL SELECT a.source || '>' || a.target || '>' || b.target, 2 FROM strong a JOIN strong b ON a.target = b.source WHERE a.source = 'p1' AND b.target = 'p60' AND a.target NOT IN ('p1', 'p60') UNION ALL SELECT a.source || '>' || a.target || '>' || b.target || '>' || c.target, 3 FROM strong a JOIN strong b ON a.target = b.source JOIN strong c ON b.target = c.source WHERE a.source = 'p1' AND c.target = 'p60' AND a.target NOT IN ('p1', 'p60') AND b.target NOT IN ('p1', 'p60') AND a.target <> b.target) ORDER BY hops, path LIMIT 10", **_WALK)
+@query("SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS hops FROM (SELECT path FROM walks UNION ALL SELECT path FROM two UNION ALL SELECT path FROM three) w WHERE path[-1] = (SELECT goal FROM ends) ORDER BY len(path), w.path LIMIT 10", **_WALK)
 def simple_paths(spark, d):
-    rows = graph.simple_paths(sql_view(spark, d, "edges"), "p1", "p60", min_confidence=0.9, longest=3)
-    return rows.select(F.array_join("path", ">").alias("path"), "hops")
+    edges = sql_view(spark, d, "edges")
+    near = edges.where("source = 'p1'").select(F.col("target").alias("via"))
+    goal = edges.join(near, edges["source"] == near["via"]).join(near.withColumnRenamed("via", "target"), "target", "left_anti").where("target <> 'p1'").agg(F.max("target")).first()[0]
+    return graph.simple_paths(edges, "p1", goal).select(F.array_join("path", ">").alias("path"), "hops")
 
 
 _SITES = dict(_GRAPH, sites="SELECT t.file_path AS target_file, s.file_path AS caller_file, s.name AS caller_symbol, e.line, 1 + CASE WHEN s.file_path = t.file_path THEN 2 ELSE 0 END + CASE WHEN starts_with(s.file_path, 'tests/') THEN 1 ELSE 0 END AS tier FROM edges e JOIN nodes t ON e.target = t.id JOIN nodes s ON e.source = s.id WHERE e.type = 'calls'")
@@ -586,19 +596,22 @@ def session_ttl(spark, d):
     return named.groupBy("user", "session", "n").agg(F.min("seq").alias("first_event"))
 
 
-@query("SELECT coalesce(f.kind, 'all') AS kind, count(*) AS n FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'issue' ELSE 'page' END AS kind FROM documents) f GROUP BY ROLLUP (f.kind)")
+@query("SELECT type, count(*) AS deleted FROM (SELECT type FROM g WHERE type <> 'workflow' AND starts_with(source, 'gone/') UNION ALL SELECT type FROM g WHERE type = 'workflow') GROUP BY 1", g=views.PAGE_TABLE.format(sha="sha256(text)"))
 def cleanup_totals(spark, d):
-    rows = table(spark, d, "documents").select(F.when(F.col("doc_id") % 5 == 0, "issue").otherwise("page").alias("kind"))
-    return rows.rollup("kind").agg(F.count("*").alias("n")).select(F.coalesce("kind", F.lit("all")).alias("kind"), "n")
+    pages, sources = views.page_table(spark, d), sql_view(spark, d, "paths").select("path")
+    gone = incremental.orphans(pages, sources).where("type <> 'workflow'")
+    return incremental.cleanup_counts(pages, gone)
 
 
 @query()
 def parse_python_symbols(spark, d):
-    """Symbols of Python sources made of the documents' words; rows only, SQL has no parser."""
+    """Symbols of Python sources that hold the documents' whole texts, as a docstring line by line; rows only, SQL has no parser."""
     from tessera.operators import parsing
 
     word = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1)
     name = lambda k: F.concat(F.lit("f_"), F.coalesce(F.get(word, F.lit(k)), F.lit("x")))
-    source = F.concat(F.lit("import os\n\nclass C(Base):\n    def "), name(0), F.lit("(self):\n        raise ValueError('broken thing')\n\ndef "), name(1), F.lit("(a):\n    return "), name(0), F.lit("(a)\n"))
+    said = F.concat(F.lit('    """'), F.regexp_replace("text", r'[\\"]', "'"), F.lit('\n    """\n'))
+    functions = F.array_join(F.transform(F.array_distinct(word), lambda w: F.concat(F.lit("\ndef g_"), w, F.lit("(a):\n    return f_"), w, F.lit("(a)\n"))), "")
+    source = F.concat(F.lit("import os\n\nclass C(Base):\n"), said, F.lit("    def "), name(0), F.lit("(self):\n        raise ValueError('broken thing')\n"), functions)
     files = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), source.alias("content"))
     return parsing.symbols_of(parsing.parse(files)).select("file_path", "ordinal", "name", "symbol_type", "start_line", "end_line", "parent")

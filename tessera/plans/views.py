@@ -31,12 +31,31 @@ JOBS = "SELECT CAST(user_id AS VARCHAR(20)) AS id, ts, event_id AS seq, CASE eve
 NOTES = "SELECT CASE o_orderstatus WHEN 'P' THEN 'general' WHEN 'F' THEN 'file' ELSE 'directory' END AS scope, CAST(o_custkey AS VARCHAR(20)) AS target, o_orderpriority AS content, 'a' AS author, o_orderdate AS updated_at, o_orderkey AS seq FROM orders"
 CALL_INDEX = "SELECT p_partkey AS id, replace(p_name, ' ', '_') || '_' || CAST(p_partkey % 40 AS VARCHAR(20)) AS symbol_name, lower(p_type) || '/' || lower(replace(p_brand, '#', '')) || '.py' AS file_path FROM part"
 
-_NAMES = {"paths": PATHS, "nodes": NODES, "edges": EDGES, "symbols": SYMBOLS, "refs": REFS, "imports": IMPORTS, "summaries": SUMMARIES, "jobs": JOBS, "notes": NOTES, "call_index": CALL_INDEX}
+# Arrays are made by split, and lines of code by chr(10), which both engines read alike.
+FULL_INDEX = """SELECT p_partkey AS id, lower(p_type) || '/' || lower(replace(p_brand, '#', '')) || '.py' AS file_path, replace(p_name, ' ', '_') || '_' || CAST(p_partkey % 40 AS VARCHAR(20)) AS symbol_name,
+ CASE p_size % 4 WHEN 0 THEN 'route' WHEN 1 THEN 'function' WHEN 2 THEN 'method' ELSE 'class' END AS symbol_type, CAST(p_partkey % 500 + 1 AS INTEGER) AS line_start, CAST(p_partkey % 500 + 9 AS INTEGER) AS line_end,
+ 'def ' || replace(p_name, ' ', '_') || '()' AS signature, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'Makes a ' || p_name || '.' END AS docstring,
+ split(CASE p_size % 5 WHEN 0 THEN 'ValueError,KeyError' WHEN 1 THEN 'OSError' ELSE 'none' END, ',') AS raises, split(CASE p_size % 7 WHEN 0 THEN '_cache,total' WHEN 1 THEN 'total' ELSE 'none' END, ',') AS mutates,
+ split('no such ' || p_name || ',bad value', ',') AS error_strings FROM part"""
+DECORATED = """SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 'main' WHEN 1 THEN 'serve' ELSE replace(p_name, ' ', '_') END AS name, CASE p_partkey % 9 WHEN 0 THEN 'cli_command' WHEN 1 THEN 'route' ELSE 'function' END AS symbol_type,
+ split(CASE p_partkey % 5 WHEN 0 THEN 'click.group' WHEN 1 THEN 'staticmethod,app.get' WHEN 2 THEN 'x.router.post' WHEN 3 THEN 'property' ELSE 'cache.setter' END, ',') AS decorators FROM part"""
+PAGE_TABLE = """SELECT 'files/' || source || '-' || lang || '-' || CAST(doc_id AS VARCHAR(20)) || '-py.md' AS path, CASE doc_id % 5 WHEN 0 THEN 'directory' WHEN 1 THEN 'workflow' ELSE 'file' END AS type, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR(20)) || '.py' AS target,
+ CASE WHEN doc_id % 3 = 0 THEN 'stale' ELSE sha256text END AS source_hash, DATE '1997-01-01' AS generated_at, CASE WHEN doc_id % 4 = 0 THEN 'gone/' || CAST(doc_id AS VARCHAR(20)) ELSE source || '/' || lang || '/' || CAST(doc_id AS VARCHAR(20)) || '.py' END AS source FROM (SELECT doc_id, source, lang, {sha} AS sha256text FROM documents) x"""
+QUESTIONS = """SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN 'Trace the ' || p_name || ' please' WHEN 1 THEN 'explain ' || replace(p_name, ' ', '') || ' flow' WHEN 2 THEN 'How does the thing work' WHEN 3 THEN 'walk through ' || p_brand
+ WHEN 4 THEN 'Any flaws in the ' || p_name || ' part?' WHEN 5 THEN 'Analyze ' || p_type || ' now' WHEN 6 THEN 'what''s wrong with this ' || p_name WHEN 7 THEN lower(p_type) || ' architecture'
+ WHEN 8 THEN 'See ' || replace(p_name, ' ', '_') || '() in src/' || lower(p_type) || '.tsx or b.go' ELSE 'the function ' || replace(p_name, ' ', '_') || ' of a/' || lower(p_type) || '.py' END AS q, replace(p_name, ' ', '_') AS name, p_name, p_type, p_brand, p_partkey % 10 AS k FROM part"""
+
+_NAMES = {"paths": PATHS, "nodes": NODES, "edges": EDGES, "symbols": SYMBOLS, "refs": REFS, "imports": IMPORTS, "summaries": SUMMARIES, "jobs": JOBS, "notes": NOTES, "call_index": CALL_INDEX, "decorated": DECORATED, "questions": QUESTIONS, "full_index": FULL_INDEX}
 
 
 def sql_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view above as a DataFrame over the tables of a folder; nothing is registered in the session's catalog."""
-    text = _NAMES[name].replace("VARCHAR(20)", "STRING")
+    """A view above as a DataFrame over the tables of a folder."""
+    return rows(spark, sf_dir, _NAMES[name])
+
+
+def rows(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """SQL that both engines run, over the tables of a folder; nothing is registered in the session's catalog."""
+    text = text.replace("VARCHAR(20)", "STRING").replace("{", "{{").replace("}", "}}")
     used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
     return spark.sql(re.sub(r"\b(FROM|JOIN) (" + "|".join(used) + r")\b", r"\1 {\2}", text), **{t: table(spark, sf_dir, t) for t in used})
 
@@ -49,3 +68,13 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = edges.join(callee, "target").groupBy("source").agg(F.array_sort(F.collect_list("callee")).alias("calls"))
     out = names.join(calls, F.concat(F.lit("p"), F.col("id").cast("string")) == F.col("source"), "left")
     return out.select("id", "file_path", "symbol_name", F.coalesce("calls", F.array().cast("array<string>")).alias("calls"))
+
+
+def full_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code index with all its columns."""
+    calls = index(spark, sf_dir).select("id", "calls")
+    return sql_view(spark, sf_dir, "full_index").join(calls, "id").withColumn("called_by", F.array().cast("array<string>"))
+
+
+def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, PAGE_TABLE.format(sha="sha2(text, 256)"))

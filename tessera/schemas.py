@@ -23,6 +23,9 @@ TABLES: dict[str, str] = {
     "jobs": "id string, type string, status string, started_at timestamp, completed_at timestamp, current_phase string, total_phases int, current_step int, total_steps int, error_message string, changes_made boolean, seq bigint",
     "citations": "page_path string, source_path string, line_start int, line_end int",
     "repos": "id bigint, origin_url string, source_type string, local_path string, display_name string, head_commit string, branch string, created_at timestamp, last_generated timestamp, status string",
+    "parsed": "file_path string",
+    "counts": "type string, deleted bigint",
+    "embedding_model": "provider string, model string, indexed_at timestamp",
     "settings": "key string, value string, seq bigint",
     "llm_log": "timestamp string, request struct<system_prompt:string,prompt:string,temperature:double,max_tokens:int>, response string, duration_ms bigint, error string",
 }

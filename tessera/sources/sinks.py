@@ -30,7 +30,13 @@ class Warehouse:
         return fs.delete(p, True)
 
     def read(self, table: str, staged: bool = False) -> DataFrame:
-        path = f"{self.staging if staged else self.live}/{table}"
+        """A table, or an empty one. Where a swap was stopped halfway, what stands aside is read."""
+        base = self.staging if staged else self.live
+        if not self.exists(base) and self.exists(f"{base}__old"):
+            base = f"{base}__old"
+        path = f"{base}/{table}"
+        if not self.exists(path) and self.exists(f"{path}__old"):
+            path = f"{path}__old"
         return self.spark.read.option("mergeSchema", "true").parquet(path) if self.exists(path) else empty(self.spark, table)
 
     def write(self, df: DataFrame, table: str, *, staged: bool = False, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -41,9 +47,22 @@ class Warehouse:
             return
         fresh = f"{path}__new"
         df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(fresh)
-        self.remove(path)
-        fs, p = self._fs(fresh)
-        fs.rename(p, self._fs(path)[1])
+        self._swap(fresh, path)
+
+    def _swap(self, fresh: str, path: str) -> None:
+        """fresh takes the place of path. What was there stands aside until then: a stop in between loses neither."""
+        fs, new = self._fs(fresh)
+        _, old = self._fs(path)
+        _, aside = self._fs(f"{path}__old")
+        if fs.exists(old):
+            fs.delete(aside, True)
+            if not fs.rename(old, aside):
+                raise OSError(f"{path} can't be moved")
+        if not fs.rename(new, old):
+            if fs.exists(aside):
+                fs.rename(aside, old)
+            raise OSError(f"{fresh} can't be moved")
+        fs.delete(aside, True)
 
     def replace_partitions(self, df: DataFrame, table: str, key: str) -> None:
         """Overwrite only the partitions of the keys in df."""
@@ -64,10 +83,20 @@ class Warehouse:
             fs.mkdirs(staging)
 
     def promote(self) -> None:
-        """Staging becomes live."""
-        fs, live = self._fs(self.live)
-        fs.delete(live, True)
-        fs.rename(self._fs(self.staging)[1], live)
+        """Staging becomes live; what was live goes when it has."""
+        self._swap(self.staging, self.live)
+
+    def save_embedding_model(self, provider: str, model: str) -> None:
+        """Remember what the vectors were made by, and when."""
+        row = self.spark.createDataFrame([(provider, model)], "provider string, model string")
+        self.write(row.withColumn("indexed_at", F.current_timestamp()), "embedding_model")
+
+    def embedding_model(self) -> DataFrame:
+        """(provider, model, indexed_at): one row, or none."""
+        return self.read("embedding_model")
+
+    def forget_embedding_model(self) -> None:
+        self.clear("embedding_model")
 
     def incomplete(self) -> bool:
         """A staging area is left: a build did not end."""
@@ -88,5 +117,11 @@ def synthesis_row(parts: DataFrame) -> DataFrame:
     return parts.select(content.alias("content"), F.substring(F.sha2(content, 256), 1, 16).alias("hash"))
 
 
+def read_synthesis(rows: DataFrame, ddl: str) -> DataFrame:
+    """The columns of ddl from rows (content, hash) that synthesis_row made; rows whose JSON is broken or has another hash are left out."""
+    own = F.substring(F.sha2(F.col("content"), 256), 1, 16) == F.col("hash")
+    return rows.where(own).select(F.from_json("content", ddl).alias("s")).where("s is not null").select("s.*")
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)

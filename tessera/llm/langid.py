@@ -65,24 +65,33 @@ def entry_key(n: int, gram: str) -> int:
     return xxhash.xxh3_64_intdigest(gram.encode("utf-8", "surrogatepass"), n)
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, lang, n, count) of rows (lang, n, gram, count)."""
+    for batch in batches:
+        keys = np.array([entry_key(n, gram) for n, gram in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0), batch.column(1), batch.column(3)], names=["key", "lang", "n", "count"])
+
+
 class Model:
     """Per entry (a word, n = 0, or an n-gram) the log frequency in each language; langs in alphabetical order.
 
-    Only (entry, language) pairs that were seen are held, in arrays sorted by a 64-bit hash of the entry: 13 bytes for each,
+    Only (entry, language) pairs that were seen are held, in arrays sorted by a 64-bit hash of the entry: 16 bytes for each,
     whatever the number of languages. A language in which an entry wasn't seen has that length's floor.
     """
 
-    def __init__(self, rows: list, totals: list):
+    def __init__(self, entries: pa.Table, totals: list):
         self.langs = sorted({r["lang"] for r in totals})
         at = {lang: j for j, lang in enumerate(self.langs)}
         size = np.ones((LONGEST + 1, len(self.langs)))
         for r in totals:
             size[r["n"], at[r["lang"]]] = r["count"]
         self.floor = (math.log(0.3) - np.log(size)).tolist()
-        order = sorted((entry_key(r["n"], r["gram"]), at[r["lang"]], math.log(r["count"]) - math.log(size[r["n"], at[r["lang"]]])) for r in rows)
-        self.keys = np.array([o[0] for o in order], np.uint64)
-        self.lang = np.array([o[1] for o in order], np.int16 if len(self.langs) < 1 << 15 else np.int32)
-        self.weight = np.array([o[2] for o in order], np.float32)
+        keys = entries["key"].to_numpy().view(np.uint64)
+        seen = entries["lang"].combine_chunks().dictionary_encode() if len(entries) else pa.array([], pa.string()).dictionary_encode()
+        lang = np.array([at[x] for x in seen.dictionary.to_pylist()], np.int32)[seen.indices.to_numpy()]
+        weight = np.log(np.maximum(entries["count"].to_numpy(), 1)) - np.log(size[entries["n"].to_numpy(), lang])
+        order = np.lexsort((lang, keys))
+        self.keys, self.lang, self.weight = keys[order], lang[order], weight[order].astype(np.float32)
         # Entries that were looked up, a bounded number, and marks of the hashes there are, made where they are used.
         self.memo: list[dict[str, tuple]] = [{} for _ in range(LONGEST + 1)]
         self.maybe: bytes | None = None
@@ -192,7 +201,8 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     Beyond that every language gets an equal part of max_docs, or all it has, `least` if the part is smaller: a hash of
     the id picks about that many of its rows. All words and n-grams seen twice or more in those texts are in the model; the
-    driver gets them, and the count of rows of each language: what is learned from is bounded, and nothing else.
+    driver gets their hashes and counts as numbers, and the count of rows of each language: what is learned from is
+    bounded, and nothing else.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -206,7 +216,8 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     counted = rows.select("lang", "text").mapInArrow(_counts, "lang string, n int, gram string, count long")
     counted = Scratch(labelled.sparkSession, "langid").keep(counted.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")), "counts")
     totals = counted.groupBy("lang", "n").agg(F.sum("count").alias("count")).collect()
-    return Model(counted.where("count > 1").collect(), totals)
+    entries = counted.where("count > 1").select("lang", "n", "gram", "count").mapInArrow(_keyed, "key long, lang string, n int, count long")
+    return Model(entries.toArrow(), totals)
 
 
 #: The worker's model and its identifier.

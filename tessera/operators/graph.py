@@ -61,17 +61,21 @@ def simple_paths(edges: DataFrame, start: str, end: str, *, min_confidence: floa
     """
     strong = edges.where(F.coalesce("confidence", F.lit(0.0)) >= min_confidence).select("source", "target").distinct().persist()
     open_ = edges.sparkSession.createDataFrame([([start], start)], "path array<string>, at string")
-    done, found = None, 0
+    done, held = [], None
     for step in range(1, longest + 1):
         grown = open_.join(strong, open_["at"] == strong["source"]).where(~F.array_contains("path", F.col("target")))
         grown = grown.select(F.concat("path", F.array("target")).alias("path"), F.col("target").alias("at")).persist()
-        hit = grown.where(F.col("at") == end).select("path", F.lit(step).alias("hops"))
-        done = hit if done is None else done.unionByName(hit)
-        found += hit.count()
+        # Paths found are few once cut to what is asked for; they go on as rows of the driver's, the open ones as a frame.
+        hit = grown.where(F.col("at") == end).orderBy("path").limit(most - len(done)).select("path").collect()
+        done += [(r["path"], step) for r in hit]
         open_ = grown.where(F.col("at") != end)
-        if found >= most or open_.isEmpty():
+        if len(done) >= most or open_.isEmpty():
             break
-    return done.orderBy("hops", "path").limit(most)
+        if step > 1:
+            held.unpersist()
+        held = grown
+    strong.unpersist()
+    return edges.sparkSession.createDataFrame(done, "path array<string>, hops int").orderBy("hops", "path")
 
 
 def component(path: Column) -> Column:

@@ -85,9 +85,9 @@ def gap_to_index(index: DataFrame, gap: str, *, most: int = 5) -> DataFrame:
     in_file = symbols.like(F.col("file_path"), file) if file else F.lit(False)
     is_name = F.col("symbol_name") == name if name else F.lit(False)
     tier = F.when(in_file & is_name, 0).when(in_file, 1).when(is_name, 2)
-    rows = index.withColumn("_tier", tier).where("_tier is not null").withColumn("_best", F.min("_tier").over(Window.partitionBy()))
-    nth = F.row_number().over(Window.partitionBy("_tier").orderBy("id"))
-    return rows.where("_tier = _best").withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_tier", "_best", "_nth")
+    # The first rows of the best tier are the first rows by tier and id, less those of later tiers.
+    first = index.withColumn("_tier", tier).where("_tier is not null").orderBy("_tier", "id").limit(most)
+    return first.withColumn("_best", F.min("_tier").over(Window.partitionBy())).where("_tier = _best").drop("_tier", "_best")
 
 
 def gap_lookup(nodes: DataFrame, edges: DataFrame, gap: str, hops: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as fn
 from tessera.operators.corpus import is_test_snippet, parent
@@ -114,22 +117,31 @@ def greedy_batches(rows: DataFrame, keys: list[str], order: list[str], limit: in
 
 
 def greedy_batches_long(rows: DataFrame, keys: list[str], order: list[str], limit: int, tokens_col: str = "tokens") -> DataFrame:
-    """greedy_batches for keys of many items: the same fold in one pass over a sorted Arrow group."""
+    """greedy_batches for keys of many items: the same fold over rows sorted in their partitions, in Arrow batches.
+
+    The fold needs a key's items one after another, so one task has them all, but it holds one batch: sorting spills.
+    """
     names = [*keys, *order]
     source = rows.select(*names, F.col(tokens_col).cast("long").alias("tokens"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([*order, "tokens"])
-        batch, used, out = 0, 0, []
-        for k, t in enumerate(group["tokens"]):
-            if k and used + t > limit:
-                batch, used = batch + 1, 0
-            used += t
-            out.append(batch)
-        return group.assign(batch=pd.Series(out, index=group.index, dtype="int32"))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields) + ", batch int"
-    return source.groupBy(*keys).applyInPandas(fold, schema)
+    source = source.repartition(*keys).sortWithinPartitions(*names, "tokens")
+    n = len(keys)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, batch, used = None, 0, 0
+        for part in batches:
+            out = []
+            columns = [c.to_pylist() for c in part.columns[:n]]
+            for own, t in zip(zip(*columns, strict=True), part.column(part.num_columns - 1).to_pylist(), strict=True):
+                if own != key:
+                    key, batch, used = own, 0, 0
+                elif used + t > limit:
+                    batch, used = batch + 1, 0
+                used += t
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int32())], names=[*part.schema.names, "batch"])
+
+    schema = T.StructType([*source.schema.fields, T.StructField("batch", T.IntegerType())])
+    return source.mapInArrow(fold, schema)
 
 
 def rank_call_sites(sites: DataFrame, *, by: list[str]) -> DataFrame:

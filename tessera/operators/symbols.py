@@ -129,6 +129,13 @@ def is_route_handler(decorators: Column) -> Column:
 
 
 def fan(index: DataFrame, out_limit: int = 15, in_limit: int = 20) -> DataFrame:
-    """index with fan_out, fan_in and flags of those above the limits."""
-    rows = index.withColumn("fan_out", F.size("calls")).withColumn("fan_in", F.size("called_by"))
+    """index with fan_out, fan_in and flags of those above the limits; fan_in counts the calls of a name without gathering callers."""
+    into = index.select(F.explode("calls").alias("_callee")).groupBy("_callee").agg(F.count("*").cast("int").alias("_in"))
+    rows = index.withColumn("fan_out", F.size("calls")).join(into, F.col("symbol_name") == F.col("_callee"), "left")
+    rows = rows.withColumn("fan_in", F.coalesce("_in", F.lit(0))).drop("_callee", "_in")
     return rows.withColumn("high_fan_out", F.col("fan_out") > out_limit).withColumn("high_fan_in", F.col("fan_in") > in_limit)
+
+
+def call_edges(index: DataFrame) -> DataFrame:
+    """(caller_id, caller, callee, pos): a row for each call, the form to keep where callers of one name may be many."""
+    return index.select(F.col("id").alias("caller_id"), F.col("symbol_name").alias("caller"), F.posexplode("calls").alias("pos", "callee"))

@@ -204,10 +204,12 @@ def diagnostic_retrieval(spark, d):
     return retrieval.diagnostic(rows, _ANCHORS).where("relevance = 'error site'")
 
 
-@query("SELECT relevance, count(*) AS n FROM (SELECT 'fan-out ' || CAST(len(c) AS VARCHAR) AS relevance FROM (SELECT n.id, list(p.callee) AS c FROM names n JOIN pairs p ON p.caller_id = n.id WHERE n.file_path LIKE '%small%' GROUP BY 1) WHERE len(c) > 15 ORDER BY len(c) DESC, id LIMIT 3) GROUP BY 1", **_FULL)
+@query("SELECT relevance, line_start FROM (SELECT 'fan-out ' || CAST(id % 30 AS VARCHAR) AS relevance, line_start FROM names WHERE file_path LIKE '%small%' AND id % 30 > 15 ORDER BY id % 30 DESC, id LIMIT 3) UNION ALL (SELECT category || '/' || severity, NULL FROM i WHERE file_path LIKE '%small%' ORDER BY id LIMIT 5)", **_FULL, i="SELECT id, file_path, 'security' AS category, 'problem' AS severity FROM names")
 def analytical_retrieval(spark, d):
-    found = retrieval.analytical(symbols.called_by(views.full_index(spark, d)), "small").where("relevance like 'fan-out%'")
-    return found.groupBy("relevance").agg(F.count("*").alias("n"))
+    rows = views.full_index(spark, d).withColumn("calls", F.transform(F.sequence(F.lit(0), (F.col("id") % 30).cast("int")), lambda k: F.concat(F.lit("c"), F.col("id").cast("string"), F.lit("_"), k.cast("string"))))
+    rows = rows.withColumn("calls", F.slice("calls", 1, F.size("calls") - 1))
+    issues = rows.select("id", "file_path", F.lit("security").alias("category"), F.lit("problem").alias("severity"), F.lit("t").alias("title"), F.lit("c").alias("content"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"))
+    return retrieval.analytical(rows, "small", issues).select("relevance", "line_start")
 
 
 _GAP_HITS = "SELECT id, row_number() OVER (ORDER BY id) AS n FROM names WHERE file_path LIKE '%small/brand1.py%'"
@@ -229,6 +231,14 @@ def routed_retrieval(spark, d):
 # Graph
 
 
+@query("SELECT id FROM hit UNION SELECT target FROM edges WHERE source IN (SELECT id FROM hit) UNION SELECT source FROM edges WHERE target IN (SELECT id FROM hit)", **_GRAPH, hit="SELECT min(id) AS id FROM nodes WHERE name = 'red_widget'")
+def gap_neighborhood(spark, d):
+    """The surroundings of the node that a gap names, as a question's follow-up retrieves them."""
+    nodes, edges = sql_view(spark, d, "nodes"), sql_view(spark, d, "edges")
+    vectors = nodes.select("id", F.col("name").alias("document"))
+    return retrieval.retrieve_gap("red_widget in small/x.py", nodes, edges, vectors, None).select("id")
+
+
 @query("SELECT id, min(way) AS way FROM (SELECT target AS id, 'called' AS way FROM edges WHERE type = 'calls' AND source = 'p21' AND confidence >= 0.5 UNION ALL SELECT source, 'calling' FROM edges WHERE type = 'calls' AND target = 'p21' AND confidence >= 0.5) GROUP BY 1", **_GRAPH)
 def direct_calls(spark, d):
     nodes, edges = sql_view(spark, d, "nodes"), sql_view(spark, d, "edges")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tessera.functions import text as fn
 from tessera.operators import corpus
@@ -28,9 +30,10 @@ def read_ignore(spark: SparkSession, path: str) -> list[str]:
     return [r["p"] for r in rows.collect()]
 
 
-def lossy_text(content):
-    """Bytes as UTF-8, broken ones dropped (and U+FFFD itself, which stands for them on the way)."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+@pandas_udf("string")
+def lossy_text(content: pd.Series) -> pd.Series:
+    """Bytes as text, undecodable ones dropped; a replacement character that the file itself holds stays. Null stays null."""
+    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
 
 def scan_texts(spark: SparkSession, root: str, patterns: list[str] | None = None, params: Params = DEFAULT) -> DataFrame:

@@ -150,3 +150,10 @@ def test_answers_in_both_forms_are_read_alike():
     assert retrieval.read_response("<answer> A b </answer>\n<missing>\n- x::y\n* NONE\n</missing>") == ("A b", ["x::y", "* NONE"])
     assert retrieval.read_response("ANSWER: It is so.\nMISSING (or NONE):\n- the cache\n-- a in b.py\n") == ("It is so.", ["the cache", "a in b.py"])
     assert retrieval.read_response("plain words") == ("plain words", []) and retrieval.read_response("ANSWER: x\nMISSING: NONE")[1] == []
+
+
+def test_undecodable_bytes_go_and_real_replacement_characters_stay(spark):
+    from tessera.sources.files import lossy_text
+
+    rows = spark.createDataFrame([(bytearray(b"a\xff\xef\xbf\xbdb\xc3"),), (bytearray("é".encode()),), (None,)], "c binary")
+    assert [r[0] for r in rows.select(lossy_text(F.col("c"))).collect()] == ["a�b", "é", None]

@@ -204,12 +204,12 @@ def diagnostic_retrieval(spark, d):
     return retrieval.diagnostic(rows, _ANCHORS).where("relevance = 'error site'")
 
 
-@query("SELECT relevance, line_start FROM (SELECT 'fan-out ' || CAST(id % 30 AS VARCHAR) AS relevance, line_start FROM names WHERE file_path LIKE '%small%' AND id % 30 > 15 ORDER BY id % 30 DESC, id LIMIT 3) UNION ALL (SELECT category || '/' || severity, NULL FROM i WHERE file_path LIKE '%small%' ORDER BY id LIMIT 5)", **_FULL, i="SELECT id, file_path, 'security' AS category, 'problem' AS severity FROM names")
+@query("SELECT relevance, CAST(line_start AS VARCHAR) AS line_start FROM (SELECT 'fan-out ' || CAST(id % 30 AS VARCHAR) AS relevance, line_start FROM names WHERE file_path LIKE '%small%' AND id % 30 > 15 ORDER BY id % 30 DESC, id LIMIT 3) UNION ALL (SELECT category || '/' || severity, NULL FROM i WHERE file_path LIKE '%small%' ORDER BY id LIMIT 5)", **_FULL, i="SELECT id, file_path, 'security' AS category, 'problem' AS severity FROM names")
 def analytical_retrieval(spark, d):
     rows = views.full_index(spark, d).withColumn("calls", F.transform(F.sequence(F.lit(0), (F.col("id") % 30).cast("int")), lambda k: F.concat(F.lit("c"), F.col("id").cast("string"), F.lit("_"), k.cast("string"))))
     rows = rows.withColumn("calls", F.slice("calls", 1, F.size("calls") - 1))
     issues = rows.select("id", "file_path", F.lit("security").alias("category"), F.lit("problem").alias("severity"), F.lit("t").alias("title"), F.lit("c").alias("content"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"))
-    return retrieval.analytical(rows, "small", issues).select("relevance", "line_start")
+    return retrieval.analytical(rows, "small", issues).select("relevance", F.col("line_start").cast("string").alias("line_start"))
 
 
 _GAP_HITS = "SELECT id, row_number() OVER (ORDER BY id) AS n FROM names WHERE file_path LIKE '%small/brand1.py%'"
@@ -302,7 +302,7 @@ def diagram_checks(spark, d):
 _SMALL_GRAPH = dict(_GRAPH, n2="SELECT * FROM nodes WHERE file_path LIKE '%brand1/m1.py' OR file_path LIKE '%brand2/m1.py'", e2="SELECT * FROM edges WHERE source IN (SELECT id FROM n2) AND target IN (SELECT id FROM n2)")
 
 
-@query("SELECT 'flowchart LR' || chr(10) || string_agg(line, chr(10) ORDER BY k, s) AS diagram FROM (SELECT 1 AS k, id AS s, '    ' || id || '[\"' || name || '\"]' AS line FROM n2 UNION ALL SELECT 2, source || chr(0) || target, '    ' || source || ' -->|' || type || '| ' || target FROM e2)", **_SMALL_GRAPH)
+@query("SELECT 'flowchart LR' || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY k, s), '') AS diagram FROM (SELECT 1 AS k, id AS s, '    ' || id || '[\"' || name || '\"]' AS line FROM n2 UNION ALL SELECT 2, source || chr(0) || target, '    ' || source || ' -->|' || type || '| ' || target FROM e2)", **_SMALL_GRAPH)
 def flow_diagram(spark, d):
     nodes = sql_view(spark, d, "nodes").where("file_path like '%brand1/m1.py' or file_path like '%brand2/m1.py'")
     return graph.diagram(*graph.induced(nodes, sql_view(spark, d, "edges"), nodes))

@@ -30,10 +30,14 @@ def read_ignore(spark: SparkSession, path: str) -> list[str]:
     return [r["p"] for r in rows.collect()]
 
 
-@pandas_udf("string")
-def lossy_text(content: pd.Series) -> pd.Series:
+def lossy_text(content):
     """Bytes as text, undecodable ones dropped; a replacement character that the file itself holds stays. Null stays null."""
-    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    @pandas_udf("string")
+    def decoded(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return decoded(content)
 
 
 def scan_texts(spark: SparkSession, root: str, patterns: list[str] | None = None, params: Params = DEFAULT) -> DataFrame:

@@ -21,6 +21,8 @@ FILTERS = "ABCDE"
 #: Code points of the first block, how much longer each next one is, and how many there are; the last is all the rest.
 FIRST_BLOCK, BLOCK_GROWTH, BLOCKS = 64, 4, 6
 WORDS = r"[^\x20\x09-\x0D]+"
+#: 64-bit words of the bitmap of classes that goes to all tasks: a few MB at most, whatever the size of the corpus.
+BITMAP_WORDS = 1 << 18
 
 
 def _blocks(text: Column) -> list[Column]:
@@ -44,7 +46,8 @@ def with_classes(docs: DataFrame, text: Column) -> DataFrame:
 def later_copies(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, class): documents whose text belongs to a smaller id too; class is the last one.
 
-    classes has id and the columns of with_classes, texts the same rows as (id, text). Rows without an id take no part.
+    classes has id and the columns of with_classes, texts the same rows as (id, text), or with their last class. Rows
+    without an id take no part.
     """
     live = classes.where("id is not null").select("id", *(f"class_{k}" for k in range(BLOCKS + 1)))
     for k in range(BLOCKS + 1):
@@ -54,15 +57,29 @@ def later_copies(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> Data
         if k:
             scratch.drop(f"split-{k - 1}")
     live = live.select("id", F.col(f"class_{BLOCKS}").alias("class")).distinct()
-    # Whole texts: equal ones of a task meet before the shuffle and go on once.
-    survivors = texts.join(live, "id")
-    distinct = scratch.keep(survivors.groupBy("class", "text").agg(F.min("id").alias("least")), "texts")
+    # Whole texts: those of classes that may be live, which a bitmap tells at the scan; equal ones of a task meet before the
+    # shuffle and go on once. A text that the bitmap let through by chance is alone in its class.
+    bitmap = live.groupBy(F.shiftright(_slot(F.col("class")), 6).alias("word")).agg(F.bit_or(_bit(F.col("class"))).alias("bits"))
+    bitmap = F.broadcast(scratch.keep(bitmap, "bitmap"))
+    last = f"class_{BLOCKS}"
+    classed = (texts if last in texts.columns else with_classes(texts, F.col("text"))).withColumn("class", F.col(last))
+    maybe = classed.select("id", "class", "text", F.shiftright(_slot(F.col("class")), 6).alias("word")).join(bitmap, "word").where(F.col("bits").bitwiseAND(_bit(F.col("class"))) != 0)
+    distinct = scratch.keep(maybe.groupBy("class", "text").agg(F.min("id").alias("least")), "texts")
     shape = distinct.groupBy("class").agg(F.count("*").alias("texts"), F.min("least").alias("least"))
-    same = live.join(shape.where("texts = 1"), "class").where("id > least").select("id", "class")
-    # Classes where different texts met by equal hashes, if any: there the text itself tells.
-    mixed = distinct.join(shape.where("texts > 1").select("class"), "class")
-    told = survivors.join(mixed, ["class", "text"]).where("id > least").select("id", "class")
-    return scratch.keep(same.union(told).distinct(), "copies")
+    copies = live.join(shape.where("texts = 1"), "class").where("id > least").select("id", "class")
+    mixed = scratch.keep(distinct.join(shape.where("texts > 1").select("class"), "class"), "mixed")
+    if not mixed.isEmpty():
+        # Different texts met by equal hashes: there the text itself tells.
+        copies = copies.union(maybe.join(mixed, ["class", "text"]).where("id > least").select("id", "class"))
+    return scratch.keep(copies.distinct(), "copies")
+
+
+def _slot(class_: Column) -> Column:
+    return F.pmod(class_, F.lit(BITMAP_WORDS * 64))
+
+
+def _bit(class_: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(class_, F.lit(64)).cast("int"))
 
 
 def failures(docs: DataFrame, text: Column) -> DataFrame:

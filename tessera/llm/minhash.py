@@ -9,9 +9,11 @@ low bits of one minimum: two documents differ in a symbol with a chance of about
    key, so two such chunks share the key that leaves their differences out. Every pair within DISTANCE shares a key.
 2. Keys that several nodes hold are lists. Rounds of stars first: the members of a list are verified against one pivot, and
    links merge, so a group of copies costs one pair for each copy.
-3. Then lists that still hold several components make pairs: pairs between components whose whole signatures are within
-   DISTANCE, each from the first key that the two share. Long lists are cut into blocks, every two of which meet once.
-4. All pairs of both steps are verified on whole sets.
+3. Then lists that still hold several components are searched for links between them: pairs whose whole signatures are
+   within DISTANCE, each in the first list that the two share, are compared by their shingles' 32-bit hashes. What can be
+   a link goes on, unless sure links of the list join the two already, so a list gives few more pairs than it has
+   components. Long lists are cut into blocks, every two of which meet once.
+4. All links of both steps are verified on whole sets.
 
 What may be missed is a link whose signatures differ in more than DISTANCE symbols: at a similarity of just 0.85 the chance
 is about 2 in 100,000 for a pair (binomial tail of 50 symbols), less above, and only if no other links join the two.
@@ -37,7 +39,9 @@ CHUNKS, CHUNK_SYMBOLS, CHUNK_ERRORS = 10, 5, 1
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: Differing symbols up to which every pair of signatures is found.
 DISTANCE = CHUNKS * (CHUNK_ERRORS + 1) - 1
-STAR_ROUNDS = 5
+STAR_ROUNDS = 2
+#: By how much short hashes may mistake the size of an intersection: two hashes that fall together, far more than is likely.
+SLACK = 4
 #: Members of a list that one task pairs with as many others, and those that it compares with a pivot, about.
 LIST_BLOCK, GROUP_BLOCK = 4096, 1024
 #: Shingles whose hashes are made at a time.
@@ -113,11 +117,15 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             if len(found):
                 made.append(signature(found))
         table = np.array(made, np.uint16).reshape(-1, SYMBOLS)
-        made_keys = iter(keys_of(table).view(np.int64))
-        symbols = iter(table)
-        signatures = [next(symbols).tobytes() if n else None for n in sizes]
-        keys = [next(made_keys) if n else None for n in sizes]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=_SCAN_NAMES)
+        some = np.array(sizes) > 0
+        lists = [_filled(table.view(np.int16), some), _filled(keys_of(table).view(np.int64), some)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=_SCAN_NAMES)
+
+
+def _filled(rows: np.ndarray, some: np.ndarray) -> pa.Array:
+    """Lists of equal length from rows, one for each place where some is true, else null."""
+    offsets = np.concatenate(([0], np.cumsum(some * rows.shape[1])))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rows.ravel()), mask=pa.array(~some))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:
@@ -145,22 +153,56 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.nd
 
 
 def _array(column: pa.Array) -> np.ndarray:
-    """Numbers, or signatures as rows of symbols."""
-    if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    """Numbers as they are, and short hashes as an array of arrays; signatures come as rows of symbols."""
+    if pa.types.is_fixed_size_binary(column.type) or pa.types.is_binary(column.type):
+        return np.array([np.frombuffer(x, np.uint32) for x in column.to_pylist()] + [None], object)[:-1]
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy().view(np.uint16).reshape(-1, SYMBOLS)
     return column.to_numpy(zero_copy_only=False)
 
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, short): sets as sorted 32-bit hashes."""
+    for batch in batches:
+        made = [np.unique(np.asarray(x, np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(1).to_numpy(zero_copy_only=False)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "short"])
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Values that two sorted arrays share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
+
+
+class _Joined:
+    """Which components are joined by what was found so far."""
+
+    def __init__(self) -> None:
+        self.of: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.of.get(x, x)) != x:
+            self.of[x] = self.of.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.of[self.find(x)] = self.find(y)
+
+
 def _pairs(batches: Iterator[pa.RecordBatch], percent: int, most: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """Rows (key, low, high, slot, side, id, comp, n, signature) in order of the first three; pairs (a, b) out.
+    """Rows (key, low, high, slot, side, id, comp, n, signature, short) in order of the first three; pairs (a, b) out.
 
     Holds one list's rows, which are few (LIST_BLOCK from each side), and about `most` pairs.
     """
     out: list[np.ndarray] = []
     held = 0
-    for _, _, _, slot, side, id_, comp, n, symbols in _runs(batches, 3):
+    for _, _, _, slot, side, id_, comp, n, symbols, short in _runs(batches, 3):
         order = np.argsort(n, kind="stable")
-        slot, side, id_, comp, n, symbols = (c[order] for c in (slot, side, id_, comp, n, symbols))
+        slot, side, id_, comp, n, symbols, short = (c[order] for c in (slot, side, id_, comp, n, symbols, short))
+        joined = _Joined()
         for i in range(0, len(id_), 128):
             a = slice(i, i + 128)
             to = int(np.searchsorted(n, 100 * n[a][-1] // percent, "right"))
@@ -176,10 +218,20 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int, most: int = 100_000)
                 u, v = i + x[k : k + (1 << 16)], i + y[k : k + (1 << 16)]
                 apart, first = first_shared_key(symbols[u], symbols[v])
                 hit = (apart <= DISTANCE) & (first == slot[u])
-                if hit.any():
-                    found = np.stack((id_[u[hit]], id_[v[hit]]))
-                    out.append(np.sort(found, axis=0))
-                    held += found.shape[1]
+                found = []
+                for p, q in zip(u[hit].tolist(), v[hit].tolist(), strict=True):
+                    c, d = int(comp[p]), int(comp[q])
+                    if joined.find(c) == joined.find(d):
+                        continue
+                    need = -(-percent * int(n[p] + n[q]) // (100 + percent))
+                    shared = _shared(short[p], short[q])
+                    if shared + SLACK >= need:
+                        found.append((id_[p], id_[q]))
+                        if shared - SLACK >= need:
+                            joined.join(c, d)
+                if found:
+                    out.append(np.sort(np.array(found, np.int64).T, axis=0))
+                    held += len(found)
             if held > most:
                 yield _pair_batch(out)
                 out, held = [], 0
@@ -205,7 +257,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scan = scratch.keep(texts.mapInArrow(lambda b: _scan(b, width), "id long, node long, n long, signature binary, keys array<long>"), "scan")
+    scan = scratch.keep(texts.mapInArrow(lambda b: _scan(b, width), "id long, node long, n long, signature array<short>, keys array<long>"), "scan")
     rows = scan.select("id", "node", "n")
     nodes = scratch.keep(rows.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n")), "nodes")
 
@@ -221,11 +273,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = verifier.sets(lists.select("id"), "star")
     popular = lists.groupBy("id").agg(F.sum("members").alias("popular"))
     parts = F.ceil(F.col("members") / GROUP_BLOCK)
-    votes = scratch.keep(lists.join(popular, "id").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), parts)).drop("slot", "members"), "voters")
+    votes = scratch.keep(lists.join(popular, "id").select("key", "id", "n", "popular", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).alias("part")), "voters")
     labels, links = None, None
     for k in range(star_rounds):
-        named = votes if labels is None else votes.join(labels, "id", "left")
-        named = named.withColumn("comp", F.col("id") if labels is None else F.coalesce("component", "id"))
+        if labels is None:
+            named = votes.withColumn("comp", F.col("id"))
+        else:
+            named = scratch.keep(votes.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), f"named-{k}")
         # The member that most others agree with first: what a group was copied from is close to it. Then others by chance.
         turn = F.struct((F.pmod(F.xxhash64("id", F.lit(k)), F.lit(8)) if k else F.lit(0).cast("long")).alias("turn"), (-F.col("popular")).alias("first"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp"))
         # A list of one component needs no more pairs.
@@ -234,29 +288,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         tried = named.drop("parts").join(pivots, ["key", "part"]).where(f"comp <> pivot_comp and least(n, pivot_n) * 100L >= {percent}L * greatest(n, pivot_n)")
         pairs = tried.groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).count().select("a", "b")
         found = scratch.keep(verifier.links(pairs, sets), f"star-links-{k}")
-        if k and found.isEmpty():
-            break
         links = found if links is None else links.union(found)
         labels = components(links, scratch, f"star-{k}")
+        scratch.drop(f"named-{k}")
         scratch.release()
 
-    # What is left: pairs between the components of one list.
-    own = lists.select("id").distinct()
-    if labels is not None:
-        own = own.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    else:
-        own = own.withColumn("comp", F.col("id"))
-    named = lists.join(own, "id")
+    # What is left: links between the components of one list.
+    named = scratch.keep(lists.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component") if labels is not None else lists.withColumn("comp", F.col("id")), "named")
     mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    named = scratch.keep(named.join(mixed, "key"), "mixed")
+    short = sets.join(named.select("id").distinct(), "id", "left_semi").select("id", "grams").mapInArrow(_short, "id long, short binary")
     blocks = F.ceil(F.col("members") / list_block)
-    dealt = scratch.keep(named.join(mixed, "key").join(signatures, "id").withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))), "dealt")
+    dealt = named.join(signatures.join(short, "id"), "id").withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "slot", side.alias("side"), "id", "comp", "n", "signature")
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "slot", side.alias("side"), "id", "comp", "n", "signature", "short")
     pairs = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(lambda b: _pairs(b, percent), "a long, b long")
-    pairs = scratch.keep(pairs, "pairs")
+    pairs = scratch.keep(pairs.distinct(), "pairs")
     last = verifier.links(pairs, sets)
     labels = components(last if links is None else links.union(last), scratch, "all")
-    for name in ("star-sets", "dealt", "lists", "voters"):
+    for name in ("star-sets", "named", "mixed", "lists", "voters"):
         scratch.drop(name)
 
     classes = nodes.join(labels, "id", "left").select("node", F.coalesce("component", "id").alias("component_id"))

@@ -52,7 +52,7 @@ def as_rows(df):
     return sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in df.collect())
 
 
-@pytest.mark.parametrize("rounds", [5, 1])
+@pytest.mark.parametrize("rounds", [2, 0])
 def test_hamming_join_gives_the_classes_of_brute_force(make_docs, odd_texts, rounds):
     rng = random.Random(rounds)
     passage = " ".join(f"p{i}" for i in range(70))
@@ -69,7 +69,7 @@ def test_long_lists_are_cut_without_loss(make_docs):
     """Lists of over five members are dealt in blocks, every two of which meet."""
     rng = random.Random(8)
     texts = [*family(rng, 40, 80, 0.015), *family(rng, 40, 80, 0.03)]
-    found = minhash.near_duplicates(make_docs(texts), list_block=5, star_rounds=1)
+    found = minhash.near_duplicates(make_docs(texts), list_block=5, star_rounds=0)
     assert as_rows(found) == classes(list(enumerate(texts)), 85)
 
 
@@ -192,7 +192,7 @@ def test_texts_that_collide_in_every_hash_are_told_apart(spark):
     """Classes are given, all the same: only the texts tell which rows are copies."""
     texts = spark.createDataFrame([(4, "a"), (2, "a"), (3, "b"), (9, "b"), (5, "c")], "id long, text string")
     classes_ = texts.select("id", *(F.lit(7).cast("long").alias(f"class_{k}") for k in range(filter_audit.BLOCKS + 1)))
-    found = filter_audit.later_copies(classes_, texts, Scratch(spark, "test"))
+    found = filter_audit.later_copies(classes_, texts.withColumn(f"class_{filter_audit.BLOCKS}", F.lit(7).cast("long")), Scratch(spark, "test"))
     assert sorted(r.id for r in found.collect()) == [4, 9]
 
 

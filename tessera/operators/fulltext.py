@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,17 @@ from tessera.operators.search import K1, B, terms
 
 #: Characters of a term that name the partition its postings are in.
 HEAD = 2
+#: Postings that one task writes, about.
+POSTINGS_PER_TASK = 4_000_000
 
 
-def postings(chunks: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    """(head, term, field, position, id): a row for each place of each term."""
-    places = [chunks.select(F.col(id_col).alias("id"), F.lit(k).alias("field"), F.posexplode(terms(F.coalesce(F.col(c), F.lit("")))).alias("position", "term")) for k, c in enumerate(text_cols)]
+def postings(chunks: DataFrame, id_col: str, text_cols: list[str], keep: list[str] = ()) -> DataFrame:
+    """(head, term, field, position, id) and columns to keep: a row for each place of each term."""
+    places = [chunks.select(*keep, F.col(id_col).alias("id"), F.lit(k).alias("field"), F.posexplode(terms(F.coalesce(F.col(c), F.lit("")))).alias("position", "term")) for k, c in enumerate(text_cols)]
     rows = places[0]
     for more in places[1:]:
         rows = rows.unionByName(more)
-    return rows.select(F.substring("term", 1, HEAD).alias("head"), "term", "field", "position", "id")
+    return rows.select(*keep, F.substring("term", 1, HEAD).alias("head"), "term", "field", "position", "id")
 
 
 def lengths(chunks: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
@@ -32,12 +35,15 @@ def build(chunks: DataFrame, root: str, *, id_col: str, text_cols: list[str], mo
     """Write the index of chunks below root: postings in folders by head, sorted by term, lengths, and one row of totals.
 
     With mode `append` the rows of new chunks are added; ids must be new (delete by id first: `remove`). A frequent head is
-    dealt to several tasks by id, so no task holds all places of one word.
+    dealt to several tasks by id, as many as the index's size asks for, so no task holds all places of one word. For an index
+    that is kept up to date see segments.SegmentedIndex.
     """
-    rows = postings(chunks, id_col, text_cols).repartition("head", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("head", "term", "id")
-    rows.write.mode(mode).partitionBy("head").parquet(f"{root}/postings")
     lengths(chunks, id_col, text_cols).write.mode(mode).parquet(f"{root}/lengths")
     _total(chunks.sparkSession, root)
+    places = chunks.sparkSession.read.parquet(f"{root}/lengths").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    deal = math.ceil(places / POSTINGS_PER_TASK) or 1
+    rows = postings(chunks, id_col, text_cols).repartition("head", F.pmod(F.xxhash64("id"), F.lit(deal))).sortWithinPartitions("head", "term", "id")
+    rows.write.mode(mode).partitionBy("head").parquet(f"{root}/postings")
 
 
 def _total(spark: SparkSession, root: str) -> None:
@@ -66,15 +72,13 @@ def _word(rows: DataFrame, word: str, prefix: bool) -> DataFrame:
     return rows.where(place & F.col("term").startswith(word))
 
 
-def matches(spark: SparkSession, root: str, query: str) -> DataFrame:
-    """(id, matches): places where rows hold the query as a phrase, its last word a prefix.
+def phrase_matches(rows: DataFrame, query: str) -> DataFrame:
+    """(id, matches) from postings: places where rows hold the query as a phrase, its last word a prefix.
 
     Only folders of the query's words are read; the rarest word's places are not known beforehand, so joins of places run
     on (id, field, position), which no hot word skews.
     """
     words = re.findall(r"[^\W_]+", query.lower())
-    schema = spark.read.parquet(f"{root}/lengths").schema["id"].dataType
-    rows = spark.read.schema(f"term string, field int, position int, id {schema.simpleString()}, head string").parquet(f"{root}/postings")
     if not words:
         return rows.where("false").groupBy("id").agg(F.count("*").alias("matches"))
     found = None
@@ -84,6 +88,12 @@ def matches(spark: SparkSession, root: str, query: str) -> DataFrame:
     return found.groupBy("id").agg(F.count("*").alias("matches"))
 
 
+def matches(spark: SparkSession, root: str, query: str) -> DataFrame:
+    """(id, matches) of the index below root."""
+    schema = spark.read.parquet(f"{root}/lengths").schema["id"].dataType
+    return phrase_matches(spark.read.schema(f"term string, field int, position int, id {schema.simpleString()}, head string").parquet(f"{root}/postings"), query)
+
+
 def bm25(spark: SparkSession, root: str, query: str, *, clamp: bool = True) -> DataFrame:
     """(id, matches, length, score) as search.bm25 gives them for the chunks that were indexed; their texts are not read."""
     found = matches(spark, root, query).join(spark.read.parquet(f"{root}/lengths"), "id")

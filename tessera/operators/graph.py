@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as fn
 from tessera.operators.corpus import is_test_graph
 from tessera.params import DEFAULT, Params
+from tessera.sources.durable import Kept
 
 #: Edges of a path at most, and paths reported.
 LONGEST_PATH, MOST_PATHS = 10, 10
@@ -54,28 +55,44 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int
     return induced(nodes, edges, reached(edges, seeds, hops, min_confidence), min_confidence)
 
 
+def distances_to(edges: DataFrame, end: str, longest: int) -> DataFrame:
+    """(id, left): fewest edges from a node to `end`, for nodes at most `longest` away; edges (source, target)."""
+    keep = Kept(edges.sparkSession)
+    seen = frontier = edges.sparkSession.createDataFrame([(end, 0)], "id string, left int")
+    for hop in range(1, longest + 1):
+        nxt = edges.join(frontier.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id")).distinct()
+        frontier = keep(nxt.join(seen, "id", "left_anti").withColumn("left", F.lit(hop)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def simple_paths(edges: DataFrame, start: str, end: str, *, min_confidence: float = 0.0, longest: int = LONGEST_PATH, most: int = MOST_PATHS) -> DataFrame:
     """(path, hops): simple paths of at most `longest` edges, shortest first, by their nodes within a length.
 
-    Each step extends the open paths by one edge. Shorter paths come first, so the walk ends as soon as `most` are found.
+    Distances are found backwards from the end first, by frontiers of nodes. An open path then goes on only to nodes from
+    which the end is near enough, so paths that can't get there in time are never made. Shorter paths come first: the walk
+    ends as soon as `most` are found, and before it starts if the end can't be reached.
     """
-    strong = edges.where(F.coalesce("confidence", F.lit(0.0)) >= min_confidence).select("source", "target").distinct().persist()
-    open_ = edges.sparkSession.createDataFrame([([start], start)], "path array<string>, at string")
-    done, held = [], None
+    spark = edges.sparkSession
+    keep = Kept(spark)
+    strong = keep(edges.where(F.coalesce("confidence", F.lit(0.0)) >= min_confidence).select("source", "target").distinct())
+    left = distances_to(strong, end, longest)
+    # Only edges between nodes that lead to the end matter, each with what is left after it.
+    useful = keep(strong.join(left.select(F.col("id").alias("target"), "left"), "target"))
+    open_ = left.where(F.col("id") == start).select(F.array("id").alias("path"), F.col("id").alias("at"))
+    done: list[tuple[list[str], int]] = []
     for step in range(1, longest + 1):
-        grown = open_.join(strong, open_["at"] == strong["source"]).where(~F.array_contains("path", F.col("target")))
-        grown = grown.select(F.concat("path", F.array("target")).alias("path"), F.col("target").alias("at")).persist()
+        grown = open_.join(useful, open_["at"] == useful["source"]).where(~F.array_contains("path", F.col("target")) & (F.col("left") <= longest - step))
+        grown = keep(grown.select(F.concat("path", F.array("target")).alias("path"), F.col("target").alias("at")))
         # Paths found are few once cut to what is asked for; they go on as rows of the driver's, the open ones as a frame.
         hit = grown.where(F.col("at") == end).orderBy("path").limit(most - len(done)).select("path").collect()
         done += [(r["path"], step) for r in hit]
         open_ = grown.where(F.col("at") != end)
         if len(done) >= most or open_.isEmpty():
             break
-        if step > 1:
-            held.unpersist()
-        held = grown
-    strong.unpersist()
-    return edges.sparkSession.createDataFrame(done, "path array<string>, hops int").orderBy("hops", "path")
+    return spark.createDataFrame(done, "path array<string>, hops int").orderBy("hops", "path")
 
 
 def component(path: Column) -> Column:
@@ -210,17 +227,33 @@ def node_snippet(path: Column, first: Column, last: Column, docstring: Column, s
     return F.concat_ws("\n", head, F.when(docstring != "", docstring), F.when(signature != "", signature))
 
 
+def within_budget(rows: DataFrame, budget: Column | int, *order: Column, tokens_col: str = "tokens", least: int = 1) -> DataFrame:
+    """The rows that come, in an order, before the sum of their tokens exceeds a budget, with `pos` (from 0) and `running`.
+
+    A row has `least` tokens or more, so no more than budget / least rows fit: that many are taken by a top-k, in which every
+    partition keeps its own, and only those are summed up in order. budget is a number or a column of one value.
+    """
+    most = budget if isinstance(budget, int) else rows.select(F.max(budget)).first()[0] or 0
+    few = rows.withColumn("_t", F.greatest(F.col(tokens_col), F.lit(least))).orderBy(*order).limit(max(most // least, 0) + 1)
+    sequence = Window.orderBy(*order)
+    summed = few.withColumn("pos", F.row_number().over(sequence) - 1).withColumn("running", F.sum("_t").over(sequence.rowsBetween(Window.unboundedPreceding, 0)))
+    return summed.where(F.col("running") <= budget).drop("_t")
+
+
 def pack_graph_context(nodes: DataFrame, edges: DataFrame, budget: int, params: Params = DEFAULT) -> DataFrame:
-    """(part, pos, line): diagram lines within their budget, then node snippets, most connected first, in what is left."""
-    lines = diagram(nodes, edges).select(F.posexplode(F.split("diagram", "\n")).alias("pos", "line")).withColumn("tokens", fn.token_estimate(F.col("line")))
-    running = F.sum("tokens").over(Window.orderBy("pos"))
-    lines = lines.withColumn("running", running).where((F.col("pos") == 0) | (F.col("running") <= params.diagram_token_budget))
-    spent = lines.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("spent"))
-    ordered = nodes.join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    ordered = ordered.withColumn("line", node_snippet(F.col("file_path"), F.col("line_start"), F.col("line_end"), F.col("docstring"), F.col("signature"))).withColumn("tokens", fn.token_estimate(F.col("line")))
-    order = Window.orderBy(F.desc("degree"), "id")
-    ordered = ordered.withColumn("pos", F.row_number().over(order) - 1).withColumn("running", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    code = ordered.crossJoin(F.broadcast(spent)).where(F.col("running") <= budget - F.col("spent"))
+    """(part, pos, line): diagram lines within their budget, then node snippets, most connected first, in what is left.
+
+    The head of the diagram always stays. Neither part is ever sorted whole: see within_budget.
+    """
+    named = nodes.select(F.lit(1).alias("k"), F.col("id").alias("s"), F.concat(F.lit("    "), fn.diagram_id(F.col("id")), F.lit('["'), fn.diagram_label(F.col("name")), F.lit('"]')).alias("line"))
+    arrows = edges.select(F.lit(2).alias("k"), F.concat_ws("\0", "source", "target").alias("s"), F.concat(F.lit("    "), fn.diagram_id(F.col("source")), F.lit(" -->|"), F.col("type"), F.lit("| "), fn.diagram_id(F.col("target"))).alias("line"))
+    head = nodes.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit("").alias("s"), F.lit("flowchart LR").alias("line"))
+    lines = head.unionByName(named).unionByName(arrows).withColumn("tokens", fn.token_estimate(F.col("line")))
+    lines = Kept(nodes.sparkSession)(within_budget(lines, params.diagram_token_budget, F.col("k"), F.col("s"), F.col("line")))
+    spent = int(lines.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    snippets = nodes.join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    snippets = snippets.withColumn("line", node_snippet(F.col("file_path"), F.col("line_start"), F.col("line_end"), F.col("docstring"), F.col("signature"))).withColumn("tokens", fn.token_estimate(F.col("line")))
+    code = within_budget(snippets, max(budget - spent, 0), F.desc("degree"), F.col("id"))
     return lines.select(F.lit("diagram").alias("part"), "pos", "line").unionByName(code.select(F.lit("code").alias("part"), "pos", "line"))
 
 

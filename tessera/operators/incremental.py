@@ -9,7 +9,7 @@ from tessera.operators.corpus import depth, excluded
 from tessera.operators.summaries import directory_signature_deep
 from tessera.operators.symbols import last_wins
 
-__all__ = ["last_wins", "upsert", "delete", "replace_by", "changed_files", "changed_directories", "needs_synthesis", "with_placeholders", "orphans", "cleanup_counts", "notes_for", "newer_notes", "list_notes", "job_states", "cancel", "sweep_orphans", "recent_jobs", "mismatch"]
+__all__ = ["last_wins", "upsert", "delete", "replace_by", "changed_files", "changed_directories", "needs_synthesis", "with_placeholders", "orphans", "cleanup_counts", "notes_for", "newer_notes", "list_notes", "job_states", "cancel", "sweep_orphans", "recent_jobs", "mismatch", "mismatches"]
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,3 +120,10 @@ def mismatch(stored: DataFrame, provider: str, model: str) -> DataFrame:
     """One row (mismatch): the index was made by another provider or model; false without an index."""
     different = ~(F.col("provider").eqNullSafe(F.lit(provider)) & F.col("model").eqNullSafe(F.lit(model)))
     return stored.agg(F.coalesce(F.bool_or(different), F.lit(False)).alias("mismatch"))
+
+
+def mismatches(stored: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, mismatch) for each row of wanted (keys, provider, model): its index (keys, provider, model) was made by another; false without one."""
+    held = stored.select(*keys, F.struct("provider", "model").alias("_held"))
+    other = F.col("_held").isNotNull() & ~F.struct("provider", "model").eqNullSafe(F.col("_held"))
+    return wanted.join(held, keys, "left").select(*keys, other.alias("mismatch"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Confidence multipliers of ambiguous and unresolved references.
 AMBIGUOUS, UNRESOLVED = 0.5, 0.3
@@ -54,9 +55,19 @@ def build_graph(symbols: DataFrame, refs: DataFrame, order: list[Column]) -> tup
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row, in an order, under each key."""
-    newest = [c.desc() for c in order]
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where("_nth = 1").drop("_nth")
+    """The last row, in an order, under each key; of equal ones the one of largest values.
+
+    An aggregate: rows of one key meet before the shuffle, so a key that holds many rows is no task's burden.
+    """
+    others = [c for c in rows.columns if c not in keys]
+    rank = F.struct(*(c.alias(f"_o{k}") for k, c in enumerate(order)), *(F.col(c) for c in others if _comparable(rows.schema[c].dataType)))
+    whole = F.struct(*(F.col(c) for c in others))
+    last = rows.groupBy(*keys).agg(F.max_by(whole, rank).alias("_last"))
+    return last.select(*(F.col(c) if c in keys else F.col(f"_last.`{c}`").alias(c) for c in rows.columns))
+
+
+def _comparable(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType))
 
 
 def build_index(symbols: DataFrame, calls: DataFrame, source_hash: Column, *, qualified: bool = False) -> DataFrame:

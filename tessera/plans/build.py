@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import corpus, incremental, parsing, symbols
+from tessera.functions import text as fn
+from tessera.operators import chunking, corpus, incremental, parsing, symbols
+from tessera.operators.segments import SegmentedIndex
+from tessera.params import DEFAULT, Params
 from tessera.schemas import conform
 from tessera.sources.sinks import Warehouse
 
-PHASES = ("scan", "parse", "graph", "index", "cleanup")
+PHASES = ("scan", "parse", "graph", "pages", "cleanup", "index")
+PageWriter = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def begin(store: Warehouse, mode: str, job: DataFrame) -> None:
@@ -46,15 +52,65 @@ def cleanup(pages: DataFrame, sources: DataFrame, notes: DataFrame, patterns: li
     return {"pages": kept, "notes": left, "counts": counts}
 
 
-def run(spark: SparkSession, store: Warehouse, files: DataFrame, job: DataFrame, *, wanted: str | None = None, user_patterns: list[str] | None = None) -> DataFrame:
-    """Build staging from files (path, length, content), promote it, and return counts of the cleanup.
+def parse_changed(texts: DataFrame, stored: DataFrame) -> DataFrame:
+    """texts (file_path, content, source_hash) parsed; rows of an earlier build whose file has the same hash are taken over."""
+    if "source_hash" not in stored.columns:
+        return parsing.parse(texts).join(texts.select("file_path", "source_hash"), "file_path")
+    same = stored.join(texts.select("file_path", "source_hash"), ["file_path", "source_hash"], "left_semi")
+    fresh = texts.join(stored.select("file_path", "source_hash"), ["file_path", "source_hash"], "left_anti")
+    return same.unionByName(parsing.parse(fresh).join(fresh.select("file_path", "source_hash"), "file_path"))
+
+
+def code_index(found: DataFrame, refs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The code index of symbols with ids and references as parsed."""
+    scope = F.element_at(F.split(F.substring_index("source", "::", -1), r"\."), -1)
+    calls = refs.where("reference_type = 'calls'").select("file_path", scope.alias("symbol_name"), F.element_at(F.split("target", r"\."), -1).alias("callee"), "ordinal")
+    hashed = found.join(texts.select("file_path", "source_hash"), "file_path")
+    return symbols.build_index(hashed.withColumnRenamed("source_hash", "_hash"), calls, F.col("_hash"))
+
+
+def page_index(store: Warehouse) -> SegmentedIndex:
+    """The full-text index of a warehouse's pages."""
+    return SegmentedIndex(store.spark, f"{store.base}/index")
+
+
+def update_index(store: Warehouse, params: Params = DEFAULT) -> int:
+    """Bring the index up to the pages that are live: chunks of pages that are new or changed go in, those of lost ones out.
+
+    What changed is seen by comparing pages with what the index holds, so a build that stopped before this is made up for.
+    """
+    index, pages = page_index(store), store.read("pages").where("path is not null and content is not null")
+    held = pages.select("path", fn.content_hash(F.col("content")).alias("hash"))
+    stale, gone = index.changes(held)
+    changed = held.join(stale, "path", "left_semi")
+    chunks = chunking.chunk_pages(pages.join(stale, "path", "left_semi").select("path", "content"), params=params)
+    return index.update(chunks, changed, gone)
+
+
+def run(
+    spark: SparkSession,
+    store: Warehouse,
+    files: DataFrame,
+    job: DataFrame,
+    *,
+    wanted: str | None = None,
+    user_patterns: list[str] | None = None,
+    page_of: PageWriter | None = None,
+    params: Params = DEFAULT,
+) -> DataFrame:
+    """Build staging from files (path, length, content), promote it, bring the index up to it, and return counts of the cleanup.
 
     Every phase writes its table and the next one reads that: nothing is parsed twice, and a lost executor costs one phase.
+    `page_of` makes pages (columns of the table pages) from (file_path, content, source_hash) of files and their parsed rows:
+    it gets the files whose page is missing, of another hash or older than a note, all of them in a full build. An
+    incremental build parses changed files only, and the index writes changed pages only.
     """
-    begin(store, choose_mode(store, wanted), job)
-    scanned = corpus.scan(files, user_patterns)
+    mode = choose_mode(store, wanted)
+    begin(store, mode, job)
+    scanned = corpus.scan(files, user_patterns, params)
     texts = files.join(scanned.select("path"), "path", "left_semi").select(F.col("path").alias("file_path"), F.col("content").cast("string").alias("content"))
-    store.write(parsing.parse(texts), "parsed", staged=True)
+    texts = texts.withColumn("source_hash", fn.content_hash(F.col("content")))
+    store.write(parse_changed(texts, store.read("parsed", staged=True)), "parsed", staged=True)
     parsed = store.read("parsed", staged=True)
     found = symbols.with_node_id(parsing.symbols_of(parsed))
     store.write(conform(found, "symbols"), "symbols", staged=True)
@@ -63,10 +119,17 @@ def run(spark: SparkSession, store: Warehouse, files: DataFrame, job: DataFrame,
     nodes, edges = symbols.build_graph(found, refs, [F.col("line"), F.col("ordinal")])
     store.write(conform(nodes, "nodes"), "nodes", staged=True)
     store.write(conform(edges, "edges"), "edges", staged=True)
+    store.write(conform(code_index(found, parsing.references_of(parsed), texts), "code_index"), "code_index", staged=True)
+    if page_of is not None:
+        pages, notes = store.read("pages", staged=True), store.read("notes", staged=True)
+        wanted_pages = incremental.changed_files(texts.select(F.col("file_path").alias("path"), F.col("source_hash").alias("hash")), pages, notes).where("regenerate").select(F.col("path").alias("file_path"))
+        made = conform(page_of(texts.join(wanted_pages, "file_path", "left_semi"), parsed), "pages")
+        store.write(incremental.upsert(pages, made, ["path"]), "pages", staged=True)
     done = cleanup(store.read("pages", staged=True).withColumn("source", F.when(F.col("type") == "file", F.col("target"))), texts.select(F.col("file_path").alias("path")), store.read("notes", staged=True), user_patterns)
     # Counts come of both tables as they were, so they are written first.
     for table in ("counts", "pages", "notes"):
         rows = done[table]
         store.write(conform(rows, table) if table != "counts" else rows, table, staged=True)
     store.promote()
+    update_index(store, params)
     return store.read("counts")

@@ -145,7 +145,7 @@ def content_hash(spark, d):
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(lower(regexp_replace(substr(text, 1, 500), '^\\s+|\\s+$', '', 'g'))) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def prefix_dedup(spark, d):
-    return search.prefix_dedup(table(spark, d, "documents"), [F.asc("doc_id")], content_col="text").select("doc_id")
+    return search.prefix_dedup(table(spark, d, "documents").select("doc_id", "text"), [F.col("doc_id")], content_col="text").select("doc_id")
 
 
 @query("SELECT doc_id, CAST(length(text) // 4 AS INTEGER) AS tokens, CAST(len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS words FROM documents")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera import schemas
@@ -13,6 +10,7 @@ from tessera.operators import chunking, corpus, fulltext, graph, incremental, re
 from tessera.plans import catalog, views
 from tessera.plans.catalog import _CALLS, _GRAPH, query
 from tessera.plans.views import sql_view, table
+from tessera.sources.durable import shared_folder
 from tessera.streaming import jobs
 
 _PAGES = views.PAGE_TABLE.format(sha="sha256(text)")
@@ -220,9 +218,9 @@ def gap_index_rows(spark, d):
     return retrieval.gap_to_index(views.full_index(spark, d), "what is in `small/brand1.py`?").select("id")
 
 
-@query("SELECT (SELECT count(*) FROM names WHERE why IS NOT NULL) AS diagnostic, (SELECT count(*) FROM names WHERE false) AS conceptual", names="SELECT *, CASE WHEN list_contains(raises, 'KeyError') THEN 'x' END AS why FROM (SELECT * FROM (" + views.FULL_INDEX + ") f ORDER BY file_path LIMIT 3) g")
+@query("SELECT (SELECT least(count(*), 3) FROM names WHERE list_contains(raises, 'KeyError')) AS diagnostic, (SELECT count(*) FROM names WHERE false) AS conceptual", **_FULL)
 def routed_retrieval(spark, d):
-    rows = views.full_index(spark, d).orderBy("file_path").limit(3)
+    rows = views.full_index(spark, d)
     found = retrieval.route("a KeyError came up", "diagnostic", rows).where("relevance = 'error site'")
     none = retrieval.route("what is this", "conceptual", rows)
     return found.agg(F.count("*").alias("diagnostic")).crossJoin(none.agg(F.count("*").alias("conceptual")))
@@ -239,11 +237,18 @@ def gap_neighborhood(spark, d):
     return retrieval.retrieve_gap("red_widget in small/x.py", nodes, edges, vectors, None).select("id")
 
 
-@query("SELECT id, min(way) AS way FROM (SELECT target AS id, 'called' AS way FROM edges WHERE type = 'calls' AND source = 'p21' AND confidence >= 0.5 UNION ALL SELECT source, 'calling' FROM edges WHERE type = 'calls' AND target = 'p21' AND confidence >= 0.5) GROUP BY 1", **_GRAPH)
+_MOST_CALLING = "(SELECT source FROM edges WHERE type = 'calls' AND confidence >= 0.5 GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)"
+_MOST_CALLED = "(SELECT target FROM edges WHERE type = 'calls' AND confidence >= 0.5 GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)"
+
+
+@query(f"SELECT target AS id, 'called' AS way FROM edges WHERE type = 'calls' AND source = {_MOST_CALLING} AND confidence >= 0.5 UNION SELECT source, 'calling' FROM edges WHERE type = 'calls' AND target = {_MOST_CALLED} AND confidence >= 0.5", **_GRAPH)
 def direct_calls(spark, d):
+    """What the busiest caller calls, and what calls the most called node."""
     nodes, edges = sql_view(spark, d, "nodes"), sql_view(spark, d, "edges")
-    both = graph.calls_of(nodes, edges, "p21", 0.5).select("id", F.lit("called").alias("way")).unionByName(graph.callers_of(nodes, edges, "p21", 0.5).select("id", F.lit("calling").alias("way")))
-    return both.groupBy("id").agg(F.min("way").alias("way"))
+    strong = edges.where("type = 'calls' AND confidence >= 0.5")
+    most = lambda end: strong.groupBy(end).count().orderBy(F.desc("count"), end).first()[0]
+    called = graph.calls_of(nodes, edges, most("source"), 0.5).select("id", F.lit("called").alias("way"))
+    return called.unionByName(graph.callers_of(nodes, edges, most("target"), 0.5).select("id", F.lit("calling").alias("way")))
 
 
 _NO_TESTS = dict(_GRAPH, kept="SELECT id FROM nodes WHERE NOT regexp_matches(file_path, '(^|/)tests?/')")
@@ -468,17 +473,19 @@ def cancelled_job(spark, d):
     return incremental.cancel(states, first or "", F.current_timestamp()).select("id", "status")
 
 
-@query("SELECT true AS other, false AS same, false AS fresh")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN false ELSE NOT (c_mktsegment = 'BUILDING' AND c_nationkey % 2 = 0) END AS mismatch FROM customer")
 def embedding_mismatch(spark, d):
-    stored = spark.createDataFrame([("a", "m")], "provider string, model string")
-    parts = [incremental.mismatch(s, p, "m").withColumnRenamed("mismatch", n) for s, p, n in ((stored, "b", "other"), (stored, "a", "same"), (stored.where("false"), "a", "fresh"))]
-    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])
+    """Customers as repositories: those indexed by another provider or model than is configured now; a third has no index yet."""
+    customers = table(spark, d, "customer")
+    stored = customers.where("c_custkey % 3 <> 0").select("c_custkey", F.col("c_mktsegment").alias("provider"), (F.col("c_nationkey") % 2).cast("string").alias("model"))
+    wanted = customers.select("c_custkey", F.lit("BUILDING").alias("provider"), F.lit("0").alias("model"))
+    return incremental.mismatches(stored, wanted, ["c_custkey"])
 
 
 # Answers
 
-_CITED = "SELECT 'files/' || CAST(doc_id * 3 AS VARCHAR(20)) AS path, doc_id AS pos FROM documents WHERE doc_id < 40"
-_FOUND = "SELECT 'files/' || CAST(doc_id AS VARCHAR(20)) AS path, source AS title, doc_id AS rank FROM documents WHERE doc_id < 60"
+_CITED = "SELECT 'files/' || CAST(doc_id * 3 AS VARCHAR(20)) AS path, doc_id AS pos FROM documents"
+_FOUND = "SELECT 'files/' || CAST(doc_id AS VARCHAR(20)) AS path, source AS title, doc_id AS rank FROM documents"
 
 
 @query("SELECT f.path, f.title FROM f JOIN c ON c.path = f.path", c=_CITED, f=_FOUND)
@@ -514,10 +521,10 @@ def assembled_answers(spark, d):
     return keyed.select("conv_id", "turn", F.when(F.col("answer") == fn.strip(F.col("response")), 0).otherwise(1).alias("answered"), "disclaimer")
 
 
-@query("SELECT 5 AS semantic, count(*) AS fulltext, 3 AS used, true AS semantic_ok, count(*) > 0 AS fulltext_ok FROM documents WHERE lang = 'en'")
+@query("SELECT count(*) AS semantic, count(*) FILTER (lang = 'en') AS fulltext, count(*) FILTER (source = 'web1') AS used, count(*) > 0 AS semantic_ok, count(*) FILTER (lang = 'en') > 0 AS fulltext_ok FROM documents")
 def search_quality_counts(spark, d):
     docs = table(spark, d, "documents")
-    return search.search_quality(docs.limit(5), docs.where("lang = 'en'"), docs.limit(3))
+    return search.search_quality(docs, docs.where("lang = 'en'"), docs.where("source = 'web1'"))
 
 
 @query("SELECT doc_id, text AS content, CASE doc_id % 2 WHEN 0 THEN 'api' END AS layer, CASE WHEN doc_id % 2 = 0 AND strpos(text, 'the') > 0 THEN 'the' ELSE '' END AS symbols, CASE doc_id % 2 WHEN 0 THEN 'x.py' ELSE '' END AS imports FROM documents")
@@ -547,20 +554,10 @@ def bullet_lists(spark, d):
 # Stored index, job feed, registry
 
 
-def _shared(spark) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/query-{uuid.uuid4().hex}"
-
-
 @query(catalog.ORACLE_SQL["fts_bm25_topk"])
 def fts_stored_index(spark, d):
     """The question of fts_bm25_topk, answered from a stored index that is built first."""
-    root = _shared(spark)
+    root = shared_folder(spark)
     fulltext.build(table(spark, d, "documents").select("doc_id", "text"), root, id_col="doc_id", text_cols=["text"])
     scored = fulltext.bm25(spark, root, catalog.PHRASE, clamp=False)
     return search.top_k(scored, 20, F.desc("score"), F.asc("id")).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
@@ -572,7 +569,7 @@ def job_stream(spark, d):
     schema = table(spark, d, "events").schema
     events = jobs.read_events(spark, f"{d}/events.parque[t]", schema)
     rows = events.select(F.col("user_id").cast("string").alias("id"), "ts", F.col("event_id").alias("seq"), jobs.status_of(F.col("event_type")).alias("status"))
-    root = _shared(spark)
+    root = shared_folder(spark)
     states = jobs.latest_states(rows)
     stream = states.writeStream.outputMode("update").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True)
     stream = stream.foreachBatch(lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{root}/states")).start()

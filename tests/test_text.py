@@ -83,3 +83,53 @@ def test_params():
     assert from_env(env={"TESSERA_RESULT_LIMIT": "20"}).result_limit == 20 and DEFAULT.result_limit == 10
     with pytest.raises(ValueError):
         checked(Params(result_limit=1000))
+
+
+QUESTIONS = [
+    ("Trace the login path", "login", None),
+    ("trace a request through it", "request", None),
+    ("Explain checkout flow, please", "checkout", None),
+    ("How does caching work?", "caching", None),
+    ("how does the thing work", None, None),
+    ("Walk through the importer's steps", "importer", None),
+    ("the code path", None, None),
+    ("Which paths lead to the retry paths", "which", None),
+    ("What are the issues with this scheduler?", None, "scheduler"),
+    ("Flaws in\nparsing", None, "parsing"),
+    ("Analyze an adapter", None, "adapter"),
+    ("what's wrong with the parser", None, "parser"),
+    ("Storage architecture", None, "storage"),
+    ("the design", None, None),
+    ("", None, None),
+    (None, None, None),
+]
+
+
+def test_subjects_of_questions(spark):
+    rows = spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(QUESTIONS)], "i int, q string")
+    got = {r.i: (r.t, r.s) for r in rows.select("i", fn.trace_subject(F.col("q")).alias("t"), fn.analysis_scope(F.col("q")).alias("s")).collect()}
+    assert got == {i: (t, s) for i, (_, t, s) in enumerate(QUESTIONS)}
+
+
+GAPS = [
+    ("`save()` in src/db.py", ("src/db.py", "save")),
+    ("load_all in a/b.pyi, please", ("a/b.pyi", "load_all")),
+    ("see pkg/mod.tsx for the body of run()", ("pkg/mod.tsx", "run")),
+    ("the implementation of merge", (None, "merge")),
+    ("Method close, wherever it is", (None, "close")),
+    ("what is in x.txt", (None, None)),
+    ("how it starts", (None, None)),
+    ("", (None, None)),
+]
+
+
+def test_references_of_gaps(spark):
+    rows = spark.createDataFrame([(i, g) for i, (g, _) in enumerate(GAPS)], "i int, g string")
+    got = {r.i: (r.r.file_path, r.r.function_name) for r in rows.select("i", fn.gap_references(F.col("g")).alias("r")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(GAPS)}
+
+
+def test_exceptions_of_tracebacks(spark):
+    text = "Traceback\nvalue: app.db.PoolError: no\nduring KeyError.args or Error, MyException; x.y.ZException"
+    (row,) = spark.createDataFrame([(text,)], "v string").select(fn.named_exceptions(F.col("v")).alias("e")).collect()
+    assert row.e == ["KeyError", "MyException", "PoolError", "ZException", "db.PoolError", "y.ZException"]

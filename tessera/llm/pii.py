@@ -33,7 +33,7 @@ _PATTERN = re.compile(
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
             r"(?P<card>(?<![\w-])(?:\d{4}([ -])\d{4}\10\d{4}\10\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-]))".replace("\\10", "(?P=gap)").replace("([ -])", "(?P<gap>[ -])", 1),
-            r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)|(?<![\w+])0\d(?:[ .-]\d{2}){4}(?!\w))",
+            r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ ./-]?\(?\d{1,4}\)?){2,7}(?!\w)|(?<![\w+.,])0\d(?:[ .-]\d{2}){4}(?!\w)|(?<![\w+.,-])\(?0\d{2,4}\)?[ /-]\d{3,4}[ -]?\d{3,4}(?![\w-]))",
             r"(?P<hex>(?<!\w)(?=[a-f]*\d)[0-9a-f]{32,128}(?!\w)|(?<!\w)(?=[A-F]*\d)[0-9A-F]{32,128}(?!\w))",
         )
     )
@@ -51,9 +51,13 @@ _TITLES = {
     "x": ("Dr", "Dr.", "Prof", "Prof.", "Mx", "Mx."),
 }
 _GIVEN = {
-    "m": ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Charles", "Daniel", "Matthew", "Anthony", "Mark", "Steven", "Paul", "Andrew", "George", "Peter", "Hans", "Klaus", "Jürgen", "Wolfgang", "Stefan", "Jean", "Pierre", "Michel", "Jacques", "Louis", "François", "Carlos", "José", "Juan", "Luis", "Miguel", "Pedro", "Javier", "Joseph", "Christopher", "Kevin", "Brian", "Edward", "Ahmed", "Mohammed", "Muhammad", "Omar", "Hassan", "Ibrahim", "Wei", "Hiroshi", "Kenji", "Raj", "Rahul", "Arjun", "Giuseppe", "Giovanni", "Marco", "João", "Piotr", "Tomasz", "Lars", "Sven", "Иван", "Алексей", "Дмитрий", "Сергей", "Николай", "Γιώργος", "Νίκος", "Δημήτρης"),
-    "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Lisa", "Margaret", "Emily", "Emma", "Olivia", "Anna", "Maria", "Alice", "Jane", "Ursula", "Sabine", "Petra", "Monika", "Heike", "Marie", "Jeanne", "Françoise", "Isabelle", "Nathalie", "Carmen", "María", "Ana", "Laura", "Lucía", "Rebecca", "Michelle", "Amanda", "Stephanie", "Catherine", "Fatima", "Aisha", "Layla", "Mei", "Yuki", "Sakura", "Priya", "Ananya", "Giulia", "Francesca", "Katarzyna", "Agnieszka", "Ingrid", "Astrid", "Мария", "Анна", "Елена", "Ольга", "Наталья", "Μαρία", "Ελένη", "Κατερίνα"),
+    "m": ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Charles", "Daniel", "Matthew", "Anthony", "Mark", "Steven", "Paul", "Andrew", "George", "Peter", "Hans", "Klaus", "Jürgen", "Wolfgang", "Stefan", "Jean", "Pierre", "Michel", "Jacques", "Louis", "François", "Carlos", "José", "Juan", "Luis", "Miguel", "Pedro", "Javier", "Joseph", "Christopher", "Kevin", "Brian", "Edward", "Ahmed", "Mohammed", "Muhammad", "Omar", "Hassan", "Ibrahim", "Wei", "Hiroshi", "Kenji", "Raj", "Rahul", "Arjun", "Giuseppe", "Giovanni", "Marco", "João", "Piotr", "Tomasz", "Lars", "Sven", "Tom", "Max", "Ben", "Jack", "Harry", "Oliver", "Adam", "Eric", "Frank", "Henry", "Patrick", "Ryan", "Jason", "Felix", "Lukas", "Jonas", "Иван", "Алексей", "Дмитрий", "Сергей", "Николай", "Γιώργος", "Νίκος", "Δημήτρης"),
+    "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Lisa", "Margaret", "Emily", "Emma", "Olivia", "Anna", "Maria", "Alice", "Jane", "Ursula", "Sabine", "Petra", "Monika", "Heike", "Marie", "Jeanne", "Françoise", "Isabelle", "Nathalie", "Carmen", "María", "Ana", "Laura", "Lucía", "Rebecca", "Michelle", "Amanda", "Stephanie", "Catherine", "Fatima", "Aisha", "Layla", "Mei", "Yuki", "Sakura", "Priya", "Ananya", "Giulia", "Francesca", "Katarzyna", "Agnieszka", "Ingrid", "Astrid", "Kate", "Julia", "Sophie", "Hannah", "Helen", "Clara", "Lena", "Nina", "Eva", "Sara", "Rachel", "Megan", "Мария", "Анна", "Елена", "Ольга", "Наталья", "Μαρία", "Ελένη", "Κατερίνα"),
 }
+_GIVEN["x"] = ("Alex", "Sam", "Chris", "Robin", "Jamie", "Casey")
+# Country codes of one and of two digits; all others have three.
+_COUNTRY_1 = ("1", "7")
+_COUNTRY_2 = tuple("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _TITLE_OF = {t: g for g, names in _TITLES.items() for t in names}
 _GENDER_OF = {n: g for g, names in _GIVEN.items() for n in names}
 # Chinese surnames, and forms of address after a Chinese name and before an Arabic one, by gender.
@@ -84,6 +88,8 @@ _LETTERS = (
     (0x370, 0x3FF, 0x3B1, 0x3C1), (0x400, 0x52F, 0x430, 0x44F), (0x590, 0x5FF, 0x5D0, 0x5EA), (0x600, 0x6FF, 0x641, 0x64A), (0x900, 0x97F, 0x915, 0x939), (0xE00, 0xE7F, 0xE01, 0xE2E),
     (0x3040, 0x309F, 0x304B, 0x3062), (0x30A0, 0x30FF, 0x30AB, 0x30C2), (0x4E00, 0x9FFF, 0x4E00, 0x9FA5), (0xAC00, 0xD7A3, 0xAC00, 0xD7A3),
 )
+#: Beginnings of IPv6 addresses that a surrogate keeps: for documentation, of a link, private, for groups.
+_PREFIXES = ("2001:db8:", "fe80:", "fc", "fd", "ff")
 #: Networks that a surrogate address stays in.
 _NETWORKS = (("10",), ("127",), ("0",), ("192", "168"), ("169", "254"), ("192", "0", "2"), ("198", "51", "100"), ("203", "0", "113"))
 
@@ -115,21 +121,30 @@ def _names_without_capitals(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield m.start(2), m.end(2), "name-s-arabic", m.group(2)
 
 
-def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
+def normal_name(word: str) -> str:
+    """One form of a name for all its spellings: composed letters, one apostrophe, no case."""
+    return unicodedata.normalize("NFC", word).replace("’", "'").casefold()
+
+
+def _names(text: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """Names by a title or a listed given name: (start, end, kind, normal form, whether a title tells the gender)."""
     for run in _CAPITALS.finditer(text):
         words = [(m.start() + run.start(), m.group()) for m in re.finditer(r"[^ ]+", run.group())]
         k = 0
         while k < len(words) - 1:
             at, word = words[k]
             title = _TITLE_OF.get(word)
-            gender = _GENDER_OF.get(words[k + 1][1] if title else word)
-            if title is None and gender is None:
+            listed = _GENDER_OF.get(words[k + 1][1] if title else word)
+            if title is None and listed is None:
                 k += 1
                 continue
+            # A title says more than a list: Ms. Jean is a woman.
+            sure = title in ("m", "f")
+            gender = title if sure else listed or title
             k += title is not None
             parts = []
-            if gender or title and k + 1 < len(words) and _plain(words[k + 1][1]) and _plain(words[k][1]):
-                parts.append((words[k], f"given-{gender or title}"))
+            if listed or title and k + 1 < len(words) and _plain(words[k + 1][1]) and _plain(words[k][1]):
+                parts.append((words[k], f"given-{gender}"))
                 k += 1
             if k < len(words) and _plain(words[k][1]):
                 parts.append((words[k], "name-s"))
@@ -139,7 +154,31 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
             for (start, name), kind in parts:
                 name = re.sub(r"(?:['’]s)$", "", name)
                 if _plain(name):
-                    yield start, start + len(name), f"{kind}-{script_of(name)}", name.casefold()
+                    yield start, start + len(name), f"{kind}-{script_of(name)}", normal_name(name), sure
+
+
+def _one_gender(named: list[tuple[int, int, str, str, bool]]) -> list[tuple[int, int, str, str]]:
+    """The names of one text, each given name in one gender: that of its titles, else the list's, else none.
+
+    If titles of both genders stand before one name there are two persons: then those mentions keep theirs, and the others
+    are the first one's.
+    """
+    told: dict[str, list[str]] = {}
+    for _, _, kind, value, sure in named:
+        if kind.startswith("given"):
+            held = told.setdefault(value, [])
+            if sure and kind not in held:
+                held.append(kind)
+    known: dict[str, str] = {}
+    for _, _, kind, value, _ in named:
+        if kind.startswith("given-") and (value not in known or known[value].startswith("given-x")):
+            known[value] = kind
+    out = []
+    for start, end, kind, value, sure in named:
+        if kind.startswith("given") and not (sure and len(told[value]) > 1):
+            kind = told[value][0] if told[value] else known[value]
+        out.append((start, end, kind, value))
+    return out
 
 
 def _plain(word: str) -> bool:
@@ -164,9 +203,10 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 value = re.sub(r"[ -]", "", value) if kind in ("mac", "iban") else value
                 value = value.casefold().replace(":", "" if kind == "mac" else ":")
             elif kind in ("card", "phone", "ssn"):
-                value = re.sub(r"\D", "", value)
-                if kind == "phone" and not 8 <= len(value) <= 15:
+                digits = re.sub(r"\D", "", value)
+                if kind == "phone" and not 8 <= len(digits) <= 15:
                     continue
+                value = "+" + digits if value.startswith("+") else digits
             found.append((start, end, kind, value))
     taken = sorted((f[0], f[1]) for f in found)
 
@@ -174,7 +214,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         k = bisect.bisect_left(taken, (end,))
         return k == 0 or taken[k - 1][1] <= start
 
-    named = [n for n in _names(text) if is_free(n[0], n[1])]
+    named = _one_gender([n for n in _names(text) if is_free(n[0], n[1])])
     found += named
     if not text.isascii():
         for start, end, kind, value in sorted(set(_names_without_capitals(text))):
@@ -189,9 +229,9 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         taken = sorted((f[0], f[1]) for f in found)
         for m in _CAPITAL.finditer(text):
             word = re.sub(r"['’][sS]$", "", m.group())
-            kind = kinds.get(word.casefold())
+            kind = kinds.get(normal_name(word))
             if kind and (word == word.upper() or _plain(word)) and is_free(m.start(), m.start() + len(word)):
-                found.append((m.start(), m.start() + len(word), kind, word.casefold()))
+                found.append((m.start(), m.start() + len(word), kind, normal_name(word)))
     return sorted(found)
 
 
@@ -237,8 +277,10 @@ def propose(key: bytes, kind: str, value: str, attempt: int) -> str:
     """
     draw = _Stream(key, kind, value, attempt)
     grown = max(0, attempt + 1 - SAME_FORMAT)
-    if kind in ("phone", "ssn"):
-        return (str(2 + draw.below(8)) if kind == "phone" else "9") + draw.like(value[1:] + "0" * grown)
+    if kind == "phone":
+        return _phone(draw, value) + draw.like("0" * grown)
+    if kind == "ssn":
+        return "9" + draw.like(value[1:] + "0" * grown)
     if kind == "card":
         body = value[0] + draw.like(value[1:] + "0" * grown)
         wanted = _luhn(value) == 0
@@ -249,7 +291,8 @@ def propose(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "ipv6" and grown:
         return _wide_ipv6(draw)
     if kind in ("ipv6", "mac"):
-        return draw.like(value + "0" * grown, hexadecimal=True)
+        kept = next((p for p in _PREFIXES if value.startswith(p)), "") if kind == "ipv6" else ""
+        return kept + draw.like(value[len(kept) :] + "0" * grown, hexadecimal=True)
     if kind == "iban":
         body = draw.like(value[4:] + "0" * grown)
         digits = "".join(str(int(c, 36)) for c in body + value[:2] + "00")
@@ -268,6 +311,19 @@ def propose(key: bytes, kind: str, value: str, attempt: int) -> str:
     return "".join(syllables[draw.below(len(syllables))] for _ in range(2 + (attempt + 2) // 3)) + ends[draw.below(len(ends))]
 
 
+def _phone(draw: _Stream, value: str) -> str:
+    """A number of the same country, with its trunk zeros; the first digit after them is none."""
+    kept, rest = "", value
+    if value.startswith("+"):
+        code = value[1:2] if value[1:2] in _COUNTRY_1 else value[1:3] if value[1:3] in _COUNTRY_2 else value[1:4]
+        kept, rest = "+" + code, value[1 + len(code) :]
+    zeros = rest[: len(rest) - len(rest.lstrip("0"))]
+    rest = rest[len(zeros) :]
+    # North American numbers, and others without a trunk zero, begin with 2 to 9.
+    low = 1 if zeros or kept not in ("", "+1") else 2
+    return kept + zeros + (str(low + draw.below(10 - low)) + draw.like(rest[1:]) if rest else "")
+
+
 def _ipv4(draw: _Stream, value: str, grown: int) -> str:
     """An address of the same network, if that is a special one, else another public one; a private one if grown."""
     parts = value.split(".")
@@ -294,7 +350,7 @@ def _wide_ipv6(draw: _Stream) -> str:
 def render(surrogate: str, original: str, kind: str) -> str:
     """The surrogate in the format of one mention: its separators, case and brackets."""
     if kind in ("card", "phone", "ssn", "mac", "iban"):
-        chars, out = iter(surrogate), []
+        chars, out = iter(surrogate.removeprefix("+")), []
         for c in original:
             out.append((lambda x: x.upper() if c.isupper() or kind == "iban" else x)(next(chars)) if c.isalnum() else c)
         rest = "".join(chars)  # of a surrogate longer than the original
@@ -349,6 +405,13 @@ def _assign(found: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
             return held
 
 
+def _ungendered(found: DataFrame) -> DataFrame:
+    """(kind, value, as_kind): given names without a gender in some text that the corpus knows in one gender only are that entity."""
+    given = found.where(F.col("kind").startswith("given-")).withColumn("script", F.substring_index("kind", "-", -1))
+    told = given.where(~F.col("kind").startswith("given-x-")).groupBy("script", "value").agg(F.min("kind").alias("as_kind"), F.max("kind").alias("other")).where("as_kind = other")
+    return given.where(F.col("kind").startswith("given-x-")).join(told, ["script", "value"]).select("kind", "value", "as_kind")
+
+
 def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
     """docs with every detected entity of text_col replaced, and count_col, the number of mentions replaced.
 
@@ -380,7 +443,11 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text", count_c
     clean = scanned.where("mentions is null").select(*(f"c{j}" for j in range(len(names))), F.lit(0).alias("n"))
 
     pairs = hit.select("rid", F.explode(F.array_distinct(F.transform("mentions", lambda m: F.struct(m["kind"].alias("kind"), m["value"].alias("value"))))).alias("e")).select("rid", "e.*")
-    surrogates = _assign(scratch.keep(pairs.select("kind", "value").distinct(), "entities"), key, scratch)
+    known_entities = scratch.keep(pairs.select("kind", "value").distinct(), "entities")
+    aliases = scratch.keep(_ungendered(known_entities), "aliases")
+    surrogates = _assign(known_entities.join(aliases.select("kind", "value"), ["kind", "value"], "left_anti"), key, scratch)
+    same = aliases.join(surrogates.withColumnRenamed("kind", "as_kind"), ["as_kind", "value"]).select("kind", "value", "surrogate")
+    surrogates = surrogates.unionByName(same)
     known = pairs.join(surrogates, ["kind", "value"]).groupBy("rid").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("known"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,11 @@ LONGEST = 5
 TRAIN_DOCS = 20_000
 #: Texts of a language that are learned from at least, about, if it has so many.
 TRAIN_LEAST = 200
+#: Entries (words and n-grams) of a language that the model holds at most, about: the most frequent ones, ties aside. A
+#: language with fewer keeps all of them, also those seen once.
+ENTRIES = 250_000
+#: Counts from here on are not told apart when the entries to keep are chosen.
+_MANY = 1000
 #: Words and chunks that a worker remembers.
 CACHED = 500_000
 
@@ -196,27 +201,43 @@ class Identifier:
         return self.model.langs[best], float(share[best] / share.sum())
 
 
-def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS, least: int = TRAIN_LEAST) -> Model:
+def _least_count(entries: dict[int, int], most: int) -> int:
+    """The least count from which on there are no more than `most` entries; entries holds how many there are of each count."""
+    least, total = _MANY, 0
+    for count in sorted(entries, reverse=True):
+        total += entries[count]
+        if total > most:
+            break
+        least = count
+    return least
+
+
+def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS, least: int = TRAIN_LEAST, most_entries: int = ENTRIES) -> Model:
     """Learn from rows with a text and a lang, all of them up to max_docs.
 
     Beyond that every language gets an equal part of max_docs, or all it has, `least` if the part is smaller: a hash of
-    the id picks about that many of its rows. All words and n-grams seen twice or more in those texts are in the model; the
-    driver gets their hashes and counts as numbers, and the count of rows of each language: what is learned from is
-    bounded, and nothing else.
+    the id picks about that many of its rows. The words and n-grams of those texts are in the model, of a language with
+    more than most_entries only those seen so often that no more are left: the driver gets their hashes and counts as
+    numbers, and for each language a count of rows and of entries by frequency, so what it holds does not grow with texts.
     """
+    spark = labelled.sparkSession
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if sum(found.values()) > max_docs:
         part = max(least, max_docs // len(found))
         shares = [(lang, min(1.0, part / n)) for lang, n in found.items()]
-        spark = labelled.sparkSession
         shares = spark.createDataFrame(shares, "lang string, share double")
         chance = (F.xxhash64("id", F.lit(7)) / F.lit(2.0**64)) + 0.5
         rows = rows.join(F.broadcast(shares) if len(found) <= 10_000 else shares, "lang").where((chance < F.col("share")) | (F.col("share") >= 1))
     counted = rows.select("lang", "text").mapInArrow(_counts, "lang string, n int, gram string, count long")
     counted = Scratch(labelled.sparkSession, "langid").keep(counted.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")), "counts")
     totals = counted.groupBy("lang", "n").agg(F.sum("count").alias("count")).collect()
-    entries = counted.where("count > 1").select("lang", "n", "gram", "count").mapInArrow(_keyed, "key long, lang string, n int, count long")
+    often = F.least("count", F.lit(_MANY))
+    shape: dict[str, dict[int, int]] = {}
+    for r in counted.groupBy("lang", often.alias("often")).agg(F.count("*").alias("entries")).collect():
+        shape.setdefault(r["lang"], {})[r["often"]] = r["entries"]
+    kept = spark.createDataFrame([(lang, _least_count(own, most_entries)) for lang, own in shape.items()], "lang string, least long")
+    entries = counted.join(F.broadcast(kept) if len(shape) <= 10_000 else kept, "lang").where(F.col("count") >= F.col("least")).select("lang", "n", "gram", "count").mapInArrow(_keyed, "key long, lang string, n int, count long")
     return Model(entries.toArrow(), totals)
 
 

@@ -96,16 +96,17 @@ _SCAN_NAMES = ["id", "node", "n", *(f"m{j}" for j in range(BOTTOM)), "block", "c
 _SCAN_SCHEMA = "id long, node long, n long, " + ", ".join(f"m{j} long" for j in range(BOTTOM)) + ", block int, counts binary"
 
 
-def _unpack(packed: bytes, bits: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed, decompressed_size=4 * min(SKETCH_BLOCK, 1 << bits), codec="zstd", asbytes=True), np.uint32)
+def _unpack(packed: bytes, bits: int, kind: type = np.uint32) -> np.ndarray:
+    size = np.dtype(kind).itemsize * min(SKETCH_BLOCK, 1 << bits)
+    return np.frombuffer(pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True), kind)
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = _unpack(packed, bits)
-            total[block] = total[block] + part if block in total else part.copy()
+            part = _unpack(packed, bits).astype(np.uint64)  # one task's counts fit 32 bits, those of all may not
+            total[block] = total[block] + part if block in total else part
     for block, part in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pa.compress(part.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["block", "counts"])
 
@@ -118,7 +119,7 @@ def sketch_levels(spark: SparkSession, scan: DataFrame, bits: int) -> np.ndarray
     rows = scan.where("block is not null").select("block", "counts").repartition(F.col("block")).mapInArrow(lambda b: _sum_blocks(b, bits), "block int, counts binary")
     counts = np.zeros(1 << bits, np.int64)
     for row in rows.collect():
-        part = _unpack(bytes(row["counts"]), bits).astype(np.int64)
+        part = _unpack(bytes(row["counts"]), bits, np.uint64).astype(np.int64)
         counts[row["block"] * SKETCH_BLOCK :][: len(part)] += part
     usual = float(np.median(counts))
     above = counts - (usual + 6 * np.sqrt(usual + 1) + 8)
@@ -155,7 +156,8 @@ def deal_long_lists(prefix: np.ndarray, blocks: np.ndarray, doc: int) -> tuple[n
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, levels, bits: int, block: int) -> Iterator[pa.RecordBatch]:
     """(id, n, ell, prefix, places); places is null where the prefix holds no shingle of a long list: then position is place."""
     table, mask = levels.value, np.uint64((1 << bits) - 1)
-    partners = np.where(np.arange(256) > 0, 2.0 ** (np.arange(256) / 2), USUAL_PARTNERS)
+    # No shingle has more partners than 64-bit ids tell apart.
+    partners = np.where(np.arange(256) > 0, 2.0 ** (np.minimum(np.arange(256), 124) / 2), USUAL_PARTNERS)
     # The sketch never counts less than a list holds; a level rounds by a factor of up to the fourth root of two.
     lists = np.maximum(1, np.ceil(partners * 1.2 / block)).astype(np.int64)
     for batch in batches:

@@ -174,39 +174,26 @@ def known_digests(spark, texts: list[tuple[str, str]] | None = None) -> DataFram
     return rows.groupBy(canonical_digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
-#: Known digests that are broadcast and looked up as literals at most; a longer list is joined.
-SMALL_LIST = 20_000
-
-
-def scan_licenses(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", small_list: int = SMALL_LIST) -> DataFrame:
+def scan_licenses(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, digest, license, notices, n_notices) per row of docs.
 
     `license` is that of the entire text by its canonical digest, null if no known text has it. `notices` lists, sorted
     and distinct, the licences whose digest one whole line of the text has; n_notices counts those lines. A null text has
     a null digest and no notices; texts without letters or digits match nothing. Ids may repeat or be null; rows stay
-    apart and other columns are ignored. Known (digest, license) rows, one for each digest, are broadcast for whole texts and
-    a literal map for lines, in one narrow pass, if they are at most small_list; else digests of texts and lines are joined
-    with them, and lines are distinct per row before they move.
+    apart and other columns are ignored. Of known rows (digest, license) with one digest the first licence by name counts.
+
+    Digests of lines and of whole texts are joined with the known ones, which are written first, so that Spark knows their
+    size: a list below its broadcast threshold goes to all tasks as a hash table, whatever its length the way is one. Lines
+    of a row are counted again before anything moves.
     """
     spark = docs.sparkSession
-    if known is None:
-        known = known_digests(spark)
-    known = known.where(F.col("digest") != F.sha2(F.lit(""), 256))
-    listed = known.select("digest", "license").limit(small_list + 1).collect()
+    known = known_digests(spark) if known is None else known
+    known = known.where(F.col("digest") != F.sha2(F.lit(""), 256)).groupBy("digest").agg(F.min("license").alias("license"))
+    known = Scratch(spark, "licenses").keep(known.coalesce(1), "known")
     # A known list holds digests, which tell nothing of a line's words or length: every line with a word is digested.
-    none = F.array().cast("array<string>")
-    source = docs.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("lines"))
-    source = source.select("id", F.sha2(canonical_of_lines(F.col("lines")), 256).alias("digest"), F.coalesce(F.filter("lines", lambda x: x != ""), none).alias("lines"))
-    if len(listed) <= small_list:
-        names = F.create_map(*(F.lit(x) for r in listed for x in (r["digest"], r["license"]))) if listed else F.create_map().cast("map<string,string>")
-        hits = F.filter(F.transform("lines", lambda x: F.try_element_at(names, F.sha2(x, 256))), lambda x: x.isNotNull())
-        out = source.select("id", "digest", hits.alias("hits")).join(F.broadcast(known), "digest", "left")
-        out = out.withColumn("notices", F.array_sort(F.array_distinct("hits"))).withColumn("n_notices", F.size("hits"))
-    else:
-        scratch = Scratch(spark, "licenses")
-        digests = F.transform("lines", lambda x: F.sha2(x, 256))
-        rows = scratch.keep(source.select("id", "digest", digests.alias("lines"), F.monotonically_increasing_id().alias("rid")), "digests")
-        times = rows.select("rid", F.explode("lines").alias("digest")).groupBy("rid", "digest").count()
-        hits = times.join(known, "digest").groupBy("rid").agg(F.array_sort(F.collect_set("license")).alias("notices"), F.sum("count").cast("int").alias("n_notices"))
-        out = rows.join(known, "digest", "left").join(hits, "rid", "left").withColumn("notices", F.coalesce("notices", none)).withColumn("n_notices", F.coalesce("n_notices", F.lit(0)))
-    return out.select(F.col("id").alias(id_col), "digest", "license", "notices", "n_notices")
+    source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("lines"))
+    source = source.select("rid", "id", F.sha2(canonical_of_lines(F.col("lines")), 256).alias("digest"), F.filter("lines", lambda x: x != "").alias("lines"))
+    lines = source.select("rid", "id", "digest", F.explode_outer(F.transform("lines", lambda x: F.sha2(x, 256))).alias("line"))
+    hits = lines.join(known.select(F.col("digest").alias("line"), F.col("license").alias("notice")), "line", "left")
+    found = hits.groupBy("rid", "id", "digest").agg(F.array_sort(F.collect_set("notice")).alias("notices"), F.count("notice").cast("int").alias("n_notices"))
+    return found.join(known, "digest", "left").select(F.col("id").alias(id_col), "digest", "license", "notices", "n_notices")

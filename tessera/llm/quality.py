@@ -15,10 +15,35 @@ from tessera.llm.textkit import shingles, text_buffer, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SEPARATORS = re.compile(r"(?:^|\s)[|»›•·→>/](?=\s|$)")
-_BOILERPLATE = re.compile(
-    r"all rights reserved|privacy policy|cookie|terms of (?:use|service)|subscribe|sign (?:in|up)|log ?in|click here|read more|enable javascript|lorem ipsum|share (?:this|on)|powered by|back to top|skip to content",
-    re.IGNORECASE,
-)
+# Phrases of page furniture by language. Of FURNITURE one is enough in a short line; of HINTS, words that prose
+# also has, only if they are a third of its words.
+FURNITURE = {
+    "en": ("all rights reserved", "privacy policy", "cookie policy", "cookie settings", "accept cookies", "accept all cookies", "uses cookies", "use cookies", "terms of use", "terms of service", "click here", "enable javascript", "powered by", "back to top", "skip to content"),
+    "de": ("alle rechte vorbehalten", "cookies akzeptieren", "verwendet cookies", "verwenden cookies", "hier klicken", "klicken sie hier", "nach oben", "zum inhalt springen", "allgemeine geschäftsbedingungen"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "accepter les cookies", "utilise des cookies", "mentions légales", "conditions d'utilisation", "cliquez ici", "haut de page", "aller au contenu"),
+    "es": ("todos los derechos reservados", "política de privacidad", "política de cookies", "aceptar cookies", "utiliza cookies", "aviso legal", "términos de uso", "condiciones de uso", "haga clic aquí", "haz clic aquí", "volver arriba", "saltar al contenido"),
+    "it": ("tutti i diritti riservati", "informativa sulla privacy", "accetta i cookie", "utilizza i cookie", "termini di servizio", "clicca qui", "torna su"),
+    "pt": ("todos os direitos reservados", "política de privacidade", "aceitar cookies", "termos de uso", "clique aqui", "voltar ao topo"),
+    "nl": ("alle rechten voorbehouden", "klik hier", "algemene voorwaarden"),
+    "": ("lorem ipsum",),
+}
+HINTS = {
+    "en": ("subscribe", "sign in", "sign up", "log in", "login", "newsletter", "read more", "share this"),
+    "de": ("datenschutzerklärung", "nutzungsbedingungen", "impressum", "anmelden", "abonnieren", "mehr lesen", "weiterlesen"),
+    "fr": ("s'abonner", "se connecter", "s'inscrire", "lire la suite"),
+    "es": ("suscribirse", "iniciar sesión", "registrarse", "leer más"),
+    "it": ("iscriviti", "accedi", "leggi tutto"),
+    "pt": ("assinar", "iniciar sessão", "leia mais"),
+    "nl": ("privacyverklaring", "inloggen", "aanmelden", "lees meer"),
+}
+
+
+def _phrases(table: dict[str, tuple[str, ...]]) -> re.Pattern:
+    every = sorted({p for own in table.values() for p in own}, key=lambda p: (-len(p), p))
+    return re.compile(r"(?<!\w)(?:" + "|".join(re.escape(p).replace(r"\ ", r"\s+").replace("'", "['’]") for p in every) + r")(?!\w)", re.IGNORECASE)
+
+
+_FURNITURE, _HINTS = _phrases(FURNITURE), _phrases(HINTS)
 _MARKUP = re.compile(r"[#*$%&|<>{}\[\]=~^\\]")
 _ENDS = tuple(".!?…:;\"”»)]。！？")
 
@@ -43,7 +68,7 @@ def line_fault(line: str) -> str | None:
         return "shouting"
     if n >= 8 and len(set(words)) * 4 <= n:
         return "repetition"
-    if n <= 15 and _BOILERPLATE.search(line):
+    if n <= 15 and (_FURNITURE.search(line) or 3 * sum(len(h.split()) for h in _HINTS.findall(line)) >= n > 0):
         return "boilerplate"
     if n <= 3 and not line.rstrip().endswith(_ENDS):
         return "punctuation"

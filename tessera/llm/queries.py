@@ -13,6 +13,8 @@ from tessera.llm import ann, bpecount, chat, filter_audit, jaccard, langid, lice
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Key of the queries' surrogates; a deployment passes its own secret to pii.pseudonymise.
 DEMO_KEY = b"tessera demonstration key"
+#: Tokens to a window of op4, and of repeated turns in it: most of the tables' conversations take several windows.
+CHAT_BUDGET, CHAT_HISTORY = 384, 96
 LOOP_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -38,7 +40,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     loop = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(LOOP_TEXT))
-    return chat.read_back(chat.windows(turns.union(loop)))
+    return chat.read_back(chat.windows(turns.union(loop), budget=CHAT_BUDGET, history=CHAT_HISTORY))
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

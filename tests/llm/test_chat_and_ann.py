@@ -156,3 +156,14 @@ def test_few_and_no_vectors(spark):
     assert [(r[0], r[1], r[2]) for r in rows] == [(0, 1, 100), (0, 2, 7), (100, 1, 0), (100, 2, 7)]
     assert ann.nearest(few.where("false"), F.lit(True)).count() == 0
     assert ann.nearest(few.limit(1), F.lit(True)).count() == 0
+
+
+def test_the_query_has_several_windows(spark, sf):
+    """op4_chat_windows over its table: most conversations take several windows, and all read back whole."""
+    rows = queries.op4_chat_windows(spark, sf).collect()
+    turns = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns.setdefault(r.conv_id, []).append((r.role, r.text or ""))
+    turns[-1] = [("user", queries.LOOP_TEXT), ("assistant", queries.LOOP_TEXT)]
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in rows} == {c: digests(t) for c, t in turns.items()}
+    assert sum(r.n_windows > 1 for r in rows) * 2 > len(rows)

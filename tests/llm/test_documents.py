@@ -86,9 +86,9 @@ def brute_language(rows, texts):
     size = {k: sum(c.values()) for k, c in counts.items()}
 
     def vector(n, gram):
-        if not any(counts.get((lang, n), {}).get(gram, 0) > 1 for lang in langs):
+        if not any(counts.get((lang, n), {}).get(gram, 0) > 0 for lang in langs):
             return None
-        return [math.log(max(c, 0.3) if (c := counts.get((lang, n), {}).get(gram, 0)) > 1 else 0.3) - math.log(size.get((lang, n), 1)) for lang in langs]
+        return [math.log(max(c, 0.3) if (c := counts.get((lang, n), {}).get(gram, 0)) > 0 else 0.3) - math.log(size.get((lang, n), 1)) for lang in langs]
 
     out = []
     for text in texts:
@@ -305,8 +305,17 @@ def test_later_bare_and_upper_case_names_are_the_same_entity(make_docs):
 
 def test_long_lists_are_joined_with_the_same_result(spark, make_docs, odd_texts):
     texts = [*odd_texts, *(t for _, t in licenses.LICENCES[:6]), *(f"some words\n{t}\nmore\n{t}" for _, t in licenses.NOTICES), "Released under the MIT License." + " " * 500, licenses.LICENCES[11][1].replace("\n", " ") + "\nand text"]
-    rows = [sorted(map(repr, licenses.scan_licenses(make_docs(texts), small_list=n).collect())) for n in (20_000, 3)]
-    assert rows[0] == rows[1]
+    usual = licenses.known_digests(spark)
+    # Many more known texts, and each known one under a later name too.
+    more = usual.unionByName(spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), F.lit("other").alias("license")))
+    more = more.unionByName(usual.withColumn("license", F.concat(F.lit("~"), F.col("license"))))
+    rows = [sorted(map(repr, licenses.scan_licenses(make_docs(texts), known).collect())) for known in (None, usual, more)]
+    assert rows[0] == rows[1] == rows[2]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(repr, licenses.scan_licenses(make_docs(texts), more).collect())) == rows[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     found = {r.doc_id: r for r in licenses.scan_licenses(make_docs(texts)).collect()}
     assert found[len(texts) - 2].notices == ["MIT"] and found[len(texts) - 1].notices == ["Zlib"]
 
@@ -318,3 +327,23 @@ def test_lines_and_whole_texts_are_canonical_in_one_pass(spark, odd_texts):
     for r in rows.collect():
         assert r.whole == r.again and r.lines == r.each, r.t
     assert "sublicense of the copyright holders noninfringement http a" in rows.collect()[len(odd_texts)].whole
+
+
+def test_short_languages_keep_what_was_seen_once(spark):
+    rng = random.Random(5)
+    long = [(k, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)), "aa") for k in range(40)]
+    short = [(99, "żółw gęś jaźń", "bb"), (98, "ćma źrebię", "bb")]
+    docs = spark.createDataFrame(long + short, "doc_id long, text string, lang string")
+    model = langid.train(docs, most_entries=2000)
+    per_lang = Counter(model.lang.tolist())
+    assert per_lang[0] <= 2000 and per_lang[1] == len({(n, g) for _, t, _ in short for w in langid.letter_words(t) for n in range(langid.LONGEST + 1) for g in (langid.grams(w, n) if n else [w])})
+    found = langid.identify(spark.createDataFrame([(1, "jaźń")], "doc_id long, text string"), model).first()
+    assert found.lang_pred == "bb"
+    assert langid._least_count({1: 10, 2: 5, 7: 3}, 8) == 2 and langid._least_count({1: 10}, 10) == 1 and langid._least_count({1: 11}, 10) == langid._MANY
+
+
+def test_page_furniture_of_several_languages():
+    for line in ("All rights reserved.", "Alle Rechte vorbehalten.", "Datenschutzerklärung und Nutzungsbedingungen unserer Seite", "Tous droits réservés", "Haz clic aquí para leer más", "Lees meer", "This site uses cookies.", "Log in", "Conditions d’utilisation du site"):
+        assert quality.line_fault(line) == "boilerplate", line
+    for line in ("I baked a cookie for him.", "She had to log in every day before work could start again.", "Er wollte sich bei der Schule anmelden und dann nach Hause gehen.", "The reader read more of the book than most others had."):
+        assert quality.line_fault(line) is None, line

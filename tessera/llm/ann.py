@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ TREES, LEAF_ROWS, FIRST = 8, 32, 16
 REACH = 0.1
 #: The forest is fitted on about so many vectors, picked by a hash of the id; every vector is indexed.
 SAMPLE = 20_000
+#: A leaf of over SPLIT times leaf_rows rows is split again, by a tree of its own, fitted on SPLIT_SAMPLE of its rows.
+SPLIT, SPLIT_SAMPLE = 2, 8192
 #: Vectors, and queries, of one group of leaves that one task compares at most, about.
 BLOCK = 4096
 
@@ -57,6 +60,15 @@ class Tree:
         self.cuts = np.array(cuts, np.float64)
         self.children = np.array(children, np.int32).reshape(-1, 2)
 
+    def packed(self) -> bytes:
+        return pickle.dumps(self.__dict__, protocol=5)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        tree.__dict__.update(pickle.loads(data))
+        return tree
+
     def route(self, rows: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
         at = np.full(len(rows), self.root, np.int64)
@@ -67,26 +79,33 @@ class Tree:
         return -at - 1
 
 
-def visit(trees: list[Tree], query: np.ndarray, first: int, reach: float | None = None) -> list[tuple[int, int]]:
-    """The (tree, leaf) pairs that a query visits: one queue over all trees, the least margin first.
+def by_margin(trees: list[Tree], query: np.ndarray, start: list[float] | None = None) -> Iterator[tuple[float, int, int]]:
+    """(margin, tree, leaf) of all leaves, the least margin first: one queue over all trees.
 
     The margin of a leaf is the largest distance from the query to a plane that parts them: all its rows are as far at
-    least. Without reach these are the first leaves; with it, those after them whose margin is within reach.
+    least. start holds margins that the trees have to begin with, if they stand below leaves of others.
     """
     margins = [t.normals @ query - t.cuts if len(t.cuts) else t.cuts for t in trees]
-    heap = [(-np.inf, k, t.root) for k, t in enumerate(trees)]
-    out: list[tuple[int, int]] = []
-    seen = 0
-    while heap and (seen < first if reach is None else seen < first or heap[0][0] <= reach):
+    heap = [(start[k] if start else -np.inf, k, t.root) for k, t in enumerate(trees)]
+    heapq.heapify(heap)
+    while heap:
         key, k, node = heapq.heappop(heap)
         while node >= 0:
             margin = margins[k][node]
             near, far = (1, 0) if margin >= 0 else (0, 1)
             heapq.heappush(heap, (max(key, abs(margin)), k, int(trees[k].children[node, far])))
             node = int(trees[k].children[node, near])
-        seen += 1
-        if reach is None or seen > first:
-            out.append((k, -node - 1))
+        yield float(key), k, -node - 1
+
+
+def visit(trees: list[Tree], query: np.ndarray, first: int, reach: float | None = None) -> list[tuple[int, int]]:
+    """The (tree, leaf) pairs that a query visits: without reach the first leaves, with it those after them whose margin is within reach."""
+    out: list[tuple[int, int]] = []
+    for seen, (key, k, leaf) in enumerate(by_margin(trees, query)):
+        if seen >= first and (reach is None or key > reach):
+            break
+        if (seen < first) == (reach is None):
+            out.append((k, leaf))
     return out
 
 
@@ -152,7 +171,7 @@ def _nearest_owners(found: DataFrame, top: int) -> DataFrame:
     return found.withColumn("nearer", nearer).where(F.col("nearer") < top)
 
 
-def nearest(table: DataFrame, queries, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf_rows: int = LEAF_ROWS, first: int = FIRST, reach: float = REACH, sample: int = SAMPLE, seed: int = 1) -> DataFrame:
+def nearest(table: DataFrame, queries, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf_rows: int = LEAF_ROWS, first: int = FIRST, reach: float = REACH, sample: int = SAMPLE, split_sample: int = SPLIT_SAMPLE, seed: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows where `queries` (a condition) holds, the k nearest other rows found.
 
     Score is the Euclidean distance in double precision; ties go to the smaller id. Vectors that are null, empty, zero, or
@@ -165,8 +184,9 @@ def nearest(table: DataFrame, queries, *, k: int = 10, id_col: str = "vec_id", v
 
     Rows that repeat count once. Equal vectors are indexed once, with the k + 1 smallest ids they carry: more can never be
     among a query's nearest. Wherever the nearest are cut, k + 1 different smallest ids (owners of vectors) are left.
-    The driver gets the sample (bounded) and the row count of each group of leaves (bounded by the forest). Queries meet
-    rows group by group, in blocks of about BLOCK rows by BLOCK queries.
+    The driver gets the sample (bounded) and the row counts of the forest's leaves that are too large. Those are split again
+    by trees of their own, fitted in tasks on samples of their rows, so that leaves keep their size as the table grows.
+    Queries meet rows group by group, in blocks of about BLOCK rows by BLOCK queries.
     """
     spark = table.sparkSession
     small_batches(spark)
@@ -196,9 +216,16 @@ def nearest(table: DataFrame, queries, *, k: int = 10, id_col: str = "vec_id", v
     points = np.array([r["v"] for r in picked.select("v").orderBy(turn, "v").limit(sample + sample // 4).collect()], np.float64).reshape(-1, width)
     rng = np.random.default_rng(seed)
     grown = [Tree(points, max(8, len(points) * leaf_rows // n), rng) for _ in range(trees)]
+    forest = spark.sparkContext.broadcast(grown)
+    top = k + 1
+    routed = scratch.keep(reps.select("rep", "v", "owner", "alone").mapInArrow(lambda b: _route(b, forest.value, width), f"id long, v {kind}, owner long, alone boolean, tree int, leaf int, part int"), "routed") if n > sample else None
+    large = {}
+    if routed is not None:
+        # At most one row for each leaf of the forest, which the sample bounds.
+        large = {(r["tree"], r["leaf"]): r["count"] for r in routed.groupBy("tree", "leaf").count().where(F.col("count") > SPLIT * leaf_rows).collect()}
+    below = _Below(spark, scratch, routed, large, leaf_rows, width, kind, first, split_sample) if large else None
     # Leaves are numbered from left to right, so neighbours make a group.
     together = [max(1, BLOCK * t.leaves // n) for t in grown]
-    forest = spark.sparkContext.broadcast(grown)
     names = ["id", "v", "owner", "alone", "cell", "leaves"]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +233,7 @@ def nearest(table: DataFrame, queries, *, k: int = 10, id_col: str = "vec_id", v
             own = _vectors(batch.column(1), width)
             for tree, one in enumerate(forest.value):
                 leaves = one.route(own)
-                cells = (tree << 32) + leaves // together[tree]
+                cells = (tree << 56) + leaves // together[tree]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(leaves.reshape(-1, 1).tolist(), pa.list_(pa.int32()))], names=names)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,36 +242,40 @@ def nearest(table: DataFrame, queries, *, k: int = 10, id_col: str = "vec_id", v
             for i, own in enumerate(_vectors(batch.column(1), width)):
                 by_cell: dict[int, list[int]] = {}
                 for tree, leaf in visit(forest.value, own, first, bounds[i]):
-                    by_cell.setdefault((tree << 32) + leaf // together[tree], []).append(leaf)
+                    by_cell.setdefault((tree << 56) + leaf // together[tree], []).append(leaf)
                 at = pa.array([i] * len(by_cell), pa.int64())
                 columns = [pa.array(list(by_cell), pa.int64()), pa.array(list(by_cell.values()), pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:4]), *columns], names=names)
 
     schema = f"id long, v {kind}, owner long, alone boolean, cell long, leaves array<int>"
-    indexed = reps.select("rep", "v", "owner", "alone").mapInArrow(route, schema)
-    held_blocks = _blocks(indexed)
     askers = reps.join(asking.select("rep").distinct(), "rep", "left_semi")
-    top = k + 1
+    if below is None:
+        indexed = reps.select("rep", "v", "owner", "alone").mapInArrow(route, schema)
+        visits = lambda asked: asked.mapInArrow(ask, schema)
+    else:
+        indexed = below.index(forest)
+        visits = lambda asked: below.visits(forest, asked)
+    held_blocks = _blocks(indexed)
 
     def meet(asked: DataFrame) -> DataFrame:
         """(q, rep, owner, score) of what queries find in the leaves they visit."""
         counts = {True: _blocks(asked), False: held_blocks}
         dealt = []
         for q, rows_ in ((False, indexed), (True, asked)):
-            other, own = counts[not q], counts[q]
-            mine = F.pmod(F.xxhash64("id"), F.coalesce(F.element_at(own, F.col("cell")), F.lit(1))).cast("int")
-            theirs = F.sequence(F.lit(0), F.coalesce(F.element_at(other, F.col("cell")), F.lit(1)) - 1)
+            rows_ = rows_.join(counts[q].withColumnRenamed("blocks", "own"), "cell", "left").join(counts[not q].withColumnRenamed("blocks", "other"), "cell", "left")
+            mine = F.pmod(F.xxhash64("id"), F.coalesce("own", F.lit(1))).cast("int")
+            theirs = F.sequence(F.lit(0), F.coalesce("other", F.lit(1)) - 1)
             rows_ = rows_.withColumn("mine", mine).withColumn("theirs", F.explode(theirs))
             pair = ("mine", "theirs") if q else ("theirs", "mine")
             dealt.append(rows_.select("id", "v", "owner", "alone", "leaves", F.lit(q).alias("is_query"), "cell", F.col(pair[0]).alias("qb"), F.col(pair[1]).alias("vb")))
         return dealt[0].unionByName(dealt[1]).groupBy("cell", "qb", "vb").applyInArrow(lambda t: _compare(t, width, top), "q long, rep long, owner long, score double")
 
-    near = _nearest_owners(meet(askers.select("rep", "v", "owner", "alone", F.lit(None).cast("double").alias("bound")).mapInArrow(ask, schema)), top)
+    near = _nearest_owners(meet(visits(askers.select("rep", "v", "owner", "alone", F.lit(None).cast("double").alias("bound")))), top)
     near = scratch.keep(near.select("q", "rep", "owner", "score"), "near")
     # A query that found fewer than top owners has no bound: it visits everything.
     bounds = near.groupBy("q").agg(F.countDistinct("owner").alias("n"), F.max("score").alias("far")).select(F.col("q").alias("rep"), F.when(F.col("n") >= top, F.col("far") * reach).alias("bound"))
     further = askers.join(bounds, "rep", "left").select("rep", "v", "owner", "alone", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    found = _nearest_owners(near.unionByName(meet(further.mapInArrow(ask, schema))), top)
+    found = _nearest_owners(near.unionByName(meet(visits(further))), top)
     named = found.join(reps.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
     named = named.groupBy("q", "vec_id").agg(F.min("score").alias("score"))
     named = named.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= top)
@@ -254,8 +285,118 @@ def nearest(table: DataFrame, queries, *, k: int = 10, id_col: str = "vec_id", v
     return result.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _blocks(rows: DataFrame):
-    """A map column cell -> blocks, of the groups of leaves that need more than one: at most one entry for each group of the forest."""
-    found = rows.groupBy("cell").count().where(F.col("count") > BLOCK).collect()
-    pairs = [F.lit(x) for r in found for x in (r["cell"], -(-r["count"] // BLOCK))]
-    return F.create_map(*pairs).cast("map<bigint,int>") if pairs else F.create_map().cast("map<bigint,int>")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(cell, blocks) of the groups of leaves that need more than one block."""
+    return rows.groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+
+
+def _route(batches: Iterator[pa.RecordBatch], forest: list[Tree], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, v, owner, alone) once for each tree, with the leaf they fall in."""
+    for batch in batches:
+        own = _vectors(batch.column(1), width)
+        for tree, one in enumerate(forest):
+            leaves = one.route(own).astype(np.int32)
+            fixed = [pa.array(np.full(len(own), tree, np.int32)), pa.array(leaves), pa.array(np.zeros(len(own), np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *fixed], names=["id", "v", "owner", "alone", "tree", "leaf", "part"])
+
+
+#: Rows of one leaf of the forest that one task holds at a time, about.
+LEAF_PART = 1 << 16
+
+
+class _Below:
+    """Trees below leaves of the forest that hold too many rows: fitted, one task for each leaf, on samples of their own rows.
+
+    A leaf of the forest and one below it make a leaf; its margin is the larger of both. Rows and visits meet the tree of
+    their leaf by a join; a leaf of very many rows is dealt in parts, each of which meets a copy of its tree.
+    """
+
+    def __init__(self, spark, scratch: Scratch, routed: DataFrame, large: dict[tuple[int, int], int], leaf_rows: int, width: int, kind: str, first: int, sample: int):
+        self.width, self.kind, self.first, self.leaf_rows = width, kind, first, leaf_rows
+        sizes = spark.createDataFrame([(t, leaf, n) for (t, leaf), n in large.items()], "tree int, leaf int, rows long")
+        parts = F.ceil(F.col("rows") / LEAF_PART).cast("int")
+        self.sizes = F.broadcast(sizes.withColumn("parts", parts))
+        self.routed = routed.drop("part").join(self.sizes, ["tree", "leaf"], "left")
+        share = F.lit(float(sample)) / F.col("rows")
+        picked = self.routed.where(F.col("rows").isNotNull() & (F.xxhash64("id", F.lit(11)) / F.lit(2.0**64) + 0.5 < share))
+
+        def fit(key: tuple, table: pa.Table) -> pa.Table:
+            points = _vectors(table["v"].combine_chunks(), width)
+            order = np.argsort(table["id"].to_numpy(), kind="stable")
+            rows = table["rows"][0].as_py()
+            tree = Tree(points[order], max(8, len(points) * leaf_rows // rows), np.random.default_rng([key[0].as_py(), key[1].as_py()]))
+            return pa.table({"tree": [key[0].as_py()], "leaf": [key[1].as_py()], "data": [tree.packed()]}, pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("data", pa.binary())]))
+
+        trees = picked.select("tree", "leaf", "id", "v", "rows").groupBy("tree", "leaf").applyInArrow(fit, "tree int, leaf int, data binary")
+        self.trees = scratch.keep(trees, "trees")
+        self.names = ["id", "v", "owner", "alone", "cell", "leaves"]
+        self.schema = f"id long, v {kind}, owner long, alone boolean, cell long, leaves array<int>"
+
+    def _with_parts(self) -> DataFrame:
+        return self.trees.join(self.sizes, ["tree", "leaf"]).select("tree", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "data")
+
+    @staticmethod
+    def _cell(tree: int, leaf: int, group):
+        """A number for a group of leaves: those of the forest as they are, those below one by that leaf and their group."""
+        return (tree << 56) + ((leaf + 1) << 20) + group
+
+    def index(self, forest) -> DataFrame:
+        together = max(1, BLOCK // (2 * self.leaf_rows))
+        width, names = self.width, self.names
+
+        def place(key: tuple, rows: pa.Table, trees: pa.Table) -> pa.Table:
+            tree, leaf = key[0].as_py(), key[1].as_py()
+            own = Tree.unpacked(trees["data"][0].as_py()).route(_vectors(rows["v"].combine_chunks(), width)) if rows.num_rows and trees.num_rows else np.zeros(rows.num_rows, np.int64)
+            cells = _Below._cell(tree, leaf, own // together)
+            return pa.table([*(rows[c] for c in names[:4]), pa.array(cells), pa.array(own.reshape(-1, 1).tolist(), pa.list_(pa.int32()))], names=names)
+
+        split = self.routed.where("rows is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        split = split.select("tree", "leaf", "part", "id", "v", "owner", "alone")
+        below = split.groupBy("tree", "leaf", "part").cogroup(self._with_parts().groupBy("tree", "leaf", "part")).applyInArrow(place, self.schema)
+        cell = F.expr("shiftleft(cast(tree as bigint), 56) + shiftleft(cast(leaf as bigint) + 1, 20)")
+        whole = self.routed.where("rows is null").select("id", "v", "owner", "alone", cell.alias("cell"), F.array(F.lit(0)).alias("leaves"))
+        return below.unionByName(whole)
+
+    def visits(self, forest, asked: DataFrame) -> DataFrame:
+        """The leaves that queries (rep, v, owner, alone, bound) visit, by groups: without a bound the first ones of all trees, with one all within it."""
+        first, width, kind, together = self.first, self.width, self.kind, max(1, BLOCK // (2 * self.leaf_rows))
+        names = ["id", "v", "owner", "alone", "bound", "tree", "leaf", "margin"]
+
+        def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bounds, at, found = batch.column(4).to_pylist(), [], []
+                for i, own in enumerate(_vectors(batch.column(1), width)):
+                    for seen, (margin, tree, leaf) in enumerate(by_margin(forest.value, own)):
+                        if seen >= first if bounds[i] is None else margin > bounds[i]:
+                            break
+                        at.append(i)
+                        found.append((tree, leaf, margin))
+                columns = zip(*found, strict=True) if found else ((), (), ())
+                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), *arrays], names=names)
+
+        def under(key: tuple, rows: pa.Table, trees: pa.Table) -> pa.Table:
+            """Of one leaf's visits those of the leaves below it."""
+            out, at = [], []
+            if rows.num_rows and trees.num_rows:
+                tree = Tree.unpacked(trees["data"][0].as_py())
+                bounds, margins = rows["bound"].to_pylist(), rows["margin"].to_pylist()
+                for i, own in enumerate(_vectors(rows["v"].combine_chunks(), width)):
+                    for seen, (margin, _, leaf) in enumerate(by_margin([tree], own, [margins[i]])):
+                        if seen >= first if bounds[i] is None else margin > bounds[i]:
+                            break
+                        at.append(i)
+                        out.append((margin, leaf))
+            taken = rows.take(pa.array(at, pa.int64()))
+            columns = list(zip(*out, strict=True)) if out else [(), ()]
+            return taken.set_column(taken.schema.get_field_index("margin"), "margin", pa.array(columns[0], pa.float64())).append_column("below", pa.array(columns[1], pa.int32())).select([*names, "below"])
+
+        seen = asked.mapInArrow(above, f"id long, v {kind}, owner long, alone boolean, bound double, tree int, leaf int, margin double").join(self.sizes, ["tree", "leaf"], "left")
+        down = seen.where("rows is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select(*names, "part")
+        down = down.groupBy("tree", "leaf", "part").cogroup(self._with_parts().groupBy("tree", "leaf", "part")).applyInArrow(under, f"id long, v {kind}, owner long, alone boolean, bound double, tree int, leaf int, margin double, below int")
+        every = down.unionByName(seen.where("rows is null").select(*names, F.lit(0).alias("below")))
+        # The queue of a query over all its trees: the least margins of those that its leaves' own queues gave, which hold them.
+        nth = F.row_number().over(Window.partitionBy("id").orderBy("margin", "tree", "leaf", "below"))
+        every = every.withColumn("nth", nth).where(F.col("bound").isNotNull() | (F.col("nth") <= first))
+        cell = F.expr(f"shiftleft(cast(tree as bigint), 56) + shiftleft(cast(leaf as bigint) + 1, 20) + below div {together}")
+        return every.groupBy("id", cell.alias("cell")).agg(F.first("v").alias("v"), F.first("owner").alias("owner"), F.first("alone").alias("alone"), F.collect_list("below").alias("leaves")).select(*self.names)

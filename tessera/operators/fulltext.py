@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.search import K1, B, terms
+from tessera.operators.search import K1, B, term_count, terms
 
 #: Characters of a term that name the partition its postings are in.
 HEAD = 2
@@ -27,7 +27,7 @@ def postings(chunks: DataFrame, id_col: str, text_cols: list[str], keep: list[st
 
 def lengths(chunks: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     """(id, length): terms of all indexed columns."""
-    sizes = [F.size(terms(F.coalesce(F.col(c), F.lit("")))) for c in text_cols]
+    sizes = [term_count(F.coalesce(F.col(c), F.lit(""))) for c in text_cols]
     return chunks.select(F.col(id_col).alias("id"), sum(sizes[1:], sizes[0]).alias("length"))
 
 

@@ -21,6 +21,11 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
 
 
+def term_count(text: Column) -> Column:
+    """How many terms a text has; none of them is made."""
+    return F.regexp_count(F.lower(text), F.lit(TERM))
+
+
 def phrase_count(text: Column, phrase: list[str]) -> Column:
     """Places where a text holds a phrase of terms; the last word is a prefix. One pattern: later words are only looked at, so places may overlap."""
     if not phrase:
@@ -40,7 +45,7 @@ def bm25(chunks: DataFrame, query: str, *, id_col: str, text_cols: list[str], cl
     """
     words = re.findall(r"[^\W_]+", query.lower())
     texts = [F.coalesce(F.col(c), F.lit("")) for c in text_cols]
-    length = sum((F.size(terms(t)) for t in texts[1:]), F.size(terms(texts[0])))
+    length = sum((term_count(t) for t in texts[1:]), term_count(texts[0]))
     matches = sum((phrase_count(t, words) for t in texts[1:]), phrase_count(texts[0], words))
     # A cheap test first: a text without the first word's letters holds no phrase.
     probe = words[0] if words else ""

@@ -11,11 +11,15 @@ from tessera.functions import text as fn
 from tessera.operators import chunking, corpus, incremental, parsing, symbols
 from tessera.operators.segments import SegmentedIndex
 from tessera.params import DEFAULT, Params
-from tessera.schemas import conform
+from tessera.schemas import TABLES, conform
+from tessera.sources.buckets import BucketTable
+from tessera.sources.durable import Kept
 from tessera.sources.sinks import Warehouse
 
 PHASES = ("scan", "parse", "graph", "pages", "cleanup", "index")
 PageWriter = Callable[[DataFrame, DataFrame], DataFrame]
+Embed = Callable[[DataFrame], DataFrame]
+Progress = Callable[[str, int, int], None]
 
 
 def begin(store: Warehouse, mode: str, job: DataFrame) -> None:
@@ -74,19 +78,45 @@ def page_index(store: Warehouse) -> SegmentedIndex:
     return SegmentedIndex(store.spark, f"{store.base}/index")
 
 
-def update_index(store: Warehouse, params: Params = DEFAULT) -> int:
-    """Bring the index up to the pages that are live: chunks of pages that are new or changed go in, those of lost ones out.
+def chunk_table(store: Warehouse) -> BucketTable:
+    return BucketTable(store.spark, f"{store.base}/chunks", TABLES["chunks"], ["path"])
 
-    What changed is seen by comparing pages with what the index holds, so a build that stopped before this is made up for.
+
+def vector_table(store: Warehouse) -> BucketTable:
+    return BucketTable(store.spark, f"{store.base}/vectors", TABLES["vectors"], ["path"])
+
+
+def update_index(store: Warehouse, params: Params = DEFAULT, embed: Embed | None = None) -> int:
+    """Bring chunks, vectors and the index up to the pages that are live: what is new or changed goes in, lost pages go out.
+
+    What changed is seen by comparing pages with what the index holds, and the index comes last: a build that stopped before
+    is made up for. Only buckets and segments of those pages are written. `embed` gives (chunk_id, embedding) for chunks.
     """
     index, pages = page_index(store), store.read("pages").where("path is not null and content is not null")
     held = pages.select("path", fn.content_hash(F.col("content")).alias("hash"))
-    stale, gone = index.changes(held)
+    keep = Kept(store.spark)
+    stale, gone = (keep(x) for x in index.changes(held))
     changed = held.join(stale, "path", "left_semi")
-    chunks = chunking.chunk_pages(pages.join(stale, "path", "left_semi").select("path", "content"), params=params)
+    chunks = keep(chunking.chunk_pages(pages.join(stale, "path", "left_semi").select("path", "content"), params=params))
+    touched = stale.union(gone)
+    chunk_table(store).replace_under("path", touched, chunks)
+    if embed is not None:
+        made = embed(chunks.select("chunk_id", "content")).select(F.col("chunk_id").alias("id"), "embedding")
+        rows = chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("document"), "type", "path", "title").join(made, "id")
+        vector_table(store).replace_under("path", touched, rows)
     return index.update(chunks, changed, gone)
 
 
+def record_progress(store: Warehouse, job_id: str) -> Progress:
+    """A callback that appends (id, phase, step, total, at) to a build's feed, which jobs.read_progress reads as a stream."""
+
+    def tell(phase: str, step: int, total: int) -> None:
+        row = store.spark.range(1).select(F.lit(job_id).alias("id"), F.lit(phase).alias("phase"), F.lit(step).alias("step"), F.lit(total).alias("total"), F.current_timestamp().alias("at"))
+        row.write.mode("append").parquet(f"{store.base}/progress")
+
+    return tell
+
+
 def run(
     spark: SparkSession,
     store: Warehouse,
@@ -96,6 +126,8 @@ def run(
     wanted: str | None = None,
     user_patterns: list[str] | None = None,
     page_of: PageWriter | None = None,
+    embed: Embed | None = None,
+    progress: Progress | None = None,
     params: Params = DEFAULT,
 ) -> DataFrame:
     """Build staging from files (path, length, content), promote it, bring the index up to it, and return counts of the cleanup.
@@ -103,15 +135,19 @@ def run(
     Every phase writes its table and the next one reads that: nothing is parsed twice, and a lost executor costs one phase.
     `page_of` makes pages (columns of the table pages) from (file_path, content, source_hash) of files and their parsed rows:
     it gets the files whose page is missing, of another hash or older than a note, all of them in a full build. An
-    incremental build parses changed files only, and the index writes changed pages only.
+    incremental build parses changed files only, and the index writes changed pages only. `progress` is told each phase.
     """
+    tell = progress or (lambda *_: None)
+    tell("scan", 0, len(PHASES))
     mode = choose_mode(store, wanted)
     begin(store, mode, job)
     scanned = corpus.scan(files, user_patterns, params)
     texts = files.join(scanned.select("path"), "path", "left_semi").select(F.col("path").alias("file_path"), F.col("content").cast("string").alias("content"))
     texts = texts.withColumn("source_hash", fn.content_hash(F.col("content")))
+    tell("parse", 1, len(PHASES))
     store.write(parse_changed(texts, store.read("parsed", staged=True)), "parsed", staged=True)
     parsed = store.read("parsed", staged=True)
+    tell("graph", 2, len(PHASES))
     found = symbols.with_node_id(parsing.symbols_of(parsed))
     store.write(conform(found, "symbols"), "symbols", staged=True)
     named = found.select("id", "name", F.when(F.col("parent").isNotNull(), F.concat_ws(".", "parent", "name")).otherwise(F.col("name")).alias("qualified"))
@@ -120,16 +156,20 @@ def run(
     store.write(conform(nodes, "nodes"), "nodes", staged=True)
     store.write(conform(edges, "edges"), "edges", staged=True)
     store.write(conform(code_index(found, parsing.references_of(parsed), texts), "code_index"), "code_index", staged=True)
+    tell("pages", 3, len(PHASES))
     if page_of is not None:
         pages, notes = store.read("pages", staged=True), store.read("notes", staged=True)
         wanted_pages = incremental.changed_files(texts.select(F.col("file_path").alias("path"), F.col("source_hash").alias("hash")), pages, notes).where("regenerate").select(F.col("path").alias("file_path"))
         made = conform(page_of(texts.join(wanted_pages, "file_path", "left_semi"), parsed), "pages")
         store.write(incremental.upsert(pages, made, ["path"]), "pages", staged=True)
+    tell("cleanup", 4, len(PHASES))
     done = cleanup(store.read("pages", staged=True).withColumn("source", F.when(F.col("type") == "file", F.col("target"))), texts.select(F.col("file_path").alias("path")), store.read("notes", staged=True), user_patterns)
     # Counts come of both tables as they were, so they are written first.
     for table in ("counts", "pages", "notes"):
         rows = done[table]
         store.write(conform(rows, table) if table != "counts" else rows, table, staged=True)
     store.promote()
-    update_index(store, params)
+    tell("index", 5, len(PHASES))
+    update_index(store, params, embed)
+    tell("done", len(PHASES), len(PHASES))
     return store.read("counts")

@@ -85,3 +85,8 @@ def answer_events(answers: DataFrame) -> DataFrame:
     bad = F.array(F.struct(F.lit("error").alias("event"), F.to_json(F.struct(F.col("error").alias("message"))).alias("data")))
     head = F.array(F.struct(F.lit("status").alias("event"), status("searching").alias("data")), F.struct(F.lit("status").alias("event"), status("thinking").alias("data")))
     return answers.select("question", F.posexplode(F.concat(head, F.when(F.col("error").isNull(), good).otherwise(bad))).alias("pos", "e")).select("question", "pos", "e.*")
+
+
+def read_progress(spark: SparkSession, base: str) -> DataFrame:
+    """A stream of a build's phases (id, phase, step, total, at), as build.record_progress appends them."""
+    return spark.readStream.schema("id string, phase string, step int, total int, at timestamp").parquet(f"{base}/progress")

@@ -1,5 +1,8 @@
 """The index in segments, bucketed tables, migrations and builds that go on from where they were."""
 
+import contextlib
+import sqlite3
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,10 +12,11 @@ from tessera.operators import segments
 from tessera.operators.segments import SegmentedIndex
 from tessera.params import DEFAULT
 from tessera.plans import build, pages
-from tessera.sources import migrations
+from tessera.sources import migrations, sqlite
 from tessera.sources.buckets import BucketTable
 from tessera.sources.sinks import Warehouse
 from tessera.sources.versions import Versions
+from tessera.streaming import jobs
 
 
 def chunks(spark, rows):
@@ -199,3 +203,41 @@ def test_pages_are_saved_by_path(spark, tmp_path):
     (page,) = store.read("pages").collect()
     assert page.content.endswith("---\n\n# Two") and "layer: api\n" in page.content and page.metadata.startswith("{") and page.source_hash == "h"
     assert spark.createDataFrame([page]).select(fn.frontmatter_body(F.col("content"))).first()[0] == "# Two" and DEFAULT.chunk_tokens == 1000
+
+
+def test_builds_write_chunks_vectors_and_progress(spark, tmp_path):
+    store = Warehouse(spark, str(tmp_path / "base"))
+    told = []
+    embed = lambda chunks_: chunks_.select("chunk_id", F.array(F.length("content").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    feed = build.record_progress(store, "1")
+
+    def progress(*step):
+        told.append(step)
+        feed(*step)
+
+    build.run(spark, store, tree(spark, a="def alpha():\n    pass\n", b="def beta():\n    pass\n"), job(spark, "1"), page_of=pages.file_pages, embed=embed, progress=progress)
+    assert [p for p, *_ in told] == [*build.PHASES, "done"] and told[-1][1] == told[-1][2]
+    chunk_rows, vectors = build.chunk_table(store).read(), build.vector_table(store).read()
+    assert chunk_rows.count() == vectors.count() == build.page_index(store).totals().first().docs and vectors.where("size(embedding) = 2").count() == vectors.count()
+    build.run(spark, store, tree(spark, a="def alpha():\n    pass\n"), job(spark, "2"), page_of=pages.file_pages, embed=embed)
+    assert {r.path for r in build.vector_table(store).read().collect()} == {r.path for r in store.read("pages").collect()} == {"files/src-a-py.md"}
+    out = jobs.read_progress(spark, store.base).writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert [r.phase for r in spark.table("told").orderBy("step").collect()] == [*build.PHASES, "done"]
+
+
+def test_sqlite_tables_are_read_in_ranges(spark, tmp_path):
+    path = str(tmp_path / "old store.db")
+    with contextlib.closing(sqlite3.connect(path)) as db:
+        db.execute('CREATE TABLE "notes x" (id INTEGER PRIMARY KEY, body TEXT, score REAL, data BLOB, "at" TIMESTAMP)')
+        db.executemany('INSERT INTO "notes x" VALUES (?, ?, ?, ?, ?)', [(k * 3, f"n{k}" if k % 2 else None, k / 2 if k else 1, b"x" * k, "2026-01-01") for k in range(50)])
+        db.execute('INSERT INTO "notes x" VALUES (1000, 5, \'no number\', NULL, NULL)')
+        db.execute("CREATE TABLE none (a)")
+        db.commit()
+    rows = sqlite.read_table(spark, path, "notes x", rows_per_task=20)
+    assert rows.rdd.getNumPartitions() > 5 and rows.count() == 51 and [f.dataType.simpleString() for f in rows.schema] == ["bigint", "string", "double", "binary", "string"]
+    found = {r.id: r for r in rows.collect()}
+    assert found[9].body == "n3" and found[9].score == 1.5 and bytes(found[9].data) == b"xxx" and found[0].score == 1.0 and found[1000].score is None and found[1000].body == "5"
+    assert sqlite.table_names(path) == ["none", "notes x"] and sqlite.read_table(spark, path, "none").count() == 0
+    with pytest.raises(ValueError):
+        sqlite.read_table(spark, path, "gone")

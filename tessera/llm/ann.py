@@ -22,7 +22,7 @@ REACH = 0.1
 #: The forest is fitted on about so many vectors, picked by a hash of the id; every vector is indexed.
 SAMPLE = 20_000
 #: A leaf of over SPLIT times leaf_rows rows is split again, by a tree of its own, fitted on SPLIT_SAMPLE of its rows.
-SPLIT, SPLIT_SAMPLE = 2, 8192
+SPLIT, SPLIT_SAMPLE = 4, 8192
 #: Vectors, and queries, of one group of leaves that one task compares at most, about.
 BLOCK = 4096
 
@@ -218,11 +218,10 @@ def nearest(table: DataFrame, queries, *, k: int = 10, id_col: str = "vec_id", v
     grown = [Tree(points, max(8, len(points) * leaf_rows // n), rng) for _ in range(trees)]
     forest = spark.sparkContext.broadcast(grown)
     top = k + 1
-    routed = scratch.keep(reps.select("rep", "v", "owner", "alone").mapInArrow(lambda b: _route(b, forest.value, width), f"id long, v {kind}, owner long, alone boolean, tree int, leaf int, part int"), "routed") if n > sample else None
-    large = {}
-    if routed is not None:
-        # At most one row for each leaf of the forest, which the sample bounds.
-        large = {(r["tree"], r["leaf"]): r["count"] for r in routed.groupBy("tree", "leaf").count().where(F.col("count") > SPLIT * leaf_rows).collect()}
+    counted = reps.select("v").mapInArrow(lambda b: _count_leaves(b, forest.value, width), "tree int, leaf int, rows long")
+    # At most one row for each leaf of the forest, which the sample bounds.
+    large = {(r["tree"], r["leaf"]): r["rows"] for r in counted.groupBy("tree", "leaf").agg(F.sum("rows").alias("rows")).where(F.col("rows") > SPLIT * leaf_rows).collect()} if n > sample else {}
+    routed = reps.select("rep", "v", "owner", "alone").mapInArrow(lambda b: _route(b, forest.value, width), f"id long, v {kind}, owner long, alone boolean, tree int, leaf int")
     below = _Below(spark, scratch, routed, large, leaf_rows, width, kind, first, split_sample) if large else None
     # Leaves are numbered from left to right, so neighbours make a group.
     together = [max(1, BLOCK * t.leaves // n) for t in grown]
@@ -296,8 +295,19 @@ def _route(batches: Iterator[pa.RecordBatch], forest: list[Tree], width: int) ->
         own = _vectors(batch.column(1), width)
         for tree, one in enumerate(forest):
             leaves = one.route(own).astype(np.int32)
-            fixed = [pa.array(np.full(len(own), tree, np.int32)), pa.array(leaves), pa.array(np.zeros(len(own), np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *fixed], names=["id", "v", "owner", "alone", "tree", "leaf", "part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(own), tree, np.int32)), pa.array(leaves)], names=["id", "v", "owner", "alone", "tree", "leaf"])
+
+
+def _count_leaves(batches: Iterator[pa.RecordBatch], forest: list[Tree], width: int) -> Iterator[pa.RecordBatch]:
+    """(tree, leaf, rows) of a task's vectors: no vector moves for it."""
+    totals = [np.zeros(t.leaves, np.int64) for t in forest]
+    for batch in batches:
+        own = _vectors(batch.column(0), width)
+        for total, one in zip(totals, forest, strict=True):
+            total += np.bincount(one.route(own), minlength=one.leaves)
+    for tree, total in enumerate(totals):
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), tree, np.int32)), pa.array(held.astype(np.int32)), pa.array(total[held])], names=["tree", "leaf", "rows"])
 
 
 #: Rows of one leaf of the forest that one task holds at a time, about.
@@ -316,7 +326,7 @@ class _Below:
         sizes = spark.createDataFrame([(t, leaf, n) for (t, leaf), n in large.items()], "tree int, leaf int, rows long")
         parts = F.ceil(F.col("rows") / LEAF_PART).cast("int")
         self.sizes = F.broadcast(sizes.withColumn("parts", parts))
-        self.routed = routed.drop("part").join(self.sizes, ["tree", "leaf"], "left")
+        self.routed = routed.join(self.sizes, ["tree", "leaf"], "left")
         share = F.lit(float(sample)) / F.col("rows")
         picked = self.routed.where(F.col("rows").isNotNull() & (F.xxhash64("id", F.lit(11)) / F.lit(2.0**64) + 0.5 < share))
 

@@ -71,9 +71,10 @@ class SegmentedIndex:
         sizes.write.parquet(to("lengths"))
         owners.write.parquet(to("owners"))
         docs, total = self.spark.read.schema(_LENGTHS).parquet(to("lengths")).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        # A head, whatever share of all places it holds, is dealt to as many tasks as the segment's size asks for.
+        # Files of even size over ranges of (term, id): a frequent term is cut, a small segment is one file, and a question
+        # reads the row groups of its words, as these are sorted.
         deal = math.ceil(total / POSTINGS_PER_TASK) or 1
-        rows.repartition("head", F.pmod(F.xxhash64("id"), F.lit(deal))).sortWithinPartitions("head", "term", "id").write.partitionBy("head").parquet(to("postings"))
+        rows.repartitionByRange(deal, "term", "id").sortWithinPartitions("term", "id").write.parquet(to("postings"))
         return {"name": name, "docs": docs, "length": total}
 
     def update(self, chunks: DataFrame, owners: DataFrame, removed: DataFrame | None = None) -> int:

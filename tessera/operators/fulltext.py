@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.search import K1, B, term_count, terms
+from tessera.sources.durable import Kept
 
 #: Characters of a term that name the partition its postings are in.
 HEAD = 2
@@ -96,7 +97,8 @@ def matches(spark: SparkSession, root: str, query: str) -> DataFrame:
 
 def bm25(spark: SparkSession, root: str, query: str, *, clamp: bool = True) -> DataFrame:
     """(id, matches, length, score) as search.bm25 gives them for the chunks that were indexed; their texts are not read."""
-    found = matches(spark, root, query).join(spark.read.parquet(f"{root}/lengths"), "id")
+    # The matches, a few numbers for each row that has any, are counted and scored, so they are written once.
+    found = Kept(spark)(matches(spark, root, query).join(spark.read.parquet(f"{root}/lengths"), "id"))
     stats = found.agg(F.count("*").alias("with_term")).crossJoin(F.broadcast(spark.read.parquet(f"{root}/totals").limit(1)))
     odds = (F.col("docs") - F.col("with_term") + 0.5) / (F.col("with_term") + 0.5)
     idf = F.greatest(F.ln(odds), F.lit(1e-6)) if clamp else F.ln(odds + 1)

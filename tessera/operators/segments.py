@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.fulltext import POSTINGS_PER_TASK, lengths, phrase_matches, postings
 from tessera.operators.search import K1, B
+from tessera.sources.durable import Kept
 from tessera.sources.versions import Versions
 
 #: Segments of about one size that are merged to one; sizes are told apart by powers of this.
@@ -155,10 +156,11 @@ class SegmentedIndex:
 
     def bm25(self, query: str, *, clamp: bool = True) -> DataFrame:
         """(id, matches, length, score) as search.bm25 gives them for the live chunks."""
+        # The matches, a few numbers for each row that has any, are counted and scored, so they are written once.
+        found = Kept(self.spark)(self.matches(query))
         sizes = self._live("lengths", _LENGTHS, self.entries()).select("id", "length")
-        found = self.matches(query).join(sizes, "id")
-        with_term = self.matches(query).agg(F.count("*").alias("with_term"))
-        stats = F.broadcast(with_term.crossJoin(F.broadcast(self.totals())))
+        stats = F.broadcast(found.agg(F.count("*").alias("with_term")).crossJoin(F.broadcast(self.totals())))
+        found = found.join(sizes, "id")
         odds = (F.col("docs") - F.col("with_term") + 0.5) / (F.col("with_term") + 0.5)
         idf = F.greatest(F.ln(odds), F.lit(1e-6)) if clamp else F.ln(odds + 1)
         tf = F.col("matches")

@@ -94,7 +94,8 @@ def _reference(file: str, source: str, target: str, kind: str, line: int) -> tup
 
 def _parsed(spark: SparkSession, d: str, lines: list[str], folder: str, extension: str) -> DataFrame:
     """Sources of every part, parsed; file_path is folder/id once more."""
-    files = views.rows(spark, d, f"SELECT '{folder}/' || id || '.{extension}' AS file_path, {_source(lines)} AS content FROM ({_PARTS}) p")
+    made = f"SELECT '{folder}/' || id || '.{extension}' AS file_path, {_source(lines)} AS content FROM "
+    files = spark.sql(made.replace("{", "{{").replace("}", "}}") + "{p}", p=views.spread(views.rows(spark, d, _PARTS), "k"))
     return parsing.parse(files).withColumn("file_path", F.regexp_replace("file_path", rf"\.{extension}$", ""))
 
 

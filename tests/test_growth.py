@@ -1,8 +1,12 @@
 """Steps that grew faster than their input, and queries that differed from their SQL on larger tables."""
 
+import ast
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.operators import symbols
+from tessera.operators import parsing, symbols
+from tessera.plans import code, views
 
 
 def test_resolved_pairs_are_the_resolved_references_counted(spark):
@@ -14,3 +18,37 @@ def test_resolved_pairs_are_the_resolved_references_counted(spark):
     found = symbols.resolved_pairs(refs, table)
     listed = lambda df: sorted((str(r.source), r.target, r.n, round(r.confidence, 6)) for r in df.collect())
     assert listed(found) == listed(want) and len(listed(found)) == 12
+
+
+def test_a_parsed_batch_is_handed_on_in_parts(spark, monkeypatch):
+    """A worker holds the rows of a few files, not of a whole Arrow batch: files of ten symbols come out in batches of two here."""
+    monkeypatch.setattr(parsing, "ROWS_AT_ONCE", 20)
+    taken, given = [], []
+    files = [(f"{k}.py", "\n".join(f"def f{j}(a): return 1" for j in range(10))) for k in range(7)]
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_pylist([{"file_path": p, "content": c} for p, c in files])
+            for out in run(iter([batch])):
+                given.append(out.num_rows)
+                taken.extend(out.to_pylist())
+
+    parsing.parse(Files())
+    assert given == [2, 2, 2, 1] and [r["file_path"] for r in taken] == [p for p, _ in files]
+    assert all([s["name"] for s in r["symbols"]] == [f"f{j}" for j in range(10)] for r in taken)
+    assert parsing.symbols_of(parsing.parse(spark.createDataFrame(files, "file_path string, content string"))).count() == 70
+
+
+def test_parameters_without_the_unparser():
+    for text in ("", "a", "self, b", "a, *, b", "a: int", "a=1", "*a, **b", "a, /, b"):
+        node = ast.parse(f"def f({text}): pass").body[0].args
+        assert parsing._arguments(node) == ast.unparse(node)
+
+
+def test_sources_are_made_in_as_many_tasks_as_rows_ask_for(spark, sf, monkeypatch):
+    """A small file of parts is one task; the texts made of it are not."""
+    monkeypatch.setattr(views.spread, "__defaults__", (50,))
+    assert code._parsed(spark, sf, code.JAVA, "j", "java").rdd.getNumPartitions() == 4

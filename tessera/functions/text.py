@@ -181,7 +181,8 @@ def truncate_sentences(text: Column, max_tokens: int) -> Column:
         ),
         lambda a: a["out"],
     )
-    cut = F.regexp_replace(F.substring(text, 1, room), r"\s+\S*$", "")
+    # `$` would also match before a line break that ends the cut.
+    cut = F.regexp_replace(F.substring(text, 1, room), r"[\t\n\f\r ]+[^\t\n\f\r ]*\z", "")
     return F.when(F.length(text) <= room, text).otherwise(F.concat(F.when(kept != "", F.rtrim(kept)).otherwise(cut), F.lit("...")))
 
 

@@ -5,6 +5,7 @@ import ast
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera.functions import text as fn
 from tessera.operators import parsing, symbols
 from tessera.plans import code, views
 
@@ -52,3 +53,12 @@ def test_sources_are_made_in_as_many_tasks_as_rows_ask_for(spark, sf, monkeypatc
     """A small file of parts is one task; the texts made of it are not."""
     monkeypatch.setattr(views.spread, "__defaults__", (50,))
     assert code._parsed(spark, sf, code.JAVA, "j", "java").rdd.getNumPartitions() == 4
+
+
+def test_a_cut_that_ends_with_a_line_break(spark):
+    """The cut is at the last white space, also where the cut's last character is a line break: `$` alone passes over that one."""
+    word = "x" * 198
+    texts = [f"{word}! {word}!\n{word}", f"{word}! {word}!!\n{word}", f"{word}! {word} {word}", "y" * 500, f"a\x0b{'z' * 500}"]
+    want = [f"{word}! {word}!...", f"{word}!...", f"{word}! {word}...", "y" * 400 + "...", f"a\x0b{'z' * 398}..."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", fn.truncate_sentences(F.col("t"), 100).alias("s"))
+    assert [r.s for r in rows.orderBy("k").collect()] == want

@@ -2,12 +2,13 @@
 
 import ast
 
+import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
 from tessera.operators import parsing, symbols
-from tessera.plans import code, views
+from tessera.plans import catalog, code, views
 
 
 def test_resolved_pairs_are_the_resolved_references_counted(spark):
@@ -62,3 +63,15 @@ def test_a_cut_that_ends_with_a_line_break(spark):
     want = [f"{word}! {word}!...", f"{word}!...", f"{word}! {word}...", "y" * 400 + "...", f"a\x0b{'z' * 398}..."]
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", fn.truncate_sentences(F.col("t"), 100).alias("s"))
     assert [r.s for r in rows.orderBy("k").collect()] == want
+
+
+def test_simple_paths_equal_sql_in_a_sparse_graph(spark, sf, tmp_path):
+    """Fewer than ten paths of three edges: longer ones, which the SQL does not state, stay out."""
+    spark.read.parquet(f"{sf}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{sf}/lineitem.parquet").where("l_orderkey % 5 = 0").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE_SQL["simple_paths"]).fetchall()
+    assert 0 < len(want) < 10
+    assert [tuple(r) for r in catalog.QUERIES["simple_paths"](spark, str(tmp_path)).collect()] == want

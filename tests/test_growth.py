@@ -3,12 +3,14 @@
 import ast
 
 import duckdb
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
 from tessera.operators import parsing, symbols
 from tessera.plans import catalog, code, views
+from tessera.streaming import sessions
 
 
 def test_resolved_pairs_are_the_resolved_references_counted(spark):
@@ -75,3 +77,32 @@ def test_simple_paths_equal_sql_in_a_sparse_graph(spark, sf, tmp_path):
     want = con.execute(catalog.ORACLE_SQL["simple_paths"]).fetchall()
     assert 0 < len(want) < 10
     assert [tuple(r) for r in catalog.QUERIES["simple_paths"](spark, str(tmp_path)).collect()] == want
+
+
+def test_ended_sessions_of_a_user_are_one_frame():
+    """A frame for each session took most of the stream's time."""
+    held = {}
+
+    class Value:
+        def __init__(self, name):
+            self.name = name
+
+        def exists(self):
+            return self.name in held
+
+        def get(self):
+            return held[self.name]
+
+        def update(self, value):
+            held[self.name] = value
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema: Value(name))  # noqa: N815
+        registerTimer = deleteTimer = staticmethod(lambda at: None)  # noqa: N815
+
+    processor = sessions.SessionProcessor()
+    processor.init(Handle())
+    turns = pd.DataFrame({"us": [k * 3_600_000_000 for k in range(500)], "seq": range(500), "node": [None] * 500, "missing": [None] * 500})
+    (frame,) = processor.handleInputRows(("u",), iter([turns]), None)
+    assert list(frame["session"]) == list(range(499)) and set(frame["event"]) == {"ended"} and list(frame["first_seq"]) == list(range(499))
+    assert frame["at"][1] == pd.Timestamp("1970-01-01 01:30:00") and held["sessions"] == (499,)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +15,8 @@ from tessera.params import DEFAULT, Params
 
 #: Words of a window and words that two neighbours share, when a section is too long.
 WINDOW_WORDS, OVERLAP_WORDS = 1333, 133
+#: Files that one task packs, about, and chunks that a worker hands on at once.
+FILES_PER_TASK, ROWS_AT_ONCE = 4_000, 1_000
 
 
 def sections(pages: DataFrame, *, key: list[str], text_col: str = "content") -> DataFrame:
@@ -95,6 +99,12 @@ def _line_chunks(content: str, max_tokens: int, overlap: int) -> Iterator[tuple[
         start = end - overlap if end - overlap > start else end
 
 
+def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of ROWS_AT_ONCE, so a worker does not hold the chunks of a whole batch."""
+    while held := list(itertools.islice(rows, ROWS_AT_ONCE)):
+        yield pd.DataFrame(held, columns=columns)
+
+
 def chunk_lines(files: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """files (file_path, content) to (file_path, chunk_index, start_line, end_line, content).
 
@@ -103,8 +113,8 @@ def chunk_lines(files: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(path, k, *chunk) for path, content in zip(batch["file_path"], batch["content"], strict=True) if content for k, chunk in enumerate(_line_chunks(content, params.chunk_tokens, params.chunk_overlap_lines))]
-            yield pd.DataFrame(rows, columns=["file_path", "chunk_index", "start_line", "end_line", "content"])
+            rows = ((path, k, *chunk) for path, content in zip(batch["file_path"], batch["content"], strict=True) if content for k, chunk in enumerate(_line_chunks(content, params.chunk_tokens, params.chunk_overlap_lines)))
+            yield from _frames(rows, ["file_path", "chunk_index", "start_line", "end_line", "content"])
 
     return files.select("file_path", "content").mapInPandas(run, "file_path string, chunk_index int, start_line int, end_line int, content string")
 
@@ -114,7 +124,9 @@ def chunk_symbols(files: DataFrame, symbols: DataFrame, params: Params = DEFAULT
 
     Returns chunk_lines' columns and `symbols`.
     """
-    own = symbols.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "name"))).alias("own"))
+    # Texts may be far larger than their compressed bytes, by which adaptive execution would put partitions together.
+    deal = math.ceil(files.count() / FILES_PER_TASK) or 1
+    own = symbols.repartition(deal, "file_path").groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "name"))).alias("own"))
 
     def pack(content: str, own) -> Iterator[tuple[int, int, str, list[str]]]:
         lines = content.split("\n")
@@ -131,18 +143,18 @@ def chunk_symbols(files: DataFrame, symbols: DataFrame, params: Params = DEFAULT
         if names:
             yield first, last, "\n".join(lines[first - 1 : last]), names
 
+    def chunks(batch: pd.DataFrame) -> Iterator[tuple]:
+        for path, content, found in zip(batch["file_path"], batch["content"], batch["own"], strict=True):
+            if content:
+                made = pack(content, found) if found is not None and len(found) else ((*c, []) for c in _line_chunks(content, params.chunk_tokens, params.chunk_overlap_lines))
+                yield from ((path, k, *c) for k, c in enumerate(made))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content, found in zip(batch["file_path"], batch["content"], batch["own"], strict=True):
-                if not content:
-                    continue
-                chunks = pack(content, found) if found is not None and len(found) else ((*c, []) for c in _line_chunks(content, params.chunk_tokens, params.chunk_overlap_lines))
-                rows.extend((path, k, *c) for k, c in enumerate(chunks))
-            yield pd.DataFrame(rows, columns=["file_path", "chunk_index", "start_line", "end_line", "content", "symbols"])
+            yield from _frames(chunks(batch), ["file_path", "chunk_index", "start_line", "end_line", "content", "symbols"])
 
     schema = "file_path string, chunk_index int, start_line int, end_line int, content string, symbols array<string>"
-    return files.select("file_path", "content").join(own, "file_path", "left").mapInPandas(run, schema)
+    return files.select("file_path", "content").repartition(deal, "file_path").join(own, "file_path", "left").mapInPandas(run, schema)
 
 
 def call_snippet(content: Column, line: Column, before: int = 10, after: int = 10) -> Column:

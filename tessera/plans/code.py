@@ -161,7 +161,7 @@ def line_chunks(spark, d):
     """Files of lines of one length each, cut at 100 tokens with five lines of overlap."""
     line = F.repeat(F.lit("x"), (20 + F.col("p_size") % 30).cast("int"))
     content = F.array_join(F.array_repeat(line, (50 + F.col("p_partkey") % 400).cast("int")), "\n")
-    files = table(spark, d, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".txt")).alias("file_path"), content.alias("content"))
+    files = views.spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".txt")).alias("file_path"), content.alias("content"))
     return chunking.chunk_lines(files, replace(DEFAULT, chunk_tokens=_TOKENS)).select("file_path", "chunk_index", "start_line", "end_line")
 
 
@@ -174,9 +174,12 @@ def symbol_chunks(spark, d):
     k = F.col("p_partkey")
     m, n = (3 + k % 4).cast("int"), (5 + k % 20).cast("int")
     line = F.repeat(F.lit("x"), (20 + F.col("p_size") % 30).cast("int"))
-    rows = table(spark, d, "part").select(F.concat(k.cast("string"), F.lit(".py")).alias("file_path"), F.array_join(F.array_repeat(line, m * n), "\n").alias("content"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), m.alias("m"))
-    own = rows.select("file_path", (F.col("i") * F.col("m") + 1).alias("start_line"), ((F.col("i") + 1) * F.col("m")).alias("end_line"), F.concat(F.lit("f"), F.col("i").cast("string")).alias("name"))
-    files = rows.where("i = 0").select("file_path", "content")
+    path = F.concat(k.cast("string"), F.lit(".py")).alias("file_path")
+    part = views.spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    i = F.col("i")
+    own = part.select(path, m.alias("m"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    own = own.select("file_path", (i * F.col("m") + 1).alias("start_line"), ((i + 1) * F.col("m")).alias("end_line"), F.concat(F.lit("f"), i.cast("string")).alias("name"))
+    files = part.select(path, F.array_join(F.array_repeat(line, m * n), "\n").alias("content"))
     return chunking.chunk_symbols(files, own, replace(DEFAULT, chunk_tokens=_TOKENS)).select("file_path", "chunk_index", "start_line", "end_line", F.size("symbols").alias("symbols"))
 
 

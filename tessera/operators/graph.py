@@ -6,6 +6,8 @@ collects a frontier to the driver.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from tessera.sources.durable import Kept
 
 #: Edges of a path at most, and paths reported.
 LONGEST_PATH, MOST_PATHS = 10, 10
+#: Pairs of results and nodes that one task makes, about.
+PAIRS_PER_TASK = 5_000_000
 
 
 def calls_of(nodes: DataFrame, edges: DataFrame, node: str, min_confidence: float = 0.0) -> DataFrame:
@@ -151,9 +155,20 @@ def call_sites(nodes: DataFrame, edges: DataFrame, file: Column | str) -> DataFr
 
 
 def results_to_nodes(results: DataFrame, nodes: DataFrame, *, source_col: str | None = None) -> DataFrame:
-    """results with the id of every node in their source file; the file is a column, or read off the page path."""
+    """results with the id of every node in their source file; the file is a column, or read off the page path.
+
+    Few rows make many here, so they are dealt to tasks by the pairs they make, those of a file that makes more than one task's to several.
+    """
     key = F.col(source_col) if source_col else fn.source_path(F.col("path"))
-    return results.withColumn("_file", key).join(nodes.select(F.col("file_path").alias("_file"), F.col("id").alias("node_id")), "_file").drop("_file")
+    results, nodes = results.withColumn("_file", key), nodes.select(F.col("file_path").alias("_file"), F.col("id").alias("node_id"))
+    sizes = results.groupBy("_file").agg(F.count("*").alias("_n")).join(nodes.groupBy("_file").agg(F.count("*").alias("_m")), "_file")
+    sizes = Kept(results.sparkSession)(sizes.select("_file", (F.col("_n") * F.col("_m")).alias("_made")))
+    deal = math.ceil((sizes.agg(F.sum("_made")).first()[0] or 0) / PAIRS_PER_TASK) or 1
+    large = F.broadcast(sizes.where(F.col("_made") > PAIRS_PER_TASK).select("_file", F.ceil(F.col("_made") / PAIRS_PER_TASK).alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = results.join(large, "_file", "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts)).drop("_parts")
+    right = nodes.join(large, "_file", "left").select("_file", "node_id", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    return left.repartition(deal, "_file", "_part").join(right.repartition(deal, "_file", "_part"), ["_file", "_part"]).drop("_file", "_part")
 
 
 def file_imports_of(imports: DataFrame, file: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
-from tessera.operators import parsing, symbols
+from tessera.operators import chunking, graph, parsing, symbols
 from tessera.plans import catalog, code, views
 from tessera.streaming import sessions
 
@@ -106,3 +106,27 @@ def test_ended_sessions_of_a_user_are_one_frame():
     (frame,) = processor.handleInputRows(("u",), iter([turns]), None)
     assert list(frame["session"]) == list(range(499)) and set(frame["event"]) == {"ended"} and list(frame["first_seq"]) == list(range(499))
     assert frame["at"][1] == pd.Timestamp("1970-01-01 01:30:00") and held["sessions"] == (499,)
+
+
+def test_callers_by_name_are_called_by_counted(spark):
+    rows = [(1, "f", "a", ["b", "b", "c"]), (2, "g", "a", ["b"]), (3, "g", "b", ["c", "gone"]), (4, "h", "c", None)]
+    index = spark.createDataFrame(rows, "id int, file_path string, symbol_name string, calls array<string>")
+    want = {r.symbol_name: (len(r.called_by), len(set(r.called_by)), min(r.called_by), max(r.called_by)) for r in symbols.called_by(index).collect() if r.called_by}
+    assert {r.symbol_name: tuple(r)[1:] for r in symbols.callers_by_name(index).collect()} == want == {"b": (3, 1, "a", "a"), "c": (2, 2, "a", "b")}
+
+
+def test_results_of_a_large_file_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS_PER_TASK", 10)
+    results = spark.createDataFrame([(k, "big" if k % 4 else "small") for k in range(40)], "r int, f string")
+    nodes = spark.createDataFrame([(f"n{k}", "big" if k % 3 else "other") for k in range(30)], "id string, file_path string")
+    found = graph.results_to_nodes(results, nodes, source_col="f")
+    assert sorted((r.r, r.node_id) for r in found.collect()) == sorted((r, f"n{k}") for r in range(40) if r % 4 for k in range(30) if k % 3)
+    assert found.columns == ["r", "f", "node_id"]
+    taken = [n for n in found.rdd.glom().map(len).collect() if n]
+    assert len(taken) > 10 and max(taken) < 200
+
+
+def test_chunks_are_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(chunking, "ROWS_AT_ONCE", 3)
+    frames = list(chunking._frames(((str(k), k) for k in range(7)), ["a", "b"]))
+    assert [len(f) for f in frames] == [3, 3, 1] and [x for f in frames for x in f["b"]] == list(range(7))

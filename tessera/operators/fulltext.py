@@ -18,12 +18,12 @@ POSTINGS_PER_TASK = 4_000_000
 
 
 def postings(chunks: DataFrame, id_col: str, text_cols: list[str], keep: list[str] = ()) -> DataFrame:
-    """(head, term, field, position, id) and columns to keep: a row for each place of each term."""
+    """(term, field, position, id) and columns to keep: a row for each place of each term."""
     places = [chunks.select(*keep, F.col(id_col).alias("id"), F.lit(k).alias("field"), F.posexplode(terms(F.coalesce(F.col(c), F.lit("")))).alias("position", "term")) for k, c in enumerate(text_cols)]
     rows = places[0]
     for more in places[1:]:
         rows = rows.unionByName(more)
-    return rows.select(*keep, F.substring("term", 1, HEAD).alias("head"), "term", "field", "position", "id")
+    return rows.select(*keep, "term", "field", "position", "id")
 
 
 def lengths(chunks: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
@@ -43,7 +43,7 @@ def build(chunks: DataFrame, root: str, *, id_col: str, text_cols: list[str], mo
     _total(chunks.sparkSession, root)
     places = chunks.sparkSession.read.parquet(f"{root}/lengths").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     deal = math.ceil(places / POSTINGS_PER_TASK) or 1
-    rows = postings(chunks, id_col, text_cols).repartition("head", F.pmod(F.xxhash64("id"), F.lit(deal))).sortWithinPartitions("head", "term", "id")
+    rows = postings(chunks, id_col, text_cols).withColumn("head", F.substring("term", 1, HEAD)).repartition("head", F.pmod(F.xxhash64("id"), F.lit(deal))).sortWithinPartitions("head", "term", "id")
     rows.write.mode(mode).partitionBy("head").parquet(f"{root}/postings")
 
 
@@ -66,17 +66,17 @@ def remove(spark: SparkSession, root: str, ids: DataFrame) -> None:
 
 
 def _word(rows: DataFrame, word: str, prefix: bool) -> DataFrame:
+    rows = rows.where(F.col("term").startswith(word) if prefix else F.col("term") == word)
+    if "head" not in rows.columns:
+        return rows
     head = word[:HEAD]
-    if not prefix:
-        return rows.where((F.col("head") == head) & (F.col("term") == word))
-    place = F.col("head") == head if len(word) >= HEAD else F.col("head").startswith(word)
-    return rows.where(place & F.col("term").startswith(word))
+    return rows.where(F.col("head") == head if not prefix or len(word) >= HEAD else F.col("head").startswith(word))
 
 
 def phrase_matches(rows: DataFrame, query: str) -> DataFrame:
     """(id, matches) from postings: places where rows hold the query as a phrase, its last word a prefix.
 
-    Only folders of the query's words are read; the rarest word's places are not known beforehand, so joins of places run
+    Only folders of the query's words are read, where there are any (column head); the rarest word's places are not known beforehand, so joins of places run
     on (id, field, position), which no hot word skews.
     """
     words = re.findall(r"[^\W_]+", query.lower())

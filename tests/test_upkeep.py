@@ -90,6 +90,42 @@ def test_segments_merge_and_dead_rows_go(spark, index):
     assert index.vacuum() > 0 and index.totals().first().docs == segments.FAN * 2 + 2
 
 
+def test_a_merge_takes_over_full_folders_without_dead_rows(spark, index, monkeypatch):
+    monkeypatch.setattr(segments, "POSTINGS_PER_TASK", 3)
+    index.update(*chunks(spark, {"a": "red apple pie", "b": "red brick wall"}))
+    index.update(*chunks(spark, {"c": "red car seat", "d": "red door bell", "n": None}))
+    index.update(*chunks(spark, {"e": "red"}))
+    full = [f"segment={s['name']}" for s in index.entries()["segments"]][:2]
+    index.compact()
+    index.vacuum()
+    assert len(index.entries()["segments"]) == 1 and index.entries()["tombstones"] == []
+    assert files_below(index, "postings") > set(full) and len(files_below(index, "postings")) == 3
+    assert ids(index.matches("red")) == ["a#0", "b#0", "c#0", "d#0", "e#0"] and index.totals().first().docs == 5
+    # An owner without chunks that is dead counts too: its tombstone goes with the merge.
+    index.update(*chunks(spark, {"a": "green", "n": "red now"}))
+    assert ids(index.matches("red")) == ["b#0", "c#0", "d#0", "e#0", "n#0"]
+    index.compact()
+    index.vacuum()
+    assert not files_below(index, "postings") & set(full) and index.entries()["tombstones"] == []
+    assert ids(index.matches("red")) == ["b#0", "c#0", "d#0", "e#0", "n#0"] and ids(index.matches("green")) == ["a#0"]
+    assert sorted(r.owner for r in index.owners().collect()) == ["a", "b", "c", "d", "e", "n"]
+
+
+def test_postings_are_not_shuffled_and_files_are_sorted_by_term(spark, index, monkeypatch):
+    monkeypatch.setattr(segments, "POSTINGS_PER_TASK", 30)
+    plans, write = [], SegmentedIndex._write_postings
+    monkeypatch.setattr(SegmentedIndex, "_write_postings", lambda self, name, rows: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(self, name, rows))[1])
+    index.update(*chunks(spark, {f"p{k}": " ".join(f"w{(k * j) % 17} common" for j in range(10)) for k in range(30)}))
+    assert plans[0].index("Generate") < plans[0].index("Repartition")
+    rows = index._read("postings", segments._POSTINGS, index.entries()["segments"]).select(F.input_file_name().alias("file"), "term", "id").collect()
+    files = {}
+    for r in rows:
+        files.setdefault(r.file, []).append(r)
+    assert len(files) > 5 and all([r.term for r in held] == sorted(r.term for r in held) for held in files.values())
+    assert sum(len({r.id for r in held}) for held in files.values()) == 30
+    assert {r.length for r in index._read("lengths", segments._LENGTHS, index.entries()["segments"]).collect()} == {20} and len(ids(index.matches("common"))) == 30
+
+
 def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
     versions = Versions(spark, str(tmp_path / "v"))
     assert versions.read() == (0, {})

@@ -93,8 +93,8 @@ def is_binary(content: Column, check_bytes: int = DEFAULT.binary_check_bytes) ->
 
 
 def is_minified(text: Column, longest: int = DEFAULT.minified_line_length) -> Column:
-    """Whether the first 20 lines are longer than that on average."""
-    lines = F.slice(F.split(text, "\n"), 1, 20)
+    """Whether the first 20 lines are longer than that on average; what follows them stays one piece."""
+    lines = F.slice(F.split(text, "\n", 21), 1, 20)
     return F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)) / F.size(lines) > longest
 
 
@@ -137,11 +137,16 @@ def collapse_directories(files: DataFrame, patterns: list[str]) -> DataFrame:
     return out.join(has_excluded_ancestor(out, out), "path", "left_anti")
 
 
-def scan(files: DataFrame, user_patterns: list[str] | None = None, params: Params = DEFAULT) -> DataFrame:
-    """Paths that belong to the corpus, sorted. Path and size tests run before any content is read."""
+def included(files: DataFrame, user_patterns: list[str] | None = None, params: Params = DEFAULT) -> DataFrame:
+    """Files (path, length, content) that belong to the corpus. Path and size tests run before any content is read."""
     patterns = DEFAULT_EXCLUDES + (user_patterns or [])
     kept = files.where(~excluded(F.col("path"), patterns)).where(F.col("length") <= params.max_file_size_kb * 1024)
-    return kept.where(~is_binary(F.col("content"), params.binary_check_bytes)).where(~is_minified(F.col("content").cast("string"), params.minified_line_length)).orderBy("path")
+    return kept.where(~is_binary(F.col("content"), params.binary_check_bytes)).where(~is_minified(F.col("content").cast("string"), params.minified_line_length))
+
+
+def scan(files: DataFrame, user_patterns: list[str] | None = None, params: Params = DEFAULT) -> DataFrame:
+    """included, sorted by path."""
+    return included(files, user_patterns, params).orderBy("path")
 
 
 def directories(files: DataFrame) -> DataFrame:

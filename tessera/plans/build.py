@@ -141,9 +141,10 @@ def run(
     tell("scan", 0, len(PHASES))
     mode = choose_mode(store, wanted)
     begin(store, mode, job)
-    scanned = corpus.scan(files, user_patterns, params)
-    texts = files.join(scanned.select("path"), "path", "left_semi").select(F.col("path").alias("file_path"), F.col("content").cast("string").alias("content"))
-    texts = texts.withColumn("source_hash", fn.content_hash(F.col("content")))
+    # Texts are tested and hashed once: all phases need their hashes, two need what they hold.
+    keep = Kept(spark)
+    texts = corpus.included(files, user_patterns, params).select(F.col("path").alias("file_path"), F.col("content").cast("string").alias("content"))
+    texts = keep(texts.withColumn("source_hash", fn.content_hash(F.col("content"))))
     tell("parse", 1, len(PHASES))
     store.write(parse_changed(texts, store.read("parsed", staged=True)), "parsed", staged=True)
     parsed = store.read("parsed", staged=True)
@@ -160,7 +161,7 @@ def run(
     if page_of is not None:
         pages, notes = store.read("pages", staged=True), store.read("notes", staged=True)
         wanted_pages = incremental.changed_files(texts.select(F.col("file_path").alias("path"), F.col("source_hash").alias("hash")), pages, notes).where("regenerate").select(F.col("path").alias("file_path"))
-        made = conform(page_of(texts.join(wanted_pages, "file_path", "left_semi"), parsed), "pages")
+        made = keep(conform(page_of(texts.join(wanted_pages, "file_path", "left_semi"), parsed), "pages"))
         store.write(incremental.upsert(pages, made, ["path"]), "pages", staged=True)
     tell("cleanup", 4, len(PHASES))
     done = cleanup(store.read("pages", staged=True).withColumn("source", F.when(F.col("type") == "file", F.col("target"))), texts.select(F.col("file_path").alias("path")), store.read("notes", staged=True), user_patterns)

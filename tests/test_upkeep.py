@@ -220,6 +220,22 @@ def test_an_incremental_build_makes_and_indexes_changed_pages_only(spark, tmp_pa
     assert made[2] == [] and index.versions.read()[0] == version
 
 
+def test_a_build_reads_files_once(spark, tmp_path):
+    store = Warehouse(spark, str(tmp_path / "base"))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    files = tree(spark, a="def alpha():\n    beta()\n", b="def beta():\n    return 1\n", c="x = 1\n" * 30)
+    for k in (1, 2):
+        build.run(spark, store, files.mapInArrow(counted, files.schema), job(spark, str(k)), page_of=pages.file_pages)
+        assert read.value == 3 * k
+    assert sorted(r.target for r in store.read("pages").collect()) == ["src/a.py", "src/b.py", "src/c.py"]
+
+
 def test_an_index_left_behind_by_a_stop_is_made_up_for(spark, tmp_path, monkeypatch):
     store = Warehouse(spark, str(tmp_path / "base"))
     with monkeypatch.context() as m:

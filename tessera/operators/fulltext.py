@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.search import K1, B, term_count, terms
+from tessera.operators.search import K1, B, terms
 from tessera.sources.durable import Kept
 
 #: Characters of a term that name the partition its postings are in.
@@ -26,24 +26,30 @@ def postings(chunks: DataFrame, id_col: str, text_cols: list[str], keep: list[st
     return rows.select(*keep, "term", "field", "position", "id")
 
 
-def lengths(chunks: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    """(id, length): terms of all indexed columns."""
-    sizes = [term_count(F.coalesce(F.col(c), F.lit(""))) for c in text_cols]
-    return chunks.select(F.col(id_col).alias("id"), sum(sizes[1:], sizes[0]).alias("length"))
-
-
 def build(chunks: DataFrame, root: str, *, id_col: str, text_cols: list[str], mode: str = "overwrite") -> None:
     """Write the index of chunks below root: postings in folders by head, sorted by term, lengths, and one row of totals.
 
-    With mode `append` the rows of new chunks are added; ids must be new (delete by id first: `remove`). A frequent head is
-    dealt to several tasks by id, as many as the index's size asks for, so no task holds all places of one word. For an index
-    that is kept up to date see segments.SegmentedIndex.
+    With mode `append` the rows of new chunks are added; ids must be new (delete by id first: `remove`). A head is dealt to as
+    many tasks as its places ask for, by id: no task holds all places of a frequent word, and a rare head is one file however
+    large the index is. Terms are made once and kept until the postings are written. For an index that is kept up to date see
+    segments.SegmentedIndex.
     """
-    lengths(chunks, id_col, text_cols).write.mode(mode).parquet(f"{root}/lengths")
-    _total(chunks.sparkSession, root)
-    places = chunks.sparkSession.read.parquet(f"{root}/lengths").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    deal = math.ceil(places / POSTINGS_PER_TASK) or 1
-    rows = postings(chunks, id_col, text_cols).withColumn("head", F.substring("term", 1, HEAD)).repartition("head", F.pmod(F.xxhash64("id"), F.lit(deal))).sortWithinPartitions("head", "term", "id")
+    spark = chunks.sparkSession
+    made = [terms(F.coalesce(F.col(c), F.lit(""))) for c in text_cols]
+    texts = Kept(spark)(chunks.select(F.col(id_col).alias("id"), F.array(*made).alias("terms")))
+    texts.select("id", F.aggregate("terms", F.lit(0), lambda n, t: n + F.size(t)).alias("length")).write.mode(mode).parquet(f"{root}/lengths")
+    _total(spark, root)
+    fields = texts.select("id", F.posexplode("terms").alias("field", "terms"))
+    rows = fields.select("id", "field", F.posexplode("terms").alias("position", "term")).withColumn("head", F.substring("term", 1, HEAD))
+    # Heads are few, whatever the texts: pairs of letters.
+    heads = Kept(spark)(rows.groupBy("head").agg(F.count("*").alias("places")))
+    places = heads.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
+    tasks = max(math.ceil(places / POSTINGS_PER_TASK), spark.sparkContext.defaultParallelism)
+    share = F.ceil(F.col("places") / max(places // tasks, 1))
+    rows = rows.join(F.broadcast(heads.select("head", F.xxhash64("head").alias("first"), share.alias("share"))), "head")
+    rows = rows.withColumn("task", F.pmod(F.pmod("first", F.lit(tasks)) + F.pmod(F.xxhash64("id"), "share"), F.lit(tasks)).cast("int"))
+    rows = rows.select("term", "field", "position", "id", "task").repartitionById(tasks, "task")
+    rows = rows.select(F.substring("term", 1, HEAD).alias("head"), "term", "field", "position", "id").sortWithinPartitions("head", "term")
     rows.write.mode(mode).partitionBy("head").parquet(f"{root}/postings")
 
 
@@ -97,9 +103,10 @@ def matches(spark: SparkSession, root: str, query: str) -> DataFrame:
 
 def bm25(spark: SparkSession, root: str, query: str, *, clamp: bool = True) -> DataFrame:
     """(id, matches, length, score) as search.bm25 gives them for the chunks that were indexed; their texts are not read."""
-    # The matches, a few numbers for each row that has any, are counted and scored, so they are written once.
-    found = Kept(spark)(matches(spark, root, query).join(spark.read.parquet(f"{root}/lengths"), "id"))
-    stats = found.agg(F.count("*").alias("with_term")).crossJoin(F.broadcast(spark.read.parquet(f"{root}/totals").limit(1)))
+    found = matches(spark, root, query)
+    # Counted by a column of the matches, so that both sides want the same rows of one shuffle, which Spark then reuses.
+    stats = found.agg(F.count(F.when(F.col("matches") > 0, 1)).alias("with_term")).crossJoin(F.broadcast(spark.read.parquet(f"{root}/totals").limit(1)))
+    found = found.join(spark.read.parquet(f"{root}/lengths"), "id")
     odds = (F.col("docs") - F.col("with_term") + 0.5) / (F.col("with_term") + 0.5)
     idf = F.greatest(F.ln(odds), F.lit(1e-6)) if clamp else F.ln(odds + 1)
     tf = F.col("matches")

@@ -36,6 +36,23 @@ def test_index_reads_folders_of_its_words_and_forgets_rows(spark, chunks, tmp_pa
     assert spark.read.parquet(f"{root}/totals").first()["docs"] == 5
 
 
+def test_a_rare_head_is_one_file_however_large_the_index_is(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fulltext, "POSTINGS_PER_TASK", 50)
+    root = str(tmp_path / "index")
+    texts = spark.createDataFrame([(f"c{k}", "common " * 10 + ("rare" if k % 3 == 0 else "")) for k in range(40)], "id string, content string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        fulltext.build(texts, root, id_col="id", text_cols=["content"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    files = lambda head: list((tmp_path / "index" / "postings" / f"head={head}").glob("*.parquet"))
+    assert len(files("ra")) == 1 and len(files("co")) > 4
+    assert {(r.id, r.matches) for r in fulltext.matches(spark, root, "common").collect()} == {(f"c{k}", 10) for k in range(40)}
+    assert {r.id for r in fulltext.matches(spark, root, "common rare").collect()} == {f"c{k}" for k in range(0, 40, 3)}
+    assert {r.length for r in spark.read.parquet(f"{root}/lengths").collect()} == {10, 11}
+
+
 def test_blocks_are_read_as_they_are_written():
     block = """# a comment
 file_summary:

@@ -115,6 +115,18 @@ def test_callers_by_name_are_called_by_counted(spark):
     assert {r.symbol_name: tuple(r)[1:] for r in symbols.callers_by_name(index).collect()} == want == {"b": (3, 1, "a", "a"), "c": (2, 2, "a", "b")}
 
 
+def test_callers_by_name_reads_the_updated_rows(spark, monkeypatch):
+    """The lists are made and put into every row of their name, and what the query returns is read there; lists are not shuffled or sorted after that."""
+    rows = [(1, "f", "a", ["b", "b", "c"]), (2, "g", "a", ["b"]), (3, "g", "b", ["c"]), (4, "h", "c", []), (5, "i", "c", ["c"])]
+    index = spark.createDataFrame(rows, "id int, file_path string, symbol_name string, calls array<string>")
+    plan = symbols.callers_by_name(index)._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("+- == Initial Plan ==") if "+- == Initial Plan ==" in plan else 0 : plan.index("SortMergeJoin")]
+    assert "collect_list" in plan and "Exchange" not in above and "Sort [" not in above
+    updated = symbols.called_by
+    monkeypatch.setattr(symbols, "called_by", lambda index: updated(index).withColumn("called_by", F.concat("called_by", F.array(F.lit("zz")))))
+    assert {r.symbol_name: tuple(r)[1:] for r in symbols.callers_by_name(index).collect()} == {"a": (1, 1, "zz", "zz"), "b": (4, 2, "a", "zz"), "c": (4, 4, "a", "zz")}
+
+
 def test_results_of_a_large_file_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(graph, "PAIRS_PER_TASK", 10)
     results = spark.createDataFrame([(k, "big" if k % 4 else "small") for k in range(40)], "r int, f string")
